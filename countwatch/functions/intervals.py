@@ -54,3 +54,8 @@ def exact_mean(value: Column, places: int = 6) -> Column:
     n = F.count(value)
     cut = 10 ** (8 - places)
     return _whole_quotient(units * 2 + n * cut, n * 2 * cut) / F.lit(float(10**places))
+
+
+def six_places(value: Column) -> Column:
+    """Half-up rounding to six places through a nine-place decimal, so a true tie never hangs on float noise."""
+    return F.round(value.cast("decimal(28,9)"), 6).cast("double")

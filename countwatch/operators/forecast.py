@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from countwatch.config import Harness, mi_of
 from countwatch.functions import months
-from countwatch.functions.intervals import quantile_of_array
+from countwatch.functions.intervals import quantile_of_array, six_places
 from countwatch.operators import ets
 
 BOUNDS = ("lower50", "upper50", "lower80", "upper80")
@@ -125,7 +125,7 @@ def add_ranges(rows: DataFrame, harness: Harness) -> DataFrame:
     out = rows.withColumn("calibration_n", F.size("calib"))
     for name, p in zip(BOUNDS, harness.levels):
         shifted = F.greatest(F.lit(0.0), F.col("point") + quantile_of_array(F.col("calib"), p))
-        out = out.withColumn(name, F.when(enough, F.round(shifted, 6)))
+        out = out.withColumn(name, F.when(enough, six_places(shifted)))
     return out
 
 

@@ -90,13 +90,13 @@ def ets_cte(ser: str = "ser", prefix: str = "") -> str:
          list_append(s[2:12], s[1] + ga * (z[t + 1] - (l + ph * b + s[1]))),
          q + (z[t + 1] - (l + ph * b + s[1])) * (z[t + 1] - (l + ph * b + s[1]))
   FROM {x}walk WHERE t < n),
-{x}best AS (
+{x}best AS MATERIALIZED (
   SELECT * FROM {x}walk WHERE t >= 24
   QUALIFY row_number() OVER (PARTITION BY code, t ORDER BY q, pid) = 1),
 {x}obs AS (
   SELECT code, mi AS o, count(*) OVER w AS n_obs, min(y) OVER w = max(y) OVER w AS constant
   FROM {ser} WINDOW w AS (PARTITION BY code ORDER BY mi ROWS UNBOUNDED PRECEDING)),
-{x}fit AS (
+{x}fit AS MATERIALIZED (
   SELECT o.code, o.o, n_obs, pid, al, be, ga, ph, l, b, q, s,
          CASE WHEN n_obs < 24 THEN 'fewer than 24 observations' WHEN constant THEN 'constant history' END AS bad
   FROM {x}obs o LEFT JOIN {x}best w ON w.code = o.code AND w.first_mi + w.t - 1 = o.o)
@@ -119,13 +119,13 @@ def points_cte(h: Harness, ser: str = "ser", prefix: str = "", candidate: bool =
 {x}roll AS (
   SELECT code, mi, CASE WHEN count(*) OVER w = 3 THEN avg(y) OVER w END AS a
   FROM {ser} WINDOW w AS (PARTITION BY code ORDER BY mi RANGE BETWEEN 2 PRECEDING AND CURRENT ROW)),
-{x}allpts AS (
+{x}allpts AS MATERIALIZED (
   SELECT code, 'baseline_a' AS model, h, mi AS o, a AS pt FROM {x}roll CROSS JOIN hz
   UNION ALL
   SELECT r.code, 'baseline_b', h, r.mi, s.y::DOUBLE FROM {x}roll r CROSS JOIN hz
     LEFT JOIN {ser} s ON s.code = r.code AND s.mi = r.mi + h - 12
   {cand}),
-{x}pts AS (
+{x}pts AS MATERIALIZED (
   SELECT p.*, o + h AS tgt, y.y AS act FROM {x}allpts p LEFT JOIN {ser} y ON y.code = p.code AND y.mi = o + h
   WHERE o BETWEEN {mi_of(first or h.first_origin)} AND {h.end_mi})
 """
@@ -147,12 +147,12 @@ def ranges_cte(h: Harness, prefix: str = "") -> str:
   SELECT code, model, h, o, count(*) AS cn, quantile_cont(e, 0.25) AS q25, quantile_cont(e, 0.75) AS q75,
          quantile_cont(e, 0.10) AS q10, quantile_cont(e, 0.90) AS q90, list(e) AS es
   FROM {x}cal GROUP BY ALL),
-{x}fc AS (
+{x}fc AS MATERIALIZED (
   SELECT p.*, coalesce(cn, 0) AS cn, es,
-         CASE WHEN pt IS NOT NULL AND cn >= 12 THEN round(greatest(0, pt + q25), 6) END AS lo50,
-         CASE WHEN pt IS NOT NULL AND cn >= 12 THEN round(greatest(0, pt + q75), 6) END AS hi50,
-         CASE WHEN pt IS NOT NULL AND cn >= 12 THEN round(greatest(0, pt + q10), 6) END AS lo80,
-         CASE WHEN pt IS NOT NULL AND cn >= 12 THEN round(greatest(0, pt + q90), 6) END AS hi80,
+         CASE WHEN pt IS NOT NULL AND cn >= 12 THEN round(greatest(0, pt + q25)::DECIMAL(28, 9), 6)::DOUBLE END AS lo50,
+         CASE WHEN pt IS NOT NULL AND cn >= 12 THEN round(greatest(0, pt + q75)::DECIMAL(28, 9), 6)::DOUBLE END AS hi50,
+         CASE WHEN pt IS NOT NULL AND cn >= 12 THEN round(greatest(0, pt + q10)::DECIMAL(28, 9), 6)::DOUBLE END AS lo80,
+         CASE WHEN pt IS NOT NULL AND cn >= 12 THEN round(greatest(0, pt + q90)::DECIMAL(28, 9), 6)::DOUBLE END AS hi80,
          CASE WHEN tgt > {h.end_mi} THEN 'outlook'
               WHEN {within(h.recent)} THEN CASE WHEN o >= {mi_of(h.recent_min_origin)} THEN 'recent' ELSE 'unscored' END
               WHEN {within(h.locked)} THEN CASE WHEN o >= {mi_of(h.locked_min_origin)} THEN 'locked' ELSE 'unscored' END
@@ -180,7 +180,7 @@ def mean(value: str, places: int = 6) -> str:
 def scored_cte(prefix: str = "") -> str:
     x = prefix
     return f"""
-{x}sc AS (
+{x}sc AS MATERIALIZED (
   SELECT code, model, h, o, tgt, period, act, round(pt, 6) AS pt, lo50, hi50, lo80, hi80, cn,
          act - round(pt, 6) AS er, abs(act - round(pt, 6)) AS ae,
          act BETWEEN lo50 AND hi50 AS c50, act BETWEEN lo80 AND hi80 AS c80, {wis('act', 'round(pt, 6)')} AS w

@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from countwatch.plans import forecast_queries, oracle, record_queries
+from countwatch.plans import forecast_queries, live_oracle, live_queries, oracle, record_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**record_queries.QUERIES, **forecast_queries.QUERIES}
-ORACLES: dict[str, str] = dict(oracle.TEXTS)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    **record_queries.QUERIES,
+    **forecast_queries.QUERIES,
+    **live_queries.QUERIES,
+}
+ORACLES: dict[str, str] = {**oracle.TEXTS, **live_oracle.TEXTS}
