@@ -37,7 +37,7 @@ def quantile_of_array(values: Column, p: float) -> Column:
 
 
 def quantiles_of_array(values: Column, levels: Sequence[float]) -> list[Column]:
-    ordered = F.array_sort(values)
+    ordered = F.sort_array(values)
     return [quantile_of_array(ordered, p) for p in levels]
 
 

@@ -33,11 +33,11 @@ def timestamp_to_mi(ts) -> Column:
 
 
 def label(mi) -> Column:
-    """``YYYY-MM`` of a month index."""
-    m = _c(mi)
-    zero_based = m - 1
-    year = F.floor(zero_based / F.lit(12)).cast("int")
-    return F.format_string("%04d-%02d", year, F.pmod(zero_based, F.lit(12)).cast("int") + 1)
+    """``YYYY-MM`` of a month index, by integer arithmetic (``format_string`` was measured far slower)."""
+    before = (_c(mi) - 1).cast("int")
+    month = F.pmod(before, F.lit(12))
+    digits = F.lpad((((before - month) / 12).cast("int") * 100 + month + 1).cast("string"), 6, "0")
+    return F.concat(F.substring(digits, 1, 4), F.lit("-"), F.substring(digits, 5, 2))
 
 
 def lag(event_mi, receipt_mi) -> Column:

@@ -100,7 +100,7 @@ def elapsed_errors(points: DataFrame, harness: Harness) -> DataFrame:
         here = F.col("horizon") == h
         calib = F.when(here, elapsed) if calib is None else calib.when(here, elapsed)
     empty = F.array().cast("array<double>")
-    return held.withColumn("calib", F.array_sort(F.coalesce(calib, empty))).drop("tail", "err")
+    return held.withColumn("calib", F.sort_array(F.coalesce(calib, empty))).drop("tail", "err")
 
 
 def period(origin_mi: Column, target_mi: Column, harness: Harness) -> Column:

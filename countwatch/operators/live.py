@@ -185,7 +185,7 @@ def reissue(
         elapsed.withColumn("rn", F.row_number().over(w))
         .filter(F.col("rn") <= harness.calibration_window)
         .groupBy("product_code", "model", "horizon")
-        .agg(F.array_sort(F.collect_list("error")).alias("calib"))
+        .agg(F.sort_array(F.collect_list("error")).alias("calib"))
     )
     empty = F.array().cast("array<double>")
     rows = point_rows.join(kept, ["product_code", "model", "horizon"], "left").withColumn(

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from countwatch.config import Harness
 from countwatch.functions import months
 from countwatch.operators import forecast, live, scoring
+from countwatch.session import stage
 
 READING = "vintage string, last_updated string, product_code string, time string, count bigint"
 
@@ -203,6 +204,6 @@ class LiveEdge:
 def freeze_from_counts(edge: LiveEdge, monthly: DataFrame) -> LiveEdge:
     """Forecast the frozen series once and store what the live edge needs from it."""
     series = monthly.select("product_code", "mi", "y")
-    fc = forecast.forecast(series, edge.harness, edge.with_candidate)
+    fc = stage(forecast.forecast(series, edge.harness, edge.with_candidate), "frozen-forecast")
     scored = scoring.scored(fc, edge.harness)
     return edge.freeze(monthly, scored, fc.filter("period = 'outlook'"))
