@@ -96,7 +96,7 @@ def workload(found: DataFrame, state: DataFrame) -> DataFrame:
             "evaluated_months",
             "flagged_months",
             "episodes",
-            F.round(F.col("episodes") / F.col("evaluated_months"), 4).alias("episodes_per_evaluated_month"),
+            F.bround(F.col("episodes") / F.col("evaluated_months"), 4).alias("episodes_per_evaluated_month"),
             (F.col("rule_enabled") & F.col("pending")).alias("pending_single_flag_at_end"),
         )
     )

@@ -65,7 +65,7 @@ def cells(rows: DataFrame, keys=("product_code", "model", "horizon", "period"))
     return rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         *[v.alias(k) for k, v in measures],
-        exact_mean(F.col("calibration_n"), 1).alias("mean_calibration_n"),
+        F.bround(F.avg("calibration_n"), 1).alias("mean_calibration_n"),
     )
 
 

@@ -189,7 +189,7 @@ def scored_cte(prefix: str = "") -> str:
 {x}cell AS (
   SELECT code, model, h, period, count(*) AS n, {mean('ae')} AS mae, round(avg(c50::INT), 6) AS cov50,
          round(avg(c80::INT), 6) AS cov80, {mean('(hi50 - lo50)')} AS w50, {mean('(hi80 - lo80)')} AS w80,
-         {mean('w')} AS wis, {mean('cn', 1)} AS mcn
+         {mean('w')} AS wis, round_even(avg(cn), 1) AS mcn
   FROM {x}sc GROUP BY ALL),
 {x}dev AS (
   SELECT code, max(mae) FILTER (model = 'baseline_a') AS ma, max(mae) FILTER (model = 'baseline_b') AS mb,
@@ -524,7 +524,7 @@ TEXTS: dict[str, str] = {
         f"{BASE}, {M01}, {SCORES}, {REVIEW}, ne AS (SELECT code, count(*) AS n FROM epi GROUP BY code)",
         """SELECT code AS product_code, model AS model_in_use, on_ AS rule_enabled, round(cov, 3) AS locked_coverage80,
            months AS evaluated_months, flagged AS flagged_months, CASE WHEN on_ THEN coalesce(n, 0) ELSE 0 END AS episodes,
-           round(CASE WHEN on_ THEN coalesce(n, 0) ELSE 0 END / months, 4) AS episodes_per_evaluated_month,
+           round_even(CASE WHEN on_ THEN coalesce(n, 0) ELSE 0 END / months, 4) AS episodes_per_evaluated_month,
            on_ AND pend AS pending_single_flag_at_end FROM st LEFT JOIN ne USING (code)""",
     ),
     "queue_diagnostic": q(

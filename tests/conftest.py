@@ -4,7 +4,8 @@ import tempfile
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path[:0] = [os.path.dirname(HERE), HERE]
 
 
 @pytest.fixture(scope="session")
@@ -17,6 +18,7 @@ def spark():
         **{
             "spark.sql.shuffle.partitions": "8",
             "spark.driver.memory": "8g",
+            "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="countwatch-warehouse-"),
             "spark.checkpoint.dir": tempfile.mkdtemp(prefix="countwatch-tests-"),
         },
     )
