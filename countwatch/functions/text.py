@@ -64,8 +64,14 @@ def normal_code(code) -> Column:
 
 def sorted_distinct(values) -> Column:
     """B11 as an array: non-empty values, distinct, sorted."""
-    kept = F.filter(_c(values), lambda v: v.isNotNull() & (v != ""))
-    return F.coalesce(F.array_sort(F.array_distinct(kept)), F.array().cast("array<string>"))
+    kept = F.array_remove(F.array_compact(_c(values)), "")
+    return F.coalesce(F.sort_array(F.array_distinct(kept)), F.array().cast("array<string>"))
+
+
+def present(df, name: str) -> Column:
+    """True where a key column holds something: not null, and not blank when it is text."""
+    c = F.col(name)
+    return c.isNotNull() & (c != "") if dict(df.dtypes)[name] == "string" else c.isNotNull()
 
 
 def joined(values, sep: str = "|") -> Column:

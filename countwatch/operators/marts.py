@@ -45,7 +45,7 @@ def _month_list(col: str):
     return F.array_join(F.array_sort(F.collect_list(col)), " ")
 
 
-def lanes(evaluated: DataFrame, episodes: DataFrame, state: DataFrame, class_one: DataFrame) -> DataFrame:
+def lanes(evaluated: DataFrame, episodes: DataFrame, state: DataFrame, class_one_months: DataFrame) -> DataFrame:
     """Per code its flagged months, episodes with and without the gate, and Class I initiations.
 
     Lists hold at most one entry per evaluated month; initiations are counted, not listed.
@@ -57,7 +57,7 @@ def lanes(evaluated: DataFrame, episodes: DataFrame, state: DataFrame, class_one
         "product_code", F.concat(months.label("start_mi"), F.lit(".."), months.label("end_mi")).alias("span")
     )
     ungated = spans.groupBy("product_code").agg(F.count(F.lit(1)).alias("n"), _month_list("span").alias("ungated_list"))
-    initiations = class_one.groupBy("product_code").agg(F.count(F.lit(1)).alias("c"))
+    initiations = class_one_months.groupBy("product_code").agg(F.sum("n").alias("c"))
     blank = lambda c: F.coalesce(c, F.lit(""))
     zero = lambda c: F.coalesce(c, F.lit(0))
     joined = state.join(flagged, "product_code", "left").join(ungated, "product_code", "left").join(

@@ -11,7 +11,7 @@ from countwatch.functions import months, text
 
 def _set(col):
     """Sorted distinct non-empty values of a group; collect_set already drops nulls."""
-    return text.sorted_distinct(F.collect_set(col))
+    return F.sort_array(F.array_remove(F.collect_set(col), ""))
 
 
 def event_rollup(records: DataFrame) -> DataFrame:
@@ -21,7 +21,7 @@ def event_rollup(records: DataFrame) -> DataFrame:
     has_k_numbers, has_pma_numbers. Sets are bounded by the code and cause lists; dates are minima.
     """
     return (
-        records.filter(F.coalesce(F.col("event_number"), F.lit("")) != "")
+        records.filter(text.present(records, "event_number"))
         .groupBy("event_number")
         .agg(
             _set("product_code").alias("codes"),
@@ -39,7 +39,7 @@ def event_rollup(records: DataFrame) -> DataFrame:
 def enforcement_rollup(enforcement: DataFrame) -> DataFrame:
     """Enforcement rows reduced to one per event before they are joined."""
     return (
-        enforcement.filter(F.coalesce(F.col("event_id"), F.lit("")) != "")
+        enforcement.filter(text.present(enforcement, "event_id"))
         .groupBy(F.col("event_id").alias("event_number"))
         .agg(
             _set(F.trim("classification")).alias("classes"),
@@ -64,7 +64,7 @@ def timeline(records: DataFrame, enforcement: DataFrame, codes: DataFrame | None
 def published(rows: DataFrame) -> DataFrame:
     """The timeline with sets joined to text."""
     return rows.select(
-        "event_number",
+        F.col("event_number").cast("string").alias("event_number"),
         F.array_join("codes", "|").alias("product_codes"),
         F.col("initiated").alias("event_date_initiated"),
         F.col("posted").alias("event_date_posted"),
@@ -103,16 +103,20 @@ def class_one(rows: DataFrame, workload_codes: DataFrame, span: tuple[str, str])
     )
 
 
-def pre_registered_count(initiations: DataFrame, queue: DataFrame, span: tuple[str, str], harness: Harness) -> DataFrame:
+def initiations_by_month(initiations: DataFrame) -> DataFrame:
+    """Class I initiations counted by (code, month): at most codes x months rows."""
+    return initiations.groupBy("product_code", "init_mi").agg(F.count(F.lit(1)).alias("n"))
+
+
+def pre_registered_count(per_month: DataFrame, queue: DataFrame, span: tuple[str, str], harness: Harness) -> DataFrame:
     """K3/K4/C11: episodes starting in the 18 months before a Class I initiation, and the converse.
 
-    Initiations are first reduced to counts per (code, month), at most codes x months rows, so the
-    interval join meets small sides however many events there are. Each event has one initiation
-    month, hence the distinct (code, event) count is the sum of those counts.
+    ``per_month`` holds initiations already counted by (code, month), so the interval join meets small
+    sides however many events there are. Each event has one initiation month, hence the distinct
+    (code, event) count is the sum of those counts.
     """
     first, last = mi_of(span[0]), mi_of(span[1])
     back = harness.lookback
-    per_month = initiations.groupBy("product_code", "init_mi").agg(F.count(F.lit(1)).alias("n"))
     starts = queue.select("product_code", months.month_to_mi("episode_start").alias("start_mi"))
     window = F.col("start_mi").between(F.col("init_mi") - back, F.col("init_mi") - 1)
     i, s = per_month.alias("i"), starts.alias("s")
@@ -144,7 +148,7 @@ def known_events(expected: DataFrame, rows: DataFrame) -> DataFrame:
         & F.array_contains(F.col("t.classes"), F.col("k.classification"))
     )
     return k.join(t, F.col("k.event_number") == F.col("t.event_number"), "left").select(
-        F.col("k.event_number").alias("event_number"),
+        F.col("k.event_number").cast("string").alias("event_number"),
         F.col("k.product_code").alias("product_code"),
         found.alias("found"),
         F.coalesce(ok, F.lit(False)).alias("recovered"),

@@ -27,7 +27,7 @@ def exclusion_hits(lists: TokenLists, firm_fields: Sequence[str] = FIRM_FIELDS)
     nothing = F.array().cast("array<struct<field:string,token:string>>")
     nested = [F.coalesce(maker, nothing), F.coalesce(brand, nothing)]
     every = F.concat(*([flat] if flat is not None else []), *nested)
-    return F.array_sort(F.array_distinct(F.filter(every, lambda h: h["token"].isNotNull())))
+    return F.sort_array(F.array_distinct(F.filter(every, lambda h: h["token"].isNotNull())))
 
 
 def own_codes(device: str = "device") -> Column:
@@ -40,21 +40,20 @@ def own_codes(device: str = "device") -> Column:
 def shape_records(records: DataFrame, lists: TokenLists, firm_fields: Sequence[str] = FIRM_FIELDS) -> DataFrame:
     """Per source record: report attributes as published plus its exclusion hits; no explode.
 
-    ``records`` carries ``queried_code`` and an orderable ``position`` struct besides the source fields.
+    ``records`` carries ``queried_code`` besides the source fields; fields it lacks read as blank.
     """
-    present = set(records.columns)
+    given = set(records.columns)
 
     def attr(name: str) -> Column:
-        return (F.coalesce(F.col(name), F.lit("")) if name in present else F.lit("")).alias(name)
+        return (F.coalesce(F.col(name), F.lit("")) if name in given else F.lit("")).alias(name)
 
     def listed(name: str) -> Column:
-        return (text.joined(name) if name in present else F.lit("")).alias(name)
+        return (text.joined(name) if name in given else F.lit("")).alias(name)
 
-    key = F.col("mdr_report_key")
-    return records.filter(key.isNotNull() & (key.cast("string") != "")).select(
+    carried = [c for c in ("queried_code", "position", "copies") if c in given]
+    return records.filter(text.present(records, "mdr_report_key")).select(
         "mdr_report_key",
-        "queried_code",
-        "position",
+        *carried,
         *[
             attr(n)
             for n in (
@@ -70,26 +69,27 @@ def shape_records(records: DataFrame, lists: TokenLists, firm_fields: Sequence[s
     )
 
 
-def first_seen(shaped: DataFrame) -> DataFrame:
-    """Per report key the record with the smallest (cohort order, file, position).
+def first_seen(records: DataFrame) -> DataFrame:
+    """Per report key the record with the smallest ``position`` (cohort order, file, place).
 
-    ``min_by`` combines on the map side, so many copies of one key cost one row per task.
+    ``min_by`` combines on the map side, so many copies of one key cost one row per task. Reduce
+    first and shape afterwards: patterns then run on one copy per report.
     """
-    kept = [c for c in shaped.columns if c not in ("mdr_report_key", "position")]
-    first = shaped.groupBy("mdr_report_key").agg(
+    kept = [c for c in records.columns if c not in ("mdr_report_key", "position")]
+    first = records.filter(text.present(records, "mdr_report_key")).groupBy("mdr_report_key").agg(
         F.min_by(F.struct(*kept), "position").alias("r"), F.count(F.lit(1)).alias("copies")
     )
-    return first.select("mdr_report_key", "copies", "r.*").withColumnRenamed("queried_code", "first_code")
+    return first.select("mdr_report_key", "copies", "r.*")
 
 
-def bridge(shaped: DataFrame) -> DataFrame:
+def bridge(records: DataFrame) -> DataFrame:
     """Distinct (report, code) pairs over every copy."""
-    return shaped.select("mdr_report_key", F.col("queried_code").alias("product_code")).distinct()
+    return records.select("mdr_report_key", F.col("queried_code").alias("product_code")).distinct()
 
 
-def duplicates_within_code(shaped: DataFrame) -> DataFrame:
+def duplicates_within_code(records: DataFrame) -> DataFrame:
     """How many records repeat a key already seen under the same code."""
-    per_pair = shaped.groupBy(F.col("queried_code").alias("product_code"), "mdr_report_key").agg(
+    per_pair = records.groupBy(F.col("queried_code").alias("product_code"), "mdr_report_key").agg(
         F.count(F.lit(1)).alias("n")
     )
     return per_pair.groupBy("product_code").agg(F.sum(F.col("n") - 1).alias("duplicates"))
@@ -98,7 +98,7 @@ def duplicates_within_code(shaped: DataFrame) -> DataFrame:
 def audit(first: DataFrame) -> DataFrame:
     """Distinct (key, code, field, token) of excluded reports. Restricted output."""
     return first.select(
-        "mdr_report_key", F.col("first_code").alias("product_code"), F.explode("hits").alias("h")
+        "mdr_report_key", F.col("queried_code").alias("product_code"), F.explode("hits").alias("h")
     ).select("mdr_report_key", "product_code", "h.field", "h.token")
 
 
@@ -112,6 +112,7 @@ def finish_reports(first: DataFrame, harness: Harness) -> DataFrame:
         .withColumn("excluded", F.size("hits") > 0)
         .withColumn("quarantine_reason", quarantine_reason("date_received", harness))
         .withColumn("countable", F.col("quarantine_reason").isNull())
+        .withColumnRenamed("queried_code", "first_code")
         .drop("hits")
     )
 

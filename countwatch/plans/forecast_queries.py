@@ -132,7 +132,7 @@ def coverage_by_code(spark, sf_dir):
 
 def lanes(spark, sf_dir):
     p = Pipeline(spark, sf_dir)
-    return marts.lanes(p.evaluated, p.episodes, p.code_state, p.class_one)
+    return marts.lanes(p.evaluated, p.episodes, p.code_state, p.class_one_months)
 
 
 def cohort_facts(spark, sf_dir):
@@ -155,7 +155,7 @@ def recall_meta(spark, sf_dir):
 
 def recall_count(spark, sf_dir):
     p = Pipeline(spark, sf_dir)
-    return recall.pre_registered_count(p.class_one, p.queue, p.evaluated_span, STAR)
+    return recall.pre_registered_count(p.class_one_months, p.queue, p.evaluated_span, STAR)
 
 
 def known_event_recovery(spark, sf_dir):
@@ -171,8 +171,8 @@ def known_event_recovery(spark, sf_dir):
         .groupBy(F.col("p_type").alias("product_code"))
         .agg(F.max_by(F.struct("o_orderkey", "o_orderdate"), F.struct("o_totalprice", "o_orderkey")).alias("o"))
         .select(
-            F.col("o.o_orderkey").cast("string").alias("event_number"), "product_code",
-            F.date_format("o.o_orderdate", "yyyy-MM-dd").alias("initiated"), F.lit("Class I").alias("classification"),
+            F.col("o.o_orderkey").alias("event_number"), "product_code",
+            F.col("o.o_orderdate").cast("date").cast("string").alias("initiated"), F.lit("Class I").alias("classification"),
         )
     )
     return recall.known_events(expected, Pipeline(spark, sf_dir).recall_timeline)

@@ -120,8 +120,9 @@ class Pipeline:
         return self.harness.locked[0], self.harness.recent[1]
 
     @cached_property
-    def class_one(self) -> DataFrame:
-        return recall.class_one(self.recall_timeline, self.code_state, self.evaluated_span)
+    def class_one_months(self) -> DataFrame:
+        found = recall.class_one(self.recall_timeline, self.code_state, self.evaluated_span)
+        return stage(recall.initiations_by_month(found), "class-one")
 
 
 def _dashed(day: str) -> str:

@@ -141,8 +141,8 @@ def capacity_windows(spark, sf_dir):
 
 
 def record_first_seen(spark, sf_dir):
-    shaped = records.shape_records(star.page_records(spark, sf_dir), star.STAR_TOKENS, ())
-    first = records.finish_reports(records.first_seen(shaped), STAR)
+    first = records.first_seen(star.page_records(spark, sf_dir))
+    first = records.finish_reports(records.shape_records(first, star.STAR_TOKENS, ()), STAR)
     return first.select(
         F.col("mdr_report_key").alias("report_key"), "first_code", "copies", "report_number", "date_received",
         "date_of_event", "event_type", "remedial_action", F.col("n_devices").cast("long").alias("n_devices"),

@@ -40,8 +40,9 @@ def page_dir(tmp_path_factory):
 
 def test_pages_first_seen(spark, page_dir):
     raw = pages.read_record_pages(spark, page_dir, ["BBB", "AAA"])
+    raw = raw.filter(F.coalesce("mdr_report_key", F.lit("")) != "")
     shaped = records.shape_records(raw, LISTS)
-    first = records.first_seen(shaped)
+    first = records.shape_records(records.first_seen(raw), LISTS)
     done = {r.mdr_report_key: r for r in records.finish_reports(first, STAR.with_(history_start="2019-01", as_of="20201231")).collect()}
     assert set(done) == {"k1", "k2", "k3", "k4", "k5"}
     # BBB comes first in the cohort order, so its copy of k1 decides attributes and exclusion.
@@ -52,13 +53,13 @@ def test_pages_first_seen(spark, page_dir):
     assert done["k5"].quarantine_reason == "received_after_as_of"
     audit = [tuple(r) for r in records.audit(first).collect()]
     assert audit == [("k2", "BBB", "device.manufacturer_d_name", "acme")]
-    assert {tuple(r) for r in records.bridge(shaped).collect()} >= {("k1", "AAA"), ("k1", "BBB")}
-    dup = {r.product_code: r.duplicates for r in records.duplicates_within_code(shaped).collect()}
+    assert {tuple(r) for r in records.bridge(raw).collect()} >= {("k1", "AAA"), ("k1", "BBB")}
+    dup = {r.product_code: r.duplicates for r in records.duplicates_within_code(raw).collect()}
     assert dup == {"AAA": 1, "BBB": 0}
     marked = {r.device_codes for r in shaped.filter("queried_code = 'AAA' and mdr_report_key = 'k1'").collect()}
     assert marked == {"CCC|AAA?", "AAA"}
     reasons = {r.reason: r.reports for r in records.quarantine(
-        first, STAR.with_(history_start="2019-01", as_of="20201231"), records.duplicates_within_code(shaped)).collect()}
+        first, STAR.with_(history_start="2019-01", as_of="20201231"), records.duplicates_within_code(raw)).collect()}
     assert reasons["duplicate_key_within_AAA_pages"] == 1 and reasons["received_after_as_of"] == 1
 
 
