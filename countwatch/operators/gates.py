@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from countwatch.config import Harness, mi_of
 from countwatch.functions import months, text
 from countwatch.operators import measures
+from countwatch.session import stage
 
 
 def check_rows(counts: DataFrame) -> DataFrame:
@@ -168,7 +169,8 @@ def numbers_gate(figures: DataFrame, bands: DataFrame) -> DataFrame:
 
 
 def record_gates(spark: SparkSession, sf_dir: str, p) -> DataFrame:
-    """M3, M4, M5, M9 over the star tables."""
+    """M3, M4, M5, M9 over the star tables; the report table is built once and read by every gate."""
+    p.reports = stage(p.reports, "reports")
     daily = measures.day_counts_to_months(p.daily, p.harness.window_start, p.harness.as_of)
     monthly = measures.spine_variance(p.monthly_lazy(), daily)
     bridge = p.devices.select("report_key", "product_code").distinct()

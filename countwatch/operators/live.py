@@ -105,23 +105,12 @@ def frozen_reread(frozen: DataFrame, live: DataFrame, disposed: DataFrame, harne
 
 
 def variance_summary(reread: DataFrame, keys: tuple[str, ...] = (), detail: int = 20) -> DataFrame:
-    """Months compared and their verdicts; listed months are sorted and capped for display only.
+    """Months compared and their verdicts, with the first ``detail`` known and material ones listed.
 
-    The shown list is the feature's own cap; counts cover every month.
+    Counts cover every month. The lists are the report's own top twenty in text order: each task
+    keeps its first twenty before the shuffle, so however many months fell, few rows meet.
     """
     v = F.col("verdict")
-    shown = lambda kind: F.array_join(
-        F.slice(
-            F.array_sort(
-                F.collect_list(
-                    F.when(v == kind, F.format_string("%s %s %d>%d", F.col("product_code"), months.label("mi"), F.col("frozen"), F.col("live")))
-                )
-            ),
-            1,
-            detail,
-        ),
-        "; ",
-    )
     measures = [
         F.count(F.lit(1)).alias("months_compared"),
         F.count_if(v == "higher").alias("months_reading_higher"),
@@ -129,10 +118,24 @@ def variance_summary(reread: DataFrame, keys: tuple[str, ...] = (), detail: int
         F.count_if(v.isin("lower", "known", "material")).alias("months_reading_lower"),
         F.count_if(v == "known").alias("known_revisions"),
         F.count_if(v == "material").alias("material_downward"),
-        shown("material").alias("material_months"),
-        shown("known").alias("known_months"),
     ]
-    return reread.groupBy(*keys).agg(*measures) if keys else reread.agg(*measures)
+    keyed = reread.withColumn("one", F.lit(1))
+    by = ["one", *keys]
+    entry = F.concat_ws(" ", "product_code", months.label("mi"), F.concat_ws(">", "frozen", "live"))
+    listed = keyed.filter(v.isin("known", "material")).select(*by, "verdict", entry.alias("entry"))
+    first = Window.partitionBy(*by, "verdict").orderBy("entry")
+    shown = lambda kind: F.array_join(F.sort_array(F.collect_list(F.when(v == kind, F.col("entry")))), "; ")
+    details = (
+        listed.withColumn("rn", F.row_number().over(first))
+        .filter(F.col("rn") <= detail)
+        .groupBy(*by)
+        .agg(shown("material").alias("material_months"), shown("known").alias("known_months"))
+    )
+    blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    counted = keyed.groupBy(*by).agg(*measures)
+    return counted.join(details, by, "left").select(
+        *[c for c in counted.columns if c != "one"], blank("material_months"), blank("known_months")
+    )
 
 
 def new_months(readings: DataFrame, codes: DataFrame, last_updated: str, vintage: str, harness: Harness) -> DataFrame:

@@ -18,6 +18,8 @@ from countwatch.sources import star
 
 
 class Pipeline:
+    """Cached properties are plans, not data; only what ``stage`` writes is computed here."""
+
     def __init__(self, spark: SparkSession, sf_dir: str, harness: Harness = STAR):
         self.spark, self.dir, self.harness = spark, sf_dir, harness
 

@@ -17,6 +17,10 @@ def build_session(app: str = "countwatch", master: str | None = None, **conf: st
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         # Object aggregates (collect_set per report) stay hash based for longer before sorting.
         "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
+        # Stream state lives off the heap, so it may outgrow an executor's memory.
+        "spark.sql.streaming.stateStore.providerClass": (
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+        ),
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         **conf,

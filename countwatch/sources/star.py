@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from countwatch.config import Harness
 from countwatch.functions import months, text
 from countwatch.functions.text import TokenLists
+from countwatch.session import stage
 
 # Stand-in token lists for the private exclusion list.
 STAR_TOKENS = TokenLists(
@@ -52,12 +53,10 @@ def devices(spark: SparkSession, sf_dir: str, lists: TokenLists = STAR_TOKENS) -
     part = table(spark, sf_dir, "part").select(
         "p_partkey", F.col("p_type").alias("product_code"), text.brand_token("p_name", lists).alias("brand_token")
     )
-    supplier = table(spark, sf_dir, "supplier").select(
-        "s_suppkey", text.firm_token("s_name", lists).alias("firm_token")
-    )
+    firm = firm_hits(spark, sf_dir, lists)
     return (
         line.join(part, line.l_partkey == part.p_partkey)
-        .join(supplier, line.l_suppkey == supplier.s_suppkey)
+        .join(firm, line.l_suppkey == firm.s_suppkey, "left")
         .select(
             F.col("l_orderkey").alias("report_key"),
             "product_code",
@@ -68,6 +67,17 @@ def devices(spark: SparkSession, sf_dir: str, lists: TokenLists = STAR_TOKENS) -
     )
 
 
+def firm_hits(spark: SparkSession, sf_dir: str, lists: TokenLists) -> DataFrame:
+    """The suppliers whose name hits the list, staged.
+
+    Only these can exclude a report, and the list is short. Staged, their size on disk is known when
+    the join to lines is planned, so the lines are not shuffled by supplier unless the hits really
+    outgrow the broadcast threshold; a filter inside the plan would be sized as the whole table.
+    """
+    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", text.firm_token("s_name", lists).alias("firm_token"))
+    return stage(supplier.filter("firm_token is not null"), "firm-hits")
+
+
 def report_rollup(device_rows: DataFrame) -> DataFrame:
     """Per report: its distinct codes, earliest event day, line count and exclusion flag.
 
