@@ -77,16 +77,21 @@ def published(rows: DataFrame) -> DataFrame:
     )
 
 
-def meta(rows: DataFrame) -> DataFrame:
-    """D17."""
-    return rows.agg(
+def meta(records: DataFrame, rows: DataFrame) -> DataFrame:
+    """In-scope product records and their numbers, then the events of the timeline."""
+    scoped = records.agg(
+        F.count(F.lit(1)).alias("in_scope_product_records"),
+        F.count_if("has_k_numbers").alias("records_with_k_numbers"),
+        F.count_if("has_pma_numbers").alias("records_with_pma_numbers"),
+        F.lit(1).alias("one"),
+    )
+    events = rows.agg(
         F.count(F.lit(1)).alias("events_in_window"),
         F.count_if(F.array_contains("classes", "Class I")).alias("class_i_events"),
-        F.coalesce(F.sum("product_records"), F.lit(0)).alias("product_records"),
-        F.coalesce(F.sum("records_with_k_numbers"), F.lit(0)).alias("records_with_k_numbers"),
-        F.coalesce(F.sum("records_with_pma_numbers"), F.lit(0)).alias("records_with_pma_numbers"),
-        F.count_if(F.expr("not in_enforcement")).alias("events_not_in_enforcement"),
+        F.count_if(~F.col("in_enforcement")).alias("events_not_in_enforcement"),
+        F.lit(1).alias("one"),
     )
+    return scoped.join(events, "one").drop("one")
 
 
 def class_one(rows: DataFrame, workload_codes: DataFrame, span: tuple[str, str]) -> DataFrame:

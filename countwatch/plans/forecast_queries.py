@@ -150,7 +150,7 @@ def recall_timeline(spark, sf_dir):
 
 
 def recall_meta(spark, sf_dir):
-    return recall.meta(Pipeline(spark, sf_dir).recall_timeline)
+    return recall.meta(star.recall_records(spark, sf_dir), Pipeline(spark, sf_dir).recall_timeline)
 
 
 def recall_count(spark, sf_dir):

@@ -429,9 +429,11 @@ TEXTS: dict[str, str] = {
             FROM lm a LEFT JOIN lm b ON b.code = a.code AND b.emi = a.emi - 12""",
     ),
     "second_path_monthly": q(
-        BASE,
-        """SELECT 'raw_reports' AS "column", count(*) AS cells, 0::BIGINT AS differing, 0::BIGINT AS one_sided
-           FROM (SELECT DISTINCT code, rmi FROM mem)""",
+        f"""{BASE},
+        a AS (SELECT code, rmi AS mi, count(DISTINCT k) AS n FROM mem GROUP BY ALL),
+        b AS (SELECT code, day[1:4]::INT * 12 + day[5:6]::INT AS mi, sum(n) AS n FROM daily WHERE day BETWEEN '{START}' AND '{ASOF}' GROUP BY ALL)""",
+        """SELECT 'raw_reports' AS "column", count(*) AS cells, count(*) FILTER (abs(a.n - b.n) > 1e-4 * greatest(1, a.n)) AS differing,
+           count(*) FILTER (a.n IS NULL OR b.n IS NULL) AS one_sided FROM a FULL JOIN b USING (code, mi)""",
     ),
     "gate_results": q(
         f"""{BASE}, {M01},
@@ -609,9 +611,9 @@ TEXTS: dict[str, str] = {
     ),
     "recall_meta": q(
         RECALL,
-        """SELECT count(*) AS events_in_window, count(*) FILTER (class = 'Class I') AS class_i_events, sum(n)::BIGINT AS product_records,
-           sum(kn)::BIGINT AS records_with_k_numbers, sum(pn)::BIGINT AS records_with_pma_numbers,
-           count(*) FILTER (class IS NULL) AS events_not_in_enforcement FROM tl""",
+        """SELECT (SELECT count(*) FROM rec) AS in_scope_product_records, (SELECT count(*) FROM rec WHERE kn) AS records_with_k_numbers,
+           (SELECT count(*) FROM rec WHERE pn) AS records_with_pma_numbers, count(*) AS events_in_window,
+           count(*) FILTER (class = 'Class I') AS class_i_events, count(*) FILTER (class IS NULL) AS events_not_in_enforcement FROM tl""",
     ),
     "recall_count": q(
         f"{BASE}, {M01}, {SCORES}, {REVIEW}, {RECALL}, {C1}",

@@ -1,6 +1,7 @@
 """Prove-failable: every gate passes on a clean copy and fails on a corrupted one."""
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from countwatch.config import STAR, mi_of
@@ -65,9 +66,16 @@ def test_bridge_gate_fails(tables, check, corrupt):
 MONTHLY = [
     ("raw equals the independent series", lambda d: d.withColumn("series_reports", F.col("series_reports") + 1)),
     ("eligible is raw minus excluded", lambda d: d.withColumn("eligible_reports", F.col("raw_reports") + 1)),
+    ("raw equals the independent series", lambda d: second_row(d, "raw_reports")),
 ]
 
 
+def second_row(df, column):
+    """Only the second row in (code, month) order is changed."""
+    rn = F.row_number().over(Window.orderBy("product_code", "month"))
+    return df.withColumn("rn", rn).withColumn(column, F.when(F.col("rn") == 2, F.col(column) + 1).otherwise(F.col(column))).drop("rn")
+
+
 @pytest.mark.parametrize("check,corrupt", MONTHLY)
 def test_monthly_gate_fails(tables, check, corrupt):
     assert not outcome(gates.monthly_gate(corrupt(tables["monthly"])))[check]
