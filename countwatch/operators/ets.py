@@ -46,8 +46,15 @@ def grid() -> list[tuple[float, float, float, float]]:
 
 
 def histories(series: DataFrame) -> DataFrame:
-    """One row per code: its month-ordered values. Length is bounded by the calendar span."""
-    packed = series.filter(F.col("y").isNotNull()).groupBy("product_code").agg(
+    """One row per code: its month-ordered values. Length is bounded by the calendar span.
+
+    The fit that follows costs far more than these few bytes suggest, so the codes are spread by core
+    count here; left to itself, adaptive coalescing would pack them into a few tasks by size.
+    """
+    spark = series.sparkSession
+    tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    spread = series.filter(F.col("y").isNotNull()).repartition(tasks, "product_code")
+    packed = spread.groupBy("product_code").agg(
         F.array_sort(F.collect_list(F.struct("mi", "y"))).alias("h")
     )
     return packed.select(

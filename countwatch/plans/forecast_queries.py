@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from countwatch.config import STAR
 from countwatch.functions import months
 from countwatch.operators import ets, forecast, gates, marts, measures, recall, review, scoring
-from countwatch.plans.pipeline import Pipeline
+from countwatch.plans.star_plan import StarPlan
 from countwatch.sources import star
 
 
 def baselines(spark, sf_dir):
-    rows = forecast.baselines(Pipeline(spark, sf_dir).series, STAR.horizons)
+    rows = forecast.baselines(StarPlan(spark, sf_dir).series, STAR.horizons)
     return rows.filter(F.col("point").isNotNull()).select(
         "product_code", months.label("origin_mi").alias("origin"), F.col("horizon").cast("long").alias("horizon"),
         "model", F.round("point", 6).alias("point"), F.col("actual").cast("long").alias("actual"),
@@ -21,7 +21,7 @@ def baselines(spark, sf_dir):
 
 def ranges(spark, sf_dir):
     """The two baselines with their ranges; no fit needed."""
-    return forecast.published(forecast.forecast(Pipeline(spark, sf_dir).series, STAR, with_candidate=False))
+    return forecast.published(forecast.forecast(StarPlan(spark, sf_dir).series, STAR, with_candidate=False))
 
 
 def _seasons():
@@ -30,7 +30,7 @@ def _seasons():
 
 def ets_filter(spark, sf_dir):
     six = lambda c: F.round(c, 6).alias(c)
-    return ets.filter_paths(Pipeline(spark, sf_dir).series).select(
+    return ets.filter_paths(StarPlan(spark, sf_dir).series).select(
         "product_code", F.col("pid").cast("long").alias("pid"), months.label("origin_mi").alias("origin"),
         F.col("n_obs").cast("long").alias("n_obs"), six("level"), six("trend"), six("sse"), *_seasons(),
     )
@@ -38,14 +38,14 @@ def ets_filter(spark, sf_dir):
 
 def ets_fit(spark, sf_dir):
     six = lambda c: F.round(c, 6).alias(c)
-    return ets.fits(Pipeline(spark, sf_dir).series).select(
+    return ets.fits(StarPlan(spark, sf_dir).series).select(
         "product_code", months.label("origin_mi").alias("origin"), "n_obs", "alpha", "beta", "gamma", "phi",
         six("level"), six("trend"), six("sse"), *_seasons(), F.coalesce("fit_error", F.lit("")).alias("fit_error"),
     )
 
 
 def ets_points(spark, sf_dir):
-    rows = ets.points(ets.fits(Pipeline(spark, sf_dir).series), (1, 3, 6, 12))
+    rows = ets.points(ets.fits(StarPlan(spark, sf_dir).series), (1, 3, 6, 12))
     return rows.select(
         "product_code", months.label("origin_mi").alias("origin"), F.col("horizon").cast("long").alias("horizon"),
         F.round("point", 6).alias("point"),
@@ -53,33 +53,33 @@ def ets_points(spark, sf_dir):
 
 
 def forecast_table(spark, sf_dir):
-    return forecast.published(Pipeline(spark, sf_dir).forecast_lazy())
+    return forecast.published(StarPlan(spark, sf_dir).forecast_lazy())
 
 
 def scored(spark, sf_dir):
-    p = Pipeline(spark, sf_dir)
+    p = StarPlan(spark, sf_dir)
     return scoring.published(scoring.scored(p.forecast_lazy(), STAR))
 
 
 def score_cells(spark, sf_dir):
-    cells = scoring.scaled(Pipeline(spark, sf_dir).cells)
+    cells = scoring.scaled(StarPlan(spark, sf_dir).cells)
     return cells.withColumn("horizon", F.col("horizon").cast("long"))
 
 
 def promotion(spark, sf_dir):
-    return Pipeline(spark, sf_dir).promotion
+    return StarPlan(spark, sf_dir).promotion
 
 
 def review_queue(spark, sf_dir):
-    return Pipeline(spark, sf_dir).queue
+    return StarPlan(spark, sf_dir).queue
 
 
 def review_workload(spark, sf_dir):
-    return Pipeline(spark, sf_dir).workload
+    return StarPlan(spark, sf_dir).workload
 
 
 def queue_diagnostic(spark, sf_dir):
-    p = Pipeline(spark, sf_dir)
+    p = StarPlan(spark, sf_dir)
     return review.diagnostic(p.episodes, p.code_state)
 
 
@@ -91,18 +91,18 @@ BANDS = (
 
 
 def numbers_gate(spark, sf_dir):
-    p = Pipeline(spark, sf_dir)
+    p = StarPlan(spark, sf_dir)
     bands = spark.createDataFrame(list(BANDS), "figure string, low double, high double")
     return gates.numbers_gate(marts.figures(review.diagnostic(p.episodes, p.code_state)), bands)
 
 
 def headline_code(spark, sf_dir):
-    p = Pipeline(spark, sf_dir)
+    p = StarPlan(spark, sf_dir)
     return marts.headline_code(p.series, p.code_state, STAR)
 
 
 def outlook_dots(spark, sf_dir):
-    p = Pipeline(spark, sf_dir)
+    p = StarPlan(spark, sf_dir)
     at_origin = p.forecast.filter(F.col("origin_mi") == STAR.end_mi)
     return forecast.dots(at_origin, STAR).select(
         "product_code", "model", months.label("origin_mi").alias("origin"), months.label("target_mi").alias("target"),
@@ -111,27 +111,27 @@ def outlook_dots(spark, sf_dir):
 
 
 def outlook(spark, sf_dir):
-    p = Pipeline(spark, sf_dir)
+    p = StarPlan(spark, sf_dir)
     return marts.outlook(p.forecast, p.promotion, STAR.end_mi)
 
 
 def locked_test(spark, sf_dir):
-    p = Pipeline(spark, sf_dir)
+    p = StarPlan(spark, sf_dir)
     return marts.locked_test(p.forecast, p.promotion)
 
 
 def largest_episode(spark, sf_dir):
-    p = Pipeline(spark, sf_dir)
+    p = StarPlan(spark, sf_dir)
     return marts.largest_episode(p.evaluated, p.queue)
 
 
 def coverage_by_code(spark, sf_dir):
-    p = Pipeline(spark, sf_dir)
+    p = StarPlan(spark, sf_dir)
     return marts.coverage_by_code(p.cells, p.code_state, STAR)
 
 
 def lanes(spark, sf_dir):
-    p = Pipeline(spark, sf_dir)
+    p = StarPlan(spark, sf_dir)
     return marts.lanes(p.evaluated, p.episodes, p.code_state, p.class_one_months)
 
 
@@ -146,15 +146,15 @@ def cohort_facts(spark, sf_dir):
 
 
 def recall_timeline(spark, sf_dir):
-    return recall.published(Pipeline(spark, sf_dir).recall_timeline)
+    return recall.published(StarPlan(spark, sf_dir).recall_timeline)
 
 
 def recall_meta(spark, sf_dir):
-    return recall.meta(star.recall_records(spark, sf_dir), Pipeline(spark, sf_dir).recall_timeline)
+    return recall.meta(star.recall_records(spark, sf_dir), StarPlan(spark, sf_dir).recall_timeline)
 
 
 def recall_count(spark, sf_dir):
-    p = Pipeline(spark, sf_dir)
+    p = StarPlan(spark, sf_dir)
     return recall.pre_registered_count(p.class_one_months, p.queue, p.evaluated_span, STAR)
 
 
@@ -175,11 +175,11 @@ def known_event_recovery(spark, sf_dir):
             F.col("o.o_orderdate").cast("date").cast("string").alias("initiated"), F.lit("Class I").alias("classification"),
         )
     )
-    return recall.known_events(expected, Pipeline(spark, sf_dir).recall_timeline)
+    return recall.known_events(expected, StarPlan(spark, sf_dir).recall_timeline)
 
 
 def forecast_gates(spark, sf_dir):
-    p = Pipeline(spark, sf_dir)
+    p = StarPlan(spark, sf_dir)
     gated = p.gate.filter("forecast").select("product_code")
     return gates.forecast_gate(p.forecast, gated, STAR).unionByName(gates.queue_gate(p.queue, p.evaluated))
 

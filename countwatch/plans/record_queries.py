@@ -8,37 +8,37 @@ from pyspark.sql import functions as F
 from countwatch.config import STAR
 from countwatch.functions import months, text
 from countwatch.operators import compare, gates, live, measures, records
-from countwatch.plans.pipeline import Pipeline
+from countwatch.plans.star_plan import StarPlan
 from countwatch.sources import manifests, star
 
 
 def m01_monthly_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    monthly = Pipeline(spark, sf_dir).monthly_lazy()
+    monthly = StarPlan(spark, sf_dir).monthly_lazy()
     return monthly.select(
         "product_code", months.label("mi").alias("month"), "raw_reports", "excluded_reports", "eligible_reports"
     )
 
 
 def m01_spine_variance(spark, sf_dir):
-    p = Pipeline(spark, sf_dir)
+    p = StarPlan(spark, sf_dir)
     by_month = measures.day_counts_to_months(p.daily, STAR.window_start, STAR.as_of)
     return measures.spine_variance(p.monthly_lazy(), by_month)
 
 
 def m02_lag_matched(spark, sf_dir):
-    return measures.lag_matched(Pipeline(spark, sf_dir).eligible, STAR)
+    return measures.lag_matched(StarPlan(spark, sf_dir).eligible, STAR)
 
 
 def lag_summary(spark, sf_dir):
-    return measures.lag_summary(Pipeline(spark, sf_dir).eligible, STAR)
+    return measures.lag_summary(StarPlan(spark, sf_dir).eligible, STAR)
 
 
 def event_type_mix(spark, sf_dir):
-    return measures.event_type_mix(Pipeline(spark, sf_dir).eligible)
+    return measures.event_type_mix(StarPlan(spark, sf_dir).eligible)
 
 
 def remedial_count(spark, sf_dir):
-    return measures.remedial_counts(Pipeline(spark, sf_dir).eligible, text.mentions("remedial_action", "urgent"))
+    return measures.remedial_counts(StarPlan(spark, sf_dir).eligible, text.mentions("remedial_action", "urgent"))
 
 
 # The six codes of the star tables, for the pivoted table's columns.
@@ -46,12 +46,12 @@ STAR_CODES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 
 
 def remedial_by_month(spark, sf_dir):
-    p = Pipeline(spark, sf_dir)
+    p = StarPlan(spark, sf_dir)
     counts = measures.remedial_counts(p.eligible, text.mentions("remedial_action", "urgent"))
     return measures.remedial_by_month(counts, p.codes, STAR, STAR_CODES)
 
 
-def _audit(p: Pipeline) -> DataFrame:
+def _audit(p: StarPlan) -> DataFrame:
     """B5 from device rows: distinct (report, code, field, token) hits."""
     hits = F.array(
         F.struct(F.lit("device.brand_name").alias("field"), F.col("brand_token").alias("token")),
@@ -67,16 +67,16 @@ def _audit(p: Pipeline) -> DataFrame:
 
 
 def exclusion_audit(spark, sf_dir):
-    return _audit(Pipeline(spark, sf_dir))
+    return _audit(StarPlan(spark, sf_dir))
 
 
 def exclusion_receipt(spark, sf_dir):
-    p = Pipeline(spark, sf_dir)
+    p = StarPlan(spark, sf_dir)
     return measures.exclusion_receipt(_audit(p), p.members)
 
 
 def quarantine(spark, sf_dir):
-    p = Pipeline(spark, sf_dir)
+    p = StarPlan(spark, sf_dir)
     received = star.table(spark, sf_dir, "orders").select(star.day_string("o_orderdate").alias("date_received"))
     line = star.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     part = star.table(spark, sf_dir, "part").select("p_partkey", "p_type")
@@ -87,7 +87,7 @@ def quarantine(spark, sf_dir):
 
 
 def cohort_gate(spark, sf_dir):
-    p = Pipeline(spark, sf_dir)
+    p = StarPlan(spark, sf_dir)
     stage_a = measures.gate_a(measures.day_counts_to_months(p.daily), STAR)
     return measures.gate_b(stage_a, p.monthly_lazy(), STAR)
 
@@ -110,7 +110,7 @@ def excluded_code_union(spark, sf_dir):
 
 
 def product_code_dim(spark, sf_dir):
-    p = Pipeline(spark, sf_dir)
+    p = StarPlan(spark, sf_dir)
     part = star.table(spark, sf_dir, "part").select("p_type", "p_size", "p_retailprice", "p_brand")
     classification = part.groupBy(F.col("p_type").alias("product_code")).agg(
         F.min("p_size").cast("long").alias("smallest_size"),
@@ -126,18 +126,18 @@ def product_code_dim(spark, sf_dir):
 
 
 def record_facts(spark, sf_dir):
-    return measures.summary_composition(Pipeline(spark, sf_dir).eligible)
+    return measures.summary_composition(StarPlan(spark, sf_dir).eligible)
 
 
 def distinct_totals(spark, sf_dir):
-    return measures.distinct_totals(Pipeline(spark, sf_dir).reports)
+    return measures.distinct_totals(StarPlan(spark, sf_dir).reports)
 
 
 CAPACITY = 150
 
 
 def capacity_windows(spark, sf_dir):
-    return measures.capacity_windows(Pipeline(spark, sf_dir).daily, CAPACITY, STAR.window_start, STAR.as_of)
+    return measures.capacity_windows(StarPlan(spark, sf_dir).daily, CAPACITY, STAR.window_start, STAR.as_of)
 
 
 def record_first_seen(spark, sf_dir):
@@ -153,7 +153,7 @@ def record_first_seen(spark, sf_dir):
 
 def lag_view(spark, sf_dir):
     """Lag shares by event month, months still filling, and the year before."""
-    p = Pipeline(spark, sf_dir)
+    p = StarPlan(spark, sf_dir)
     from countwatch.operators import marts
 
     return marts.lag_view(measures.lag_matched(p.eligible, STAR), STAR)
@@ -161,7 +161,7 @@ def lag_view(spark, sf_dir):
 
 def second_path_monthly(spark, sf_dir):
     """M-01 as published against counts taken straight from lines, cell by cell."""
-    p = Pipeline(spark, sf_dir)
+    p = StarPlan(spark, sf_dir)
     derived = measures.day_counts_to_months(p.daily, STAR.window_start, STAR.as_of).withColumnRenamed(
         "series_reports", "raw_reports"
     )
@@ -171,7 +171,7 @@ def second_path_monthly(spark, sf_dir):
 
 
 def gate_results(spark, sf_dir):
-    p = Pipeline(spark, sf_dir)
+    p = StarPlan(spark, sf_dir)
     return gates.record_gates(spark, sf_dir, p)
 
 
@@ -216,7 +216,7 @@ def token_scan(spark, sf_dir):
 
 def bucket_check(spark, sf_dir):
     """B19 over daily buckets rendered as source text; a bucket from a December is given a bad day."""
-    daily = Pipeline(spark, sf_dir).daily
+    daily = StarPlan(spark, sf_dir).daily
     time = F.when(F.col("day").substr(5, 2) == "12", F.concat(F.col("day"), F.lit("x"))).otherwise(F.col("day"))
     return live.bucket_problems(daily.select("product_code", time.alias("time"), "count"))
 

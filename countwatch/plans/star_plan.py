@@ -1,4 +1,4 @@
-"""The star-schema pipeline: every stage of the engine as a lazily built DataFrame.
+"""The star-schema plan: every stage of the engine as a lazily built DataFrame.
 
 The record tables are scanned once per query; what leaves that scan is at most codes x months rows
 and is staged to the shared folder before the forecasting layers read it repeatedly.
@@ -17,7 +17,7 @@ from countwatch.session import stage
 from countwatch.sources import star
 
 
-class Pipeline:
+class StarPlan:
     """Cached properties are plans, not data; only what ``stage`` writes is computed here."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, harness: Harness = STAR):

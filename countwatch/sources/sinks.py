@@ -14,15 +14,15 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def export_csv(df: DataFrame, path: str, order: Sequence[str], empty_label: dict | None = None) -> None:
-    """A5/F1: one published CSV in its stated order; booleans as true/false, absent as empty.
+    """A5/F1: a published CSV in its stated order; booleans as true/false, absent as empty.
 
-    Published tables are aggregates (codes x months), which is what makes a single file fit. An
+    The sort is a range partitioning, so part files are in order and a small table is one file. An
     empty table gets its labelled row here and nowhere else.
     """
     if empty_label is not None and df.isEmpty():
         df = df.sparkSession.createDataFrame([empty_label]).select(*empty_label)
     ordered = df.orderBy(*[c for c in order if c in df.columns])
-    ordered.coalesce(1).write.mode("overwrite").option("header", True).option("lineSep", "\n").csv(path)
+    ordered.write.mode("overwrite").option("header", True).option("lineSep", "\n").csv(path)
 
 
 def write_record_table(df: DataFrame, name: str, key: str, buckets: int) -> None:
@@ -32,7 +32,7 @@ def write_record_table(df: DataFrame, name: str, key: str, buckets: int) -> None
 
 def write_json_fact(df: DataFrame, path: str) -> None:
     """A one-row table of facts as one JSON object."""
-    df.coalesce(1).write.mode("overwrite").json(path)
+    df.write.mode("overwrite").json(path)
 
 
 def append_history(df: DataFrame, path: str) -> None:

@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from countwatch.config import STAR, mi_of
 from countwatch.operators import compare, gates, measures, recall
-from countwatch.plans.pipeline import Pipeline
+from countwatch.plans.star_plan import StarPlan
 
 
 @pytest.fixture(scope="module")
 def tables(spark, sf_small):
-    p = Pipeline(spark, sf_small)
+    p = StarPlan(spark, sf_small)
     report = p.reports.cache()
     bridge = p.devices.select("report_key", "product_code").distinct().cache()
     series = measures.day_counts_to_months(p.daily, STAR.window_start, STAR.as_of)
