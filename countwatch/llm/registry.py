@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from countwatch.llm import simhash
+from countwatch.llm import secrets, sentencepieces, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
+    "op4_secrets": secrets.op4_secrets,
+    "op8_sentencepiece": sentencepieces.op8_sentencepiece,
 }
 ORACLES: dict[str, str] = {}
