@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from countwatch.llm import quality, secrets, sentencepieces, simhash, toxicity
+from countwatch.llm import embeddings, quality, secrets, sentencepieces, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
     "op4_secrets": secrets.op4_secrets,
     "op6_quality": quality.op6_quality,
+    "op7_embeddings": embeddings.op7_embeddings,
     "op8_sentencepiece": sentencepieces.op8_sentencepiece,
     "op9_toxicity": toxicity.op9_toxicity,
 }
