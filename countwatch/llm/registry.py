@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from countwatch.llm import embeddings, quality, secrets, sentencepieces, simhash, toxicity
+from countwatch.llm import embeddings, line_dedup, quality, secrets, sentencepieces, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
@@ -15,5 +15,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_embeddings": embeddings.op7_embeddings,
     "op8_sentencepiece": sentencepieces.op8_sentencepiece,
     "op9_toxicity": toxicity.op9_toxicity,
+    "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 ORACLES: dict[str, str] = {}
