@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from countwatch.llm import embeddings, line_dedup, quality, secrets, sentencepieces, simhash, toxicity
+from countwatch.llm import decontaminate, embeddings, line_dedup, quality, secrets, sentencepieces, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
+    "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_secrets": secrets.op4_secrets,
     "op6_quality": quality.op6_quality,
     "op7_embeddings": embeddings.op7_embeddings,
