@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from countwatch.llm import decontaminate, embeddings, line_dedup, quality, secrets, sentencepieces, simhash, toxicity
+from countwatch.llm import decontaminate, embeddings, line_dedup, quality, secrets, sentencepieces, simhash, toxicity, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_url_filter": url_filters.op2_url_filter,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_secrets": secrets.op4_secrets,
     "op6_quality": quality.op6_quality,
@@ -18,4 +19,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_url_filter": url_filters.OP2_SQL,
+}
