@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from countwatch.llm import decontaminate, embeddings, line_dedup, quality, secrets, sentencepieces, simhash, toxicity, url_filters
+from countwatch.llm import chat, decontaminate, embeddings, line_dedup, quality, secrets, sentencepieces, simhash, toxicity, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
     "op2_url_filter": url_filters.op2_url_filter,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_secrets": secrets.op4_secrets,
+    "op5_chat": chat.op5_chat,
     "op6_quality": quality.op6_quality,
     "op7_embeddings": embeddings.op7_embeddings,
     "op8_sentencepiece": sentencepieces.op8_sentencepiece,
