@@ -4,10 +4,12 @@ Lines are compared in lower case with white space collapsed; lines of fewer than
 never copies. Of equal lines the earliest stays (by id, hash of the text, place), and a line also goes if an
 earlier line is within one edit (one character inserted, deleted or replaced) of it.
 
-Two lines within one edit agree on their first or their last half: with ``q`` the shorter length, on the
-first ``q // 2`` or the last ``q - q // 2`` characters. So each distinct line has four half keys (for q its
-length and one less), and only lines that share a half key with another distinct line emit their deletion
-neighbourhood, of the other half alone. A variant's key is a 128-bit hash of half, place and rest:
+Two lines within one edit share their first or their last ``half(q)`` characters, q being the shorter length.
+So a line has a key for its first and its last half (for q its own length and one less, mostly the same
+half). A line that shares such a key with a different line gets finer ones: what lies outside the half is cut
+into ``PIECES`` pieces, all but one of which the edit leaves alone, so a finer key holds everything but one
+piece. Only lines that share one of these with a different line emit the deletion neighbourhood, of that
+piece alone. A variant's key is a 128-bit hash of the finer key, place and rest of the piece:
 
 - the rest without character p, with p: lines with an equal key differ at p at most, so each of them is a
   copy of the earliest;
@@ -15,7 +17,8 @@ neighbourhood, of the other half alone. A variant's key is a 128-bit hash of hal
   the shorter line is a copy of the earliest longer one, or they of it.
 
 A key's earliest lines are minima, so no pair inside a group is formed, and a candidate's distance to that
-earliest line is verified on the texts before it goes.
+earliest line is verified on the texts before it goes. Lines travel as hashes and places; texts are fetched
+for lines with a shared half only.
 """
 
 from __future__ import annotations
@@ -32,37 +35,59 @@ from countwatch.llm.common import arrow_map, fresh, key_filter, passes, stage, t
 
 MIN_CHARS = 20
 FILTER_BITS = 1 << 26
-HALVES = ("p1", "s1", "p0", "s0")  # for q = length - 1 and q = length: first and last half
+#: Pieces of what lies outside a shared half; none is shorter than eight characters.
+PIECES = 8
+KEYS = ("first_half", "last_half", "first_half_less", "last_half_less")
 
 
 def normalise(line: str) -> str:
     return " ".join(line.lower().split())
 
 
-def cuts(x: str, which: int) -> tuple[str, str, bool]:
-    """For one of the four half keys: the half, the rest, and whether the line is the longer one."""
-    n = len(x)
-    q = n - 1 if which < 2 else n
-    h = q // 2
-    if which % 2 == 0:
-        return x[:h], x[h:], q < n
-    return x[n - (q - h) :], x[: n - (q - h)], q < n
+def half(q: int) -> int:
+    """At most half of q, in steps, so that neighbouring lengths mostly have the same."""
+    step = 4 if q < 128 else 16
+    return q // 2 // step * step
 
 
-def half_keys(x: str) -> list[int]:
+def half_keys(x: str) -> list[int | None]:
+    """Keys of first and last half for q the length, and for one less where that half is another."""
     n = len(x)
-    return [xxhash.xxh64_intdigest(cuts(x, w)[0].encode(), 2 * (n - 1 if w < 2 else n) + w % 2) for w in range(4)]
+    out: list[int | None] = []
+    for h in (half(n), half(n - 1) if half(n - 1) != half(n) else 0):
+        out += [xxhash.xxh64_intdigest(x[:h].encode(), 2 * h), xxhash.xxh64_intdigest(x[n - h :].encode(), 2 * h + 1)] if h else [None, None]
+    return out
+
 
+def pieces(x: str, which: int, key: int) -> list[tuple[int, int, str, bool]]:
+    """(finer key, number, piece, longer) for one of the half keys: everything but a piece, hashed.
 
-def neighbourhood(x: str, which: int, key: int) -> list[tuple[bytes, int]]:
-    """(key, role) of the variants; role 0: replaced at p, 1: the shorter line, 2: the longer line."""
-    _, rest, longer = cuts(x, which)
-    raw = [rest[:p].encode() + b"\xff" + rest[p + 1 :].encode() for p in range(len(rest))] if not longer else [(rest[:p] + rest[p + 1 :]).encode() for p in range(len(rest))]
-    seed = key & 0xFFFFFFFFFFFFFFFF
+    Pieces are cut on the shorter line's length: the longer line's piece has one character more.
+    """
+    n = len(x)
+    out = []
+    for q in (n, n - 1):
+        h = half(q)
+        if (which < 2) != (q == n) and half(n) != half(n - 1) or not h:
+            continue
+        rest, r = (x[h:], q - h) if which % 2 == 0 else (x[: n - h], q - h)
+        size = max(8, -(-r // PIECES))
+        for j, a in enumerate(range(0, r, size)):
+            after = max(r - a - size, 0)
+            stop = len(rest) - after
+            finer = xxhash.xxh64_intdigest(f"{key}:{q}:{j}:{rest[:a]}\n{rest[stop:]}".encode())
+            out.append((finer, 2 * j + (q < n), rest[a:stop], q < n))
+    return out
+
+
+def neighbourhood(piece: str, finer: int, longer: bool) -> list[tuple[bytes, int]]:
+    """(key, role) of a piece's variants; role 0: replaced at p, 1: the shorter line, 2: the longer line."""
+    seed = finer & 0xFFFFFFFFFFFFFFFF
     digest = xxhash.xxh3_128_digest
     if longer:
-        return [(digest(v, seed), 2) for v in dict.fromkeys(raw)]
-    return [(digest(v, seed), 0) for v in raw] + [(digest(rest.encode(), seed), 1)]
+        return [(digest(v.encode(), seed), 2) for v in dict.fromkeys(piece[:p] + piece[p + 1 :] for p in range(len(piece)))]
+    out = [(digest(piece[:p].encode() + b"\xff" + piece[p + 1 :].encode(), seed), 0) for p in range(len(piece))]
+    return [*out, (digest(piece.encode(), seed), 1)]
 
 
 def within_one(a: str, b: str) -> bool:
@@ -80,64 +105,100 @@ def _longs(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return pairs[:, 0], pairs[:, 1]
 
 
+def _lines(batch: pa.RecordBatch, min_chars: int) -> Iterator[tuple[int, int, str]]:
+    """(row, place, normalised line) of the lines that are long enough."""
+    for i, text in enumerate(texts(batch, "text")):
+        for j, line in enumerate(text.split("\n")):
+            if len(line) >= min_chars and len(x := normalise(line)) >= min_chars:
+                yield i, j, x
+
+
+def _text_keys(batch: pa.RecordBatch) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(t.encode(), 42) for t in texts(batch, "text")], dtype=np.uint64).view(np.int64)
+
+
 def _occurrences(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, place, digests, halves, keys = [], [], [], [], []
-            for i, text in enumerate(texts(batch, "text")):
-                keys.append(xxhash.xxh64_intdigest(text.encode(), 42))
-                for j, line in enumerate(text.split("\n")):
-                    if len(line) >= min_chars and len(x := normalise(line)) >= min_chars:
-                        at.append(i)
-                        place.append(j)
-                        digests.append(xxhash.xxh3_128_digest(x.encode()))
-                        halves.append(half_keys(x))
+            at, place, digests, keys = [], [], [], []
+            for i, j, x in _lines(batch, min_chars):
+                at.append(i)
+                place.append(j)
+                digests.append(xxhash.xxh3_128_digest(x.encode()))
+                keys.append(half_keys(x))
             h, g = _longs(digests)
-            four = np.array(halves, dtype=np.uint64).reshape(-1, 4).view(np.int64)
-            rows = pa.array(np.array(at, dtype=np.int64))
-            tkey = np.array(keys, dtype=np.uint64).view(np.int64)[np.array(at, dtype=np.int64)]
+            rows = np.array(at, dtype=np.int64)
+            four = zip(*keys, strict=True) if keys else [()] * 4
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(rows), pa.array(tkey), pa.array(place, pa.int32()), pa.array(h), pa.array(g), *(pa.array(np.ascontiguousarray(four[:, k])) for k in range(4))],
-                ["id", "tkey", "line", "h", "g", *HALVES],
+                [batch.column("id").take(pa.array(rows)), pa.array(_text_keys(batch)[rows]), pa.array(place, pa.int32()), pa.array(h), pa.array(g), *(pa.array(k, pa.uint64()).view(pa.int64()) for k in four)],
+                ["id", "tkey", "line", "h", "g", *KEYS],
             )
 
     return run
 
 
 def _picked(shared, min_chars: int):
-    """Texts of the lines whose hash may be wanted, once per block."""
+    """Lines with a key that may be shared, with key, place and text; of a block's equal lines the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lines = {x for text in texts(batch, "text") for line in text.split("\n") if len(line) >= min_chars and len(x := normalise(line)) >= min_chars}
-            own = list(lines)
-            h, g = _longs([xxhash.xxh3_128_digest(x.encode()) for x in own])
-            at = np.flatnonzero(passes(shared.value, h.view(np.uint64)))
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array(g[at]), pa.array([own[i] for i in at.tolist()], pa.string())], ["h", "g", "x"])
+            tkeys, ids = _text_keys(batch), batch.column("id").to_pylist()
+            seen: dict[str, tuple] = {}
+            for i, j, x in _lines(batch, min_chars):
+                order = (ids[i] is None, ids[i] or 0, int(tkeys[i]), j, i)
+                if x not in seen or order < seen[x]:
+                    seen[x] = order
+            rows = [(w, k, o, x) for x, o in seen.items() for w, k in enumerate(half_keys(x)) if k is not None]
+            if not rows:
+                continue
+            keys = np.array([r[1] for r in rows], dtype=np.uint64)
+            rows = [rows[i] for i in np.flatnonzero(passes(shared.value, keys)).tolist()]
+            if rows:
+                which, key, order, x = zip(*rows, strict=True)
+                h, g = _longs([xxhash.xxh3_128_digest(t.encode()) for t in x])
+                at = np.array([o[4] for o in order])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(which, pa.int32()), pa.array(np.array(key, dtype=np.uint64).view(np.int64)), batch.column("id").take(pa.array(at)), pa.array(tkeys[at]), pa.array([o[3] for o in order], pa.int32()), pa.array(h), pa.array(g), pa.array(x, pa.string())],
+                    ["which", "key", "id", "tkey", "line", "h", "g", "x"],
+                )
 
     return run
 
 
+def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [
+            (finer, which, key, number, rank)
+            for which, key, rank, x in zip(*(batch.column(c).to_pylist() for c in ("which", "key", "rank", "x")), strict=True)
+            for finer, number, _, _ in pieces(x, which, key)
+        ]
+        if rows:
+            finer, which, key, number, rank = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.array(finer, dtype=np.uint64).view(np.int64)), pa.array(which, pa.int32()), pa.array(key, pa.int64()), pa.array(number, pa.int32()), pa.array(rank, pa.int64())],
+                ["finer", "which", "key", "number", "rank"],
+            )
+
+
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        which, key, lines = batch.column("which").to_pylist(), batch.column("key").to_pylist(), batch.column("x").to_pylist()
-        at, roles, digests = [], [], []
+        ranks, roles, digests = [], [], []
 
         def out() -> pa.RecordBatch:
             a, b = _longs(digests)
-            rows = pa.array(np.array(at, dtype=np.int64))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(roles, pa.int32()), batch.column("first").take(rows)], ["v", "w", "role", "first"])
-
-        for i, x in enumerate(lines):
-            for digest, role in neighbourhood(x, which[i], key[i]):
-                at.append(i)
-                roles.append(role)
-                digests.append(digest)
-            if len(at) > 50_000:
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(roles, pa.int32()), pa.array(ranks, pa.int64())], ["v", "w", "role", "rank"])
+
+        for which, key, number, rank, x in zip(*(batch.column(c).to_pylist() for c in ("which", "key", "number", "rank", "x")), strict=True):
+            for finer, own, piece, longer in pieces(x, which, key):
+                if own == number:
+                    for digest, role in neighbourhood(piece, finer, longer):
+                        ranks.append(rank)
+                        roles.append(role)
+                        digests.append(digest)
+            if len(ranks) > 50_000:
                 yield out()
-                at, roles, digests = [], [], []
-        if at:
+                ranks, roles, digests = [], [], []
+        if ranks:
             yield out()
 
 
@@ -147,39 +208,44 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["h", "g"]).filter(pa.array(near, pa.bool_()))
 
 
-FIRST = "struct<nameless: boolean, id: long, tkey: long, line: int, h: long, g: long>"
+def place_of() -> Column:
+    """The order of lines: by id (null last), hash of the text, line."""
+    return F.struct(F.col("id").isNull().alias("nameless"), "id", "tkey", "line")
 
 
-def near_lines(docs: DataFrame, distinct: DataFrame, min_chars: int) -> DataFrame:
+def near_lines(docs: DataFrame, occurrences: DataFrame, min_chars: int) -> DataFrame:
     """(h, g) of the distinct lines that have an earlier line within one edit."""
-    keys = distinct.select("h", "g", F.posexplode(F.array(*HALVES)).alias("which", "key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    wanted = stage(keys.join(shared, "key"), "half_matches")
-    spark = docs.sparkSession
-    bitmap = spark.sparkContext.broadcast(key_filter(wanted, "h", FILTER_BITS))
-    lines = stage(arrow_map(docs.select("text"), _picked(bitmap, min_chars), "h long, g long, x string").dropDuplicates(["h", "g"]), "half_lines")
-    full = wanted.join(lines, ["h", "g"]).join(distinct.select("h", "g", "first"), ["h", "g"])
-    variants = arrow_map(full.select("which", "key", "x", "first"), _variants, f"v long, w long, role int, first {FIRST}")
-    variants = stage(variants, "variants")
-    least = variants.groupBy("v", "w").agg(*(F.min(F.when(F.col("role") == r, F.col("first"))).alias(f"m{r}") for r in range(3)), F.count("*").alias("n")).where("n > 1").drop("n")
+    keys = occurrences.select("h", F.explode(F.array(*KEYS)).alias("key")).where("key is not null")
+    # Different lines meet under a key where its smallest and largest line hash differ.
+    shared = stage(keys.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a != b").select("key"), "shared_halves")
+    bitmap = docs.sparkSession.sparkContext.broadcast(key_filter(shared, "key", FILTER_BITS))
+    picked = arrow_map(docs, _picked(bitmap, min_chars), "which int, key long, id long, tkey long, line int, h long, g long, x string")
+    met = stage(picked.join(shared, "key", "left_semi"), "half_lines")
+    # Numbers in the order of first places, so that the earliest line of a group is the least number.
+    lines = met.groupBy("h", "g").agg(F.min(place_of()).alias("first"), F.first("x").alias("x"))
+    lines = stage(lines.orderBy("first").select("h", "g", "x", F.monotonically_increasing_id().alias("rank")), "ranked_lines")
+    halves = met.select("h", "g", "which", "key").distinct().join(lines, ["h", "g"])
+    finer = stage(arrow_map(halves.select("which", "key", "rank", "x"), _finer, "finer long, which int, key long, number int, rank long"), "finer_keys")
+    alike = finer.groupBy("finer").agg(F.min("rank").alias("a"), F.max("rank").alias("b")).where("a != b").select("finer")
+    own = finer.join(alike, "finer", "left_semi").drop("finer").join(lines.select("rank", "x"), "rank")
+    variants = stage(arrow_map(own, _variants, "v long, w long, role int, rank long"), "variants")
+    least = variants.groupBy("v", "w").agg(*(F.min(F.when(F.col("role") == r, F.col("rank"))).alias(f"m{r}") for r in range(3)), F.count("*").alias("n")).where("n > 1").drop("n")
     earlier = F.when(F.col("role") == 0, F.col("m0")).when(F.col("role") == 1, F.col("m2")).otherwise(F.col("m1"))
-    pairs = variants.join(least, ["v", "w"]).withColumn("early", earlier).where("early < first")
-    pairs = pairs.select(F.col("first.h").alias("h"), F.col("first.g").alias("g"), F.col("early.h").alias("eh"), F.col("early.g").alias("eg")).distinct()
-    pairs = pairs.join(lines, ["h", "g"]).join(lines.select(F.col("h").alias("eh"), F.col("g").alias("eg"), F.col("x").alias("y")), ["eh", "eg"])
+    pairs = variants.join(least, ["v", "w"]).withColumn("early", earlier).where("early < rank").select("rank", "early").distinct()
+    pairs = pairs.join(lines, "rank").join(lines.select(F.col("rank").alias("early"), F.col("x").alias("y")), "early")
     return arrow_map(pairs.select("h", "g", "x", "y"), _verified, "h long, g long").distinct()
 
 
 def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(nameless, id, tkey, gone): for each document that loses lines their places; ``docs`` has id and text."""
-    occurrences = stage(
-        arrow_map(docs.select("id", "text"), _occurrences(min_chars), "id long, tkey long, line int, h long, g long, " + ", ".join(f"{c} long" for c in HALVES)), "lines"
-    ).withColumn("nameless", F.col("id").isNull())
-    place = F.struct("nameless", "id", "tkey", "line", "h", "g")
-    distinct = stage(occurrences.groupBy("h", "g").agg(F.min(place).alias("first"), F.count("*").alias("n"), *(F.min(c).alias(c) for c in HALVES)), "distinct_lines")
-    near = near_lines(docs, distinct, min_chars).withColumn("near", F.lit(True))
-    marked = distinct.select("h", "g", "first", "n").join(near, ["h", "g"], "left").where("n > 1 or near")
-    gone = occurrences.join(marked.select("h", "g", "first", "near"), ["h", "g"]).where(F.coalesce("near", F.lit(False)) | ~place.eqNullSafe(F.col("first")))
-    return gone.groupBy("nameless", F.coalesce("id", F.lit(0)).alias("id"), "tkey").agg(F.collect_set("line").alias("gone"))
+    occurrences = stage(arrow_map(docs.select("id", "text"), _occurrences(min_chars), "id long, tkey long, line int, h long, g long, " + ", ".join(f"{c} long" for c in KEYS)), "lines")
+    place = place_of()
+    repeated = occurrences.groupBy("h", "g").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    near = near_lines(docs.select("id", "text"), occurrences, min_chars)
+    none = F.lit(None).cast(repeated.schema["first"].dataType)
+    marked = stage(repeated.withColumn("near", F.lit(False)).unionByName(near.select("h", "g", none.alias("first"), F.lit(True).alias("near"))), "marked_lines")
+    gone = occurrences.select("id", "tkey", "line", "h", "g").join(marked, ["h", "g"]).where(F.col("near") | ~place.eqNullSafe(F.col("first")))
+    return gone.groupBy(F.col("id").isNull().alias("nameless"), F.coalesce("id", F.lit(0)).alias("id"), "tkey").agg(F.collect_set("line").alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
