@@ -55,10 +55,10 @@ def first_day_after(mi) -> Column:
     return F.concat(label(_c(mi) + 1), F.lit("-01"))
 
 
-def months_seen(last_updated, frozen_mi: int, horizon: int = 1200) -> Column:
-    """Month indexes after the freeze whose last day is strictly before ``last_updated``."""
+def months_seen(last_updated, frozen_mi: int) -> Column:
+    """Month indexes after the freeze whose last day is strictly before ``last_updated``, which bounds them."""
     upto = month_to_mi(F.substring(_c(last_updated), 1, 7))
     first = F.lit(frozen_mi + 1)
-    months = F.when(upto >= first, F.sequence(first, F.least(upto, F.lit(frozen_mi + horizon))))
+    months = F.when(upto >= first, F.sequence(first, upto))
     months = F.coalesce(months, F.array().cast("array<int>"))
     return F.filter(months, lambda m: month_end(m) < _c(last_updated))

@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from countwatch.session import ship
+
 # The declared parameter grid.
 ALPHAS = (0.1, 0.3, 0.5)
 BETAS = (0.01, 0.1)
@@ -46,21 +48,24 @@ def grid() -> list[tuple[float, float, float, float]]:
 
 
 def histories(series: DataFrame) -> DataFrame:
-    """One row per code: its month-ordered values. Length is bounded by the calendar span.
+    """One row per code: its values by calendar month from its first to its last, and the first gap.
 
-    The fit that follows costs far more than these few bytes suggest, so the codes are spread by core
-    count here; left to itself, adaptive coalescing would pack them into a few tasks by size.
+    Values after a month that is missing are not used: the recurrence would take them for the months
+    before. ``gap_mi`` is that month (null without one), ``last_mi`` the last month of the series. Codes are dealt
+    by their own hash over the session's shuffle partitions, whatever cores it has at the moment.
     """
-    spark = series.sparkSession
-    tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    ship(series.sparkSession)
+    tasks = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = series.filter(F.col("y").isNotNull()).repartition(tasks, "product_code")
     packed = spread.groupBy("product_code").agg(
         F.array_sort(F.collect_list(F.struct("mi", "y"))).alias("h")
     )
+    first, last = F.element_at("h", 1)["mi"], F.element_at("h", -1)["mi"]
+    together = F.filter("h", lambda r, i: r["mi"] == first + i)
+    gap = F.when(F.size(together) < F.size("h"), first + F.size(together))
     return packed.select(
-        "product_code",
-        F.element_at("h", 1)["mi"].alias("first_mi"),
-        F.transform("h", lambda r: F.log1p(r["y"].cast("double"))).alias("z"),
+        "product_code", first.alias("first_mi"), gap.alias("gap_mi"), last.alias("last_mi"),
+        F.transform(together, lambda r: F.log1p(r["y"].cast("double"))).alias("z"),
     )
 
 
@@ -133,16 +138,28 @@ def filter_paths(series: DataFrame, points=None) -> DataFrame:
 def fits(series: DataFrame, points=None) -> DataFrame:
     """The chosen state per (code, origin), one row for every month of history.
 
-    A fit fails, and says so, on fewer than 24 observations or on a constant history.
+    A fit fails, and says so, on fewer than 24 observations, on a constant history, and from a missing
+    month on.
     """
     chosen = np.array(points or grid())
 
+    def broken(pdf: pd.DataFrame) -> pd.DataFrame:
+        """A row per month from a code's first missing one to its last."""
+        gone = pdf[pdf["gap_mi"].notna()]
+        spans = [np.arange(int(g), last + 1) for g, last in zip(gone["gap_mi"], gone["last_mi"])]
+        sizes = [len(s) for s in spans]
+        one = gone.loc[gone.index.repeat(sizes), ["product_code"]].assign(first_mi=np.concatenate([*spans, np.zeros(0, dtype=int)]).astype("int32"))
+        known = np.repeat([len(z) for z in gone["z"]], sizes)
+        return _fit_rows(one, np.array([1])).assign(n_obs=known, fit_error="missing month")
+
     def short(block: pd.DataFrame, upto: int) -> pd.DataFrame:
         t = np.arange(1, upto + 1)
         return _fit_rows(block, t).assign(fit_error=f"fewer than {MIN_OBS} observations")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            if pdf["gap_mi"].notna().any():
+                yield broken(pdf)
             for block, z in _blocks(pdf, max(1, PAIRS_PER_STEP // len(chosen))):
                 yield short(block, min(z.shape[1], MIN_OBS - 1))
                 if z.shape[1] < MIN_OBS:

@@ -173,7 +173,8 @@ def record_gates(spark: SparkSession, sf_dir: str, p) -> DataFrame:
     p.reports = stage(p.reports, "reports")
     daily = measures.day_counts_to_months(p.daily, p.harness.window_start, p.harness.as_of)
     monthly = measures.spine_variance(p.monthly_lazy(), daily)
-    bridge = p.devices.select("report_key", "product_code").distinct()
+    # The pairs that the measures count, not a deduplicated copy: a pair that comes twice must show here.
+    bridge = p.reports.select("report_key", F.explode("codes").alias("product_code"))
     return (
         monthly_gate(monthly)
         .unionByName(report_gate(p.reports, p.harness))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -45,36 +44,52 @@ def datum_checks(meta: DataFrame, frozen_last_updated: str) -> DataFrame:
     return one.select(F.explode(rows).alias("c")).select("c.check", "c.passed")
 
 
-def dispositions(spark: SparkSession, entries: Iterable[Mapping], cohort: set[str], first: str, last: str) -> DataFrame:
-    """L4/A10: the hand-written revision list, validated entry by entry before anything is read.
+DISPOSITION_ENTRY = ", ".join(f"{k} string" for k in sorted(DISPOSITION_KEYS)) + ", entry int, other_keys string, absent_keys string"
+
+
+def disposition_faults(entries: DataFrame, cohort: set[str], first: str, last: str) -> DataFrame:
+    """L4: one row per (entry, rule) that a listed revision breaks; an empty list breaks none.
 
-    An empty list is valid. The list is written by people, a line per decision, so it is driver input.
+    ``entries`` has the record's fields as text, the entry's number, and the names of fields that are too many
+    or lacking. The rules are constraint columns, so the list may come from anywhere.
     """
-    seen: set[tuple[str, str]] = set()
+    whole = lambda c: F.coalesce(F.col(c).rlike("^[0-9]+$"), F.lit(False))
+    size = lambda c: F.expr(f"try_cast({c} AS BIGINT)")
+    shape = lambda c, pattern: F.coalesce(F.col(c).rlike(pattern), F.lit(False))
+    month = shape("month", "^[0-9]{4}-[0-9]{2}$") & F.col("month").between(first, last)
+    entries = entries.withColumn("listed", F.count(F.lit(1)).over(Window.partitionBy("code", "month")))
+    rules = {
+        "fields": (F.col("other_keys") == "") & (F.col("absent_keys") == ""),
+        "cohort": F.coalesce(F.col("code").isin(*sorted(cohort)), F.lit(False)),
+        "frozen month": month,
+        "counts": whole("frozen") & whole("live_at_disposition") & F.coalesce(size("live_at_disposition") < size("frozen"), F.lit(False)),
+        "day": shape("dispositioned", "^[0-9]{4}-[0-9]{2}-[0-9]{2}$"),
+        "label": F.coalesce(F.col("classification") == DISPOSITION_LABEL, F.lit(False)),
+        "decision": shape("decision", "^D[0-9]+$"),
+        "single": F.col("listed") == 1,
+    }
+    held = F.array(*(F.struct(F.lit(name).alias("rule"), ok.alias("holds")) for name, ok in rules.items()))
+    return entries.select("entry", F.explode(held).alias("r")).where("not r.holds").select("entry", "r.rule")
+
+
+def dispositions(spark: SparkSession, entries: Iterable[Mapping], cohort: set[str], first: str, last: str) -> DataFrame:
+    """L4/A10: the hand-written revision list as a table; any broken rule stops before anything is read."""
+    text_of = lambda v: None if isinstance(v, bool) else str(v) if isinstance(v, (int, str)) else v and str(v)
     rows = []
     for n, entry in enumerate(entries, start=1):
-        where = f"disposition {n}"
-        if not isinstance(entry, Mapping) or set(entry) != DISPOSITION_KEYS:
-            raise ValueError(f"{where}: exactly the keys {sorted(DISPOSITION_KEYS)} are required")
-        code, month, frozen, live = (entry[k] for k in ("code", "month", "frozen", "live_at_disposition"))
-        whole = all(isinstance(v, int) and not isinstance(v, bool) for v in (frozen, live))
-        problems = {
-            "code outside the cohort": code not in cohort,
-            "month is not a frozen month": not (
-                isinstance(month, str) and re.fullmatch(r"\d{4}-\d{2}", month) and first <= month <= last
-            ),
-            "counts must be integers with 0 <= live < frozen": not (whole and 0 <= live < frozen),
-            "dispositioned is not a date": not re.fullmatch(r"\d{4}-\d{2}-\d{2}", str(entry["dispositioned"])),
-            "unknown classification": entry["classification"] != DISPOSITION_LABEL,
-            "decision is not an entry number": not re.fullmatch(r"D\d+", str(entry["decision"])),
-            "listed twice": (code, month) in seen,
-        }
-        wrong = [what for what, bad in problems.items() if bad]
-        if wrong:
-            raise ValueError(f"{where}: {'; '.join(wrong)}")
-        seen.add((code, month))
-        rows.append((code, month, frozen, live, entry["dispositioned"], entry["decision"]))
-    return spark.createDataFrame(rows, DISPOSITION_SCHEMA)
+        fields = dict(entry) if isinstance(entry, Mapping) else {}
+        typed = {k: text_of(fields.get(k)) for k in DISPOSITION_KEYS}
+        for k in ("frozen", "live_at_disposition"):  # a quoted number is no count
+            typed[k] = typed[k] if isinstance(fields.get(k), int) else None
+        rows.append((*(typed[k] for k in sorted(DISPOSITION_KEYS)), n, ",".join(sorted(set(fields) - DISPOSITION_KEYS)), ",".join(sorted(DISPOSITION_KEYS - set(fields)))))
+    listed = spark.createDataFrame(rows, DISPOSITION_ENTRY)
+    faults = disposition_faults(listed, cohort, first, last).groupBy("entry").agg(F.array_join(F.array_sort(F.collect_set("rule")), ", ").alias("rules")).orderBy("entry").collect()
+    if faults:
+        raise ValueError("; ".join(f"entry {r.entry} breaks: {r.rules}" for r in faults))
+    return listed.select(
+        F.col("code").alias("product_code"), "month", F.col("frozen").cast("bigint").alias("frozen"),
+        F.col("live_at_disposition").cast("bigint").alias("live_at_disposition"), "dispositioned", "decision",
+    )
 
 
 def frozen_reread(frozen: DataFrame, live: DataFrame, disposed: DataFrame, harness: Harness) -> DataFrame:
@@ -104,49 +119,47 @@ def frozen_reread(frozen: DataFrame, live: DataFrame, disposed: DataFrame, harne
     return rows.withColumn("verdict", verdict)
 
 
-def variance_summary(reread: DataFrame, keys: tuple[str, ...] = (), detail: int = 20) -> DataFrame:
-    """Months compared and their verdicts, with the first ``detail`` known and material ones listed.
-
-    Counts cover every month. The lists are the report's own top twenty in text order: each task
-    keeps its first twenty before the shuffle, so however many months fell, few rows meet.
-    """
+def variance_summary(reread: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Months compared and their verdicts. The months themselves are rows of ``revised_months``."""
     v = F.col("verdict")
-    measures = [
+    return reread.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("months_compared"),
         F.count_if(v == "higher").alias("months_reading_higher"),
         F.coalesce(F.sum(F.when(v == "higher", F.col("live") - F.col("frozen"))), F.lit(0)).alias("reports_added"),
         F.count_if(v.isin("lower", "known", "material")).alias("months_reading_lower"),
         F.count_if(v == "known").alias("known_revisions"),
         F.count_if(v == "material").alias("material_downward"),
-    ]
-    keyed = reread.withColumn("one", F.lit(1))
-    by = ["one", *keys]
-    entry = F.concat_ws(" ", "product_code", months.label("mi"), F.concat_ws(">", "frozen", "live"))
-    listed = keyed.filter(v.isin("known", "material")).select(*by, "verdict", entry.alias("entry"))
-    first = Window.partitionBy(*by, "verdict").orderBy("entry")
-    shown = lambda kind: F.array_join(F.sort_array(F.collect_list(F.when(v == kind, F.col("entry")))), "; ")
-    details = (
-        listed.withColumn("rn", F.row_number().over(first))
-        .filter(F.col("rn") <= detail)
-        .groupBy(*by)
-        .agg(shown("material").alias("material_months"), shown("known").alias("known_months"))
-    )
-    blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
-    counted = keyed.groupBy(*by).agg(*measures)
-    return counted.join(details, by, "left").select(
-        *[c for c in counted.columns if c != "one"], blank("material_months"), blank("known_months")
     )
 
 
+def revised_months(reread: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Every known and material code-month as a row, with why a listed revision did not hold.
+
+    Nothing is cut here; a report that shows the first few cuts where it is written.
+    """
+    note = F.when(F.col("verdict") == "material", F.when(F.col("listed_frozen").isNull(), "not listed").when(F.col("listed_frozen") != F.col("frozen"), "listed at another frozen count").otherwise("reads deeper than listed"))
+    return reread.where(F.col("verdict").isin("known", "material")).select(*keys, "product_code", months.label("mi").alias("month"), "frozen", "live", "verdict", note.alias("note"))
+
+
 def new_months(readings: DataFrame, codes: DataFrame, last_updated: str, vintage: str, harness: Harness) -> DataFrame:
-    """The months elapsed beyond the freeze as this vintage sees them, absent ones as zero."""
-    seen = codes.select("product_code", F.explode(months.months_seen(F.lit(last_updated), harness.end_mi)).alias("mi"))
+    """The months elapsed beyond the freeze as this vintage sees them.
+
+    A month without reports reads zero, but only for a code that answered in this vintage at all: of a code
+    without any reading nothing is known, and nothing is appended.
+    """
+    answered = codes.join(readings.select("product_code").distinct(), "product_code", "left_semi")
+    seen = answered.select("product_code", F.explode(months.months_seen(F.lit(last_updated), harness.end_mi)).alias("mi"))
     return seen.join(readings.select("product_code", "mi", "reports"), ["product_code", "mi"], "left").select(
         F.lit(vintage).alias("vintage"), "product_code", "mi",
         F.coalesce("reports", F.lit(0)).alias("reports_as_seen"), F.lit(last_updated).alias("last_updated"),
     )
 
 
+def absent_codes(readings: DataFrame, codes: DataFrame) -> DataFrame:
+    """L1: cohort codes that a vintage does not answer for."""
+    return codes.join(readings.select("product_code").distinct(), "product_code", "left_anti")
+
+
 def latest_reading(live_series: DataFrame) -> DataFrame:
     """The newest vintage's reading of every (code, month)."""
     return (

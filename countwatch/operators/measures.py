@@ -35,12 +35,20 @@ def month_spine(codes: DataFrame, start_mi: int, end_mi: int) -> DataFrame:
 
 
 def on_spine(codes: DataFrame, counts: DataFrame, harness: Harness) -> DataFrame:
-    """Counts on the dense grid, absent cells read as zero."""
+    """Counts on the dense grid, absent cells read as zero. ``off_grid`` tells what lies outside it."""
     values = [c for c in counts.columns if c not in ("product_code", "mi")]
     dense = month_spine(codes, harness.start_mi, harness.end_mi).join(counts, ["product_code", "mi"], "left")
     return dense.select("product_code", "mi", *[F.coalesce(v, F.lit(0)).alias(v) for v in values])
 
 
+def off_grid(codes: DataFrame, counts: DataFrame, harness: Harness) -> DataFrame:
+    """Counts of a code or month that the grid does not have, with the reason; none should be there."""
+    listed = counts.join(codes.select("product_code", F.lit(True).alias("listed")).distinct(), "product_code", "left")
+    outside = ~F.col("mi").between(harness.start_mi, harness.end_mi)
+    reason = F.when(F.col("listed").isNull(), "code not listed").when(F.col("mi").isNull(), "no month").when(outside, "month outside the window")
+    return listed.withColumn("reason", reason).where("reason is not null").drop("listed")
+
+
 def day_counts_to_months(daily: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
     """A2: a daily count series summed by month, optionally only days inside a window."""
     if start and end:
@@ -212,16 +220,10 @@ def distinct_totals(report: DataFrame) -> DataFrame:
     )
 
 
-def remedial_by_month(remedial: DataFrame, codes: DataFrame, harness: Harness, names: list[str]) -> DataFrame:
-    """One row per month, one column per code in a stated list, gaps read as zero."""
-    counted = remedial.select("product_code", months.month_to_mi("month").alias("mi"), "eligible_reports_with_recall_action")
-    dense = on_spine(codes, counted, harness)
-    return (
-        dense.groupBy("mi")
-        .pivot("product_code", names)
-        .agg(F.sum("eligible_reports_with_recall_action"))
-        .select(months.label("mi").alias("month"), *[F.coalesce(F.col(n), F.lit(0)).alias(n.lower()) for n in names])
-    )
+def remedial_by_month(remedial: DataFrame, codes: DataFrame, harness: Harness) -> DataFrame:
+    """One row per code and month, gaps read as zero; a table with a column per code is the reader's."""
+    counted = remedial.select("product_code", months.month_to_mi("month").alias("mi"), F.col("eligible_reports_with_recall_action").alias("reports"))
+    return on_spine(codes, counted, harness).select("product_code", months.label("mi").alias("month"), "reports")
 
 
 def excluded_code_union(hits: DataFrame) -> DataFrame:

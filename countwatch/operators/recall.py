@@ -50,10 +50,19 @@ def enforcement_rollup(enforcement: DataFrame) -> DataFrame:
     )
 
 
-def timeline(records: DataFrame, enforcement: DataFrame, codes: DataFrame | None, start: str, end: str) -> DataFrame:
-    """K1: events in cohort (C8) initiated inside the window, with enforcement beside them."""
+def timeline(
+    records: DataFrame, enforcement: DataFrame, codes: DataFrame | None, start: str, end: str, dates: DataFrame | None = None
+) -> DataFrame:
+    """K1: events in cohort (C8) initiated inside the window, with enforcement beside them.
+
+    ``dates`` (event_number, initiated) gives the initiation where the records do not carry it; it meets the
+    events after they are rolled up, so a hot event is one row by then.
+    """
     scoped = records.join(codes, "product_code", "left_semi") if codes is not None else records
-    events = event_rollup(scoped).filter(F.col("initiated").between(start, end))
+    events = event_rollup(scoped)
+    if dates is not None:
+        events = events.drop("initiated").join(dates, "event_number")
+    events = events.filter(F.col("initiated").between(start, end))
     return (
         events.join(enforcement_rollup(enforcement), "event_number", "left")
         .withColumn("classes", F.coalesce("classes", F.array().cast("array<string>")))

@@ -69,6 +69,17 @@ def shape_records(records: DataFrame, lists: TokenLists, firm_fields: Sequence[s
     )
 
 
+def first_copies(copies: DataFrame) -> DataFrame:
+    """E6 on narrow rows: per key the first copy's code and position, and the number of copies.
+
+    For sources whose wide fields hang on the position: reduce keys and positions, then join the fields.
+    """
+    first = copies.filter(text.present(copies, "mdr_report_key")).groupBy("mdr_report_key").agg(
+        F.min(F.struct("position", "queried_code")).alias("first"), F.count(F.lit(1)).alias("copies")
+    )
+    return first.select("mdr_report_key", F.col("first.queried_code").alias("queried_code"), F.col("first.position").alias("position"), "copies")
+
+
 def first_seen(records: DataFrame) -> DataFrame:
     """Per report key the record with the smallest ``position`` (cohort order, file, place).
 

@@ -66,20 +66,20 @@ def score_cells(spark, sf_dir):
     return cells.withColumn("horizon", F.col("horizon").cast("long"))
 
 
-def promotion(spark, sf_dir):
-    return StarPlan(spark, sf_dir).promotion
+def promotion(spark, sf_dir, code=star.CODE):
+    return StarPlan(spark, sf_dir, code=code).promotion
 
 
-def review_queue(spark, sf_dir):
-    return StarPlan(spark, sf_dir).queue
+def review_queue(spark, sf_dir, code=star.CODE):
+    return StarPlan(spark, sf_dir, code=code).queue
 
 
 def review_workload(spark, sf_dir):
     return StarPlan(spark, sf_dir).workload
 
 
-def queue_diagnostic(spark, sf_dir):
-    p = StarPlan(spark, sf_dir)
+def queue_diagnostic(spark, sf_dir, code=star.CODE):
+    p = StarPlan(spark, sf_dir, code=code)
     return review.diagnostic(p.episodes, p.code_state)
 
 
@@ -120,8 +120,8 @@ def locked_test(spark, sf_dir):
     return marts.locked_test(p.forecast, p.promotion)
 
 
-def largest_episode(spark, sf_dir):
-    p = StarPlan(spark, sf_dir)
+def largest_episode(spark, sf_dir, code=star.CODE):
+    p = StarPlan(spark, sf_dir, code=code)
     return marts.largest_episode(p.evaluated, p.queue)
 
 
@@ -153,8 +153,8 @@ def recall_meta(spark, sf_dir):
     return recall.meta(star.recall_records(spark, sf_dir), StarPlan(spark, sf_dir).recall_timeline)
 
 
-def recall_count(spark, sf_dir):
-    p = StarPlan(spark, sf_dir)
+def recall_count(spark, sf_dir, code=star.CODE):
+    p = StarPlan(spark, sf_dir, code=code)
     return recall.pre_registered_count(p.class_one_months, p.queue, p.evaluated_span, STAR)
 
 
@@ -178,12 +178,20 @@ def known_event_recovery(spark, sf_dir):
     return recall.known_events(expected, StarPlan(spark, sf_dir).recall_timeline)
 
 
-def forecast_gates(spark, sf_dir):
-    p = StarPlan(spark, sf_dir)
+def forecast_gates(spark, sf_dir, code=star.CODE):
+    p = StarPlan(spark, sf_dir, code=code)
     gated = p.gate.filter("forecast").select("product_code")
     return gates.forecast_gate(p.forecast, gated, STAR).unionByName(gates.queue_gate(p.queue, p.evaluated))
 
 
+def by_brand(query):
+    """A query over 25 brands: series sparse enough for episodes, promotions and recalls before them to occur."""
+    return lambda spark, sf_dir: query(spark, sf_dir, code=star.BRANDS)
+
+
+#: Registered a second time with ``brand_`` before the name; their texts read the brand where the others read the type.
+BRANDED = (promotion, review_queue, queue_diagnostic, largest_episode, recall_count, forecast_gates)
+
 QUERIES = {
     ("forecast" if f is forecast_table else f.__name__): f
     for f in (
@@ -193,3 +201,4 @@ QUERIES = {
         recall_count, known_event_recovery, forecast_gates,
     )
 }
+QUERIES |= {f"brand_{f.__name__}": by_brand(f) for f in BRANDED}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from countwatch.config import STAR_FROZEN
+from countwatch.config import STAR_FROZEN, mi_of, month_of
 from countwatch.functions import months
 from countwatch.operators import live, measures, scoring
 from countwatch.session import shared_folder, stage
@@ -13,17 +13,16 @@ from countwatch.sources import star
 from countwatch.streaming import daily_counts
 from countwatch.streaming.live_edge import FROZEN, LiveEdge, fingerprint, freeze_from_counts
 
-# One revised month listed as known at a count it cannot fall below, one listed too high.
-DISPOSITIONS = (
-    {"code": "PROMO", "month": "1999-03", "frozen": 1, "live_at_disposition": 0, "dispositioned": "2001-07-03",
-     "classification": "source revision", "decision": "D1"},
-)
+# Codes whose revised month is listed, the first as it reads, the second at a wrong frozen count.
+LISTED = (("PROMO", 0), ("STANDARD", 1))
 
 
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Code x month x vintage counts on the dense grid through the newest vintage's month, staged."""
-    h = STAR_FROZEN.with_(last_actual="2001-08")
-    return stage(measures.on_spine(star.code_list(spark, sf_dir), star.vintage_counts(spark, sf_dir), h), "vintages")
+    seen = stage(star.vintage_counts(spark, sf_dir), "vintage-counts")
+    newest = seen.agg(F.max("mi").alias("mi")).first().mi or STAR_FROZEN.end_mi
+    h = STAR_FROZEN.with_(last_actual=month_of(max(newest, STAR_FROZEN.end_mi)))
+    return stage(measures.on_spine(star.code_list(spark, sf_dir), seen, h), "vintages")
 
 
 def _frozen(counts: DataFrame) -> DataFrame:
@@ -40,15 +39,24 @@ def _readings(counts: DataFrame, vintage: str, last_updated: str) -> DataFrame:
     ).select("vintage", "last_updated", "product_code", F.concat("ym", F.lit("01")).alias("time"), "count")
 
 
-def _dispositions(spark: SparkSession) -> DataFrame:
-    return live.dispositions(spark, DISPOSITIONS, {"PROMO"}, "1995-01", "2001-04")
+def _dispositions(spark: SparkSession, counts: DataFrame) -> DataFrame:
+    """The revised month of two codes, listed with the counts that its first revised vintage showed."""
+    codes = {c: off for c, off in LISTED}
+    cells = counts.filter(F.col("product_code").isin(*codes) & (F.col("mi") == mi_of(star.REVISED_MONTH))).collect()  # two rows
+    entries = [
+        {"code": r.product_code, "month": star.REVISED_MONTH, "frozen": r.v0 + codes[r.product_code], "live_at_disposition": r[star.REVISED_FROM],
+         "dispositioned": "2001-07-03", "classification": live.DISPOSITION_LABEL, "decision": f"D{n}"}
+        for n, r in enumerate(cells, start=1)
+        if r[star.REVISED_FROM] < r.v0 + codes[r.product_code]
+    ]
+    return live.dispositions(spark, entries, set(codes), "1995-01", "2001-04")
 
 
 def live_edge(spark: SparkSession, sf_dir: str) -> LiveEdge:
     """Land the three vintages one after another and let the stream ingest each."""
     counts = _counts(spark, sf_dir)
     root = shared_folder(spark, "live-edge")
-    edge = LiveEdge(spark, root, STAR_FROZEN, star.STAR_VINTAGES[0][1], _dispositions(spark))
+    edge = LiveEdge(spark, root, STAR_FROZEN, star.STAR_VINTAGES[0][1], _dispositions(spark, counts))
     freeze_from_counts(edge, _frozen(counts))
     for vintage, last_updated in star.STAR_VINTAGES[1:]:
         _readings(counts, vintage, last_updated).write.mode("append").json(f"{root}_landing")
@@ -77,14 +85,23 @@ def live_series(spark, sf_dir):
 
 def frozen_variance(spark, sf_dir):
     """The frozen months re-read by every later vintage."""
+    return live.variance_summary(_reread(spark, sf_dir), ("vintage",))
+
+
+def revised_months(spark, sf_dir):
+    """Every frozen code-month that a later vintage reads lower by more than the limit."""
+    return live.revised_months(_reread(spark, sf_dir), ("vintage",))
+
+
+def _reread(spark, sf_dir):
     counts = _counts(spark, sf_dir)
-    frozen = _frozen(counts).filter("raw_reports > 0")
+    frozen, disposed = _frozen(counts).filter("raw_reports > 0"), _dispositions(spark, counts)
     parts = None
     for v, _ in star.STAR_VINTAGES[1:]:
         reading = counts.select("product_code", "mi", F.col(v).alias("reports"))
-        one = live.frozen_reread(frozen, reading, _dispositions(spark), STAR_FROZEN).withColumn("vintage", F.lit(v))
+        one = live.frozen_reread(frozen, reading, disposed, STAR_FROZEN).withColumn("vintage", F.lit(v))
         parts = one if parts is None else parts.unionByName(one)
-    return live.variance_summary(parts, ("vintage",))
+    return parts
 
 
 def vintage_manifest(spark, sf_dir):
@@ -140,10 +157,28 @@ def stream_daily_counts(spark, sf_dir):
     )
 
 
+def stream_every_reading(spark, sf_dir):
+    """The view without a watermark, in which late rows and the newest days count too."""
+    days = daily_counts.every_reading(spark, f"{sf_dir.rstrip('/')}/events.parque[t]", shared_folder(spark, "every-reading"))
+    return days.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "event_type", "events", F.round("total", 4).alias("total"))
+
+
+def stream_late_rows(spark, sf_dir):
+    """How many rows came too late for the closed days, over all batches."""
+    out = shared_folder(spark, "daily-counts")
+    told = daily_counts.run_available(spark, f"{sf_dir.rstrip('/')}/events.parque[t]", out)
+    seen = table_rows(spark, sf_dir)
+    return seen.select("events_read", F.lit(told["late_rows"]).cast("long").alias("late_rows"))
+
+
+def table_rows(spark, sf_dir):
+    return star.table(spark, sf_dir, "events").agg(F.count(F.lit(1)).alias("events_read"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        live_series, frozen_variance, vintage_manifest, live_scores, live_reissue, live_health, run_history,
-        stream_daily_counts,
+        live_series, frozen_variance, revised_months, vintage_manifest, live_scores, live_reissue, live_health, run_history,
+        stream_daily_counts, stream_every_reading, stream_late_rows,
     )
 }

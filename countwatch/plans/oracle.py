@@ -311,14 +311,14 @@ TEXTS: dict[str, str] = {
             FROM elig WHERE lower(pr) LIKE '%urgent%' GROUP BY ALL""",
     ),
     "remedial_by_month": q(
-        f"{BASE}, {months_cte(STAR)}",
-        f"SELECT {lab('mi')} AS month, "
-        + ", ".join(
-            f"count(DISTINCT k) FILTER (code = '{c}') AS {c.lower()}"
-            for c in ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
-        )
-        + " FROM months LEFT JOIN (SELECT * FROM elig WHERE lower(pr) LIKE '%urgent%') e ON rmi = mi GROUP BY mi",
-    ),
+        f"{BASE}, {months_cte(STAR)}, rc AS (SELECT code, rmi, count(DISTINCT k) AS n FROM elig WHERE lower(pr) LIKE '%urgent%' GROUP BY ALL)",
+        f"SELECT c.code AS product_code, {lab('m.mi')} AS month, coalesce(n, 0) AS reports FROM codes c CROSS JOIN months m LEFT JOIN rc ON rc.code = c.code AND rmi = m.mi",
+    ),
+    "unparsed_objects": "SELECT event_type, count(*) AS rows, count(*) FILTER (NOT json_valid(props)) AS unparsed FROM events GROUP BY event_type",
+    "off_grid": """
+        SELECT 'month outside the window' AS reason, count(*)::BIGINT AS reports
+        FROM (SELECT DISTINCT o_orderkey, p_type FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey
+              WHERE strftime(o_orderdate, '%Y-%m') NOT BETWEEN '1995-01' AND '2001-07') HAVING count(*) > 0""",
     "exclusion_audit": q(
         BASE,
         """SELECT DISTINCT k AS report_key, code AS product_code, 'device.brand_name' AS field, brand AS token FROM line WHERE brand IS NOT NULL
@@ -452,8 +452,8 @@ TEXTS: dict[str, str] = {
         'SELECT c AS "check", n = 0 AS passed, n::BIGINT AS failures FROM f',
     ),
     "hash_reconcile": """
-        WITH s AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE lang <> 'es'),
-             m AS (SELECT doc_id, sha256(CASE WHEN lang = 'fr' THEN text || ' ' ELSE text END) AS h FROM documents WHERE lang <> 'de')
+        WITH s AS (SELECT doc_id, sha256(text) AS h FROM documents),
+             m AS (SELECT doc_id, sha256(substr(text, 1, n_chars)) AS h FROM documents)
         SELECT CASE WHEN m.h IS NULL THEN 'stray' WHEN s.h IS NULL THEN 'missing' WHEN s.h = m.h THEN 'matched' ELSE 'moved' END AS verdict,
                count(*) AS files FROM s FULL JOIN m USING (doc_id) GROUP BY ALL""",
     "source_register": """
@@ -649,3 +649,7 @@ TEXTS: dict[str, str] = {
                WHEN 'every span has its claimed length' THEN bad ELSE 0 END AS f FROM g, n, m)""",
     ),
 }
+
+# The same texts with brands as product codes.
+BRANDED = ("promotion", "review_queue", "queue_diagnostic", "largest_episode", "recall_count", "forecast_gates")
+TEXTS |= {f"brand_{name}": TEXTS[name].replace("p_type", "upper(p_brand)") for name in BRANDED}

@@ -41,14 +41,10 @@ def remedial_count(spark, sf_dir):
     return measures.remedial_counts(StarPlan(spark, sf_dir).eligible, text.mentions("remedial_action", "urgent"))
 
 
-# The six codes of the star tables, for the pivoted table's columns.
-STAR_CODES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
-
-
 def remedial_by_month(spark, sf_dir):
     p = StarPlan(spark, sf_dir)
     counts = measures.remedial_counts(p.eligible, text.mentions("remedial_action", "urgent"))
-    return measures.remedial_by_month(counts, p.codes, STAR, STAR_CODES)
+    return measures.remedial_by_month(counts, p.codes, STAR)
 
 
 def _audit(p: StarPlan) -> DataFrame:
@@ -141,7 +137,7 @@ def capacity_windows(spark, sf_dir):
 
 
 def record_first_seen(spark, sf_dir):
-    first = records.first_seen(star.page_records(spark, sf_dir))
+    first = star.page_records(spark, sf_dir, records.first_copies).drop("position")
     first = records.finish_reports(records.shape_records(first, star.STAR_TOKENS, ()), STAR)
     return first.select(
         F.col("mdr_report_key").alias("report_key"), "first_code", "copies", "report_number", "date_received",
@@ -177,14 +173,11 @@ def gate_results(spark, sf_dir):
 
 def hash_reconcile(spark, sf_dir):
     """Stored bodies (documents) against a manifest of their content hashes."""
-    doc = star.table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    stored = doc.filter("lang <> 'es'").select(
-        F.col("doc_id").cast("string").alias("path"), F.sha2("text", 256).alias("sha256")
-    )
-    manifest = doc.filter("lang <> 'de'").select(
-        F.col("doc_id").cast("string").alias("path"),
-        F.sha2(F.when(F.col("lang") == "fr", F.concat("text", F.lit(" "))).otherwise(F.col("text")), 256).alias("sha256"),
-    )
+    doc = star.table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    path = F.col("doc_id").cast("string").alias("path")
+    stored = doc.select(path, F.sha2("text", 256).alias("sha256"))
+    # What was listed when the bodies were received: a body's own length then tells whether it was cut since.
+    manifest = doc.select(path, F.sha2(F.substring("text", F.lit(1), F.col("n_chars").cast("int")), 256).alias("sha256"))
     return manifests.reconcile(stored, manifest).groupBy("verdict").agg(F.count(F.lit(1)).alias("files"))
 
 
@@ -196,6 +189,14 @@ def source_register(spark, sf_dir):
     )
 
 
+def off_grid(spark, sf_dir):
+    """Report counts that the code x month grid would not show, by reason."""
+    p = StarPlan(spark, sf_dir)
+    receipts = p.reports.select("receipt_mi", F.explode("codes").alias("product_code"))
+    counts = receipts.groupBy("product_code", F.col("receipt_mi").alias("mi")).agg(F.count(F.lit(1)).alias("reports"))
+    return measures.off_grid(p.codes, counts, STAR).groupBy("reason").agg(F.sum("reports").alias("reports"))
+
+
 def keyed_objects(spark, sf_dir):
     """A4: JSON objects keyed by name to rows."""
     ev = star.table(spark, sf_dir, "events").select("event_type", "props")
@@ -204,6 +205,12 @@ def keyed_objects(spark, sf_dir):
     )
 
 
+def unparsed_objects(spark, sf_dir):
+    """A4: rows whose object text cannot be read, by event type."""
+    ev = star.table(spark, sf_dir, "events").select("event_type", "props")
+    return manifests.unparsed_rows(ev, "props", "bigint", "event_type")
+
+
 # Words the corpus scan refuses.
 SCAN_TOKENS = ("license", "password", "copyright")
 
@@ -226,7 +233,7 @@ QUERIES = {
     for f in (
         m01_monthly_count, m01_spine_variance, m02_lag_matched, lag_summary, event_type_mix, remedial_count,
         remedial_by_month, exclusion_audit, exclusion_receipt, quarantine, cohort_gate, excluded_code_union,
-        product_code_dim, record_facts, distinct_totals, capacity_windows, record_first_seen, lag_view,
-        second_path_monthly, gate_results, hash_reconcile, source_register, keyed_objects, token_scan, bucket_check,
+        off_grid, product_code_dim, record_facts, distinct_totals, capacity_windows, record_first_seen, lag_view,
+        second_path_monthly, gate_results, hash_reconcile, source_register, keyed_objects, unparsed_objects, token_scan, bucket_check,
     )
 }

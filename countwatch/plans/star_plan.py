@@ -20,18 +20,18 @@ from countwatch.sources import star
 class StarPlan:
     """Cached properties are plans, not data; only what ``stage`` writes is computed here."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, harness: Harness = STAR):
-        self.spark, self.dir, self.harness = spark, sf_dir, harness
+    def __init__(self, spark: SparkSession, sf_dir: str, harness: Harness = STAR, code: str = star.CODE):
+        self.spark, self.dir, self.harness, self.code = spark, sf_dir, harness, code
 
     # records ---------------------------------------------------------------------------------
 
     @cached_property
     def codes(self) -> DataFrame:
-        return star.code_list(self.spark, self.dir)
+        return star.code_list(self.spark, self.dir, self.code)
 
     @cached_property
     def devices(self) -> DataFrame:
-        return star.devices(self.spark, self.dir)
+        return star.devices(self.spark, self.dir, code=self.code)
 
     @cached_property
     def reports(self) -> DataFrame:
@@ -47,7 +47,7 @@ class StarPlan:
 
     @cached_property
     def daily(self) -> DataFrame:
-        return star.daily_series(self.spark, self.dir)
+        return star.daily_series(self.spark, self.dir, self.code)
 
     def monthly_lazy(self) -> DataFrame:
         return measures.on_spine(self.codes, measures.monthly_counts(self.members), self.harness)
@@ -114,8 +114,9 @@ class StarPlan:
 
     @cached_property
     def recall_timeline(self) -> DataFrame:
-        product, enforcement = star.recall_records(self.spark, self.dir), star.enforcement(self.spark, self.dir)
-        return recall.timeline(product, enforcement, None, _dashed(self.harness.window_start), _dashed(self.harness.as_of))
+        product, enforcement = star.recall_records(self.spark, self.dir, self.code), star.enforcement(self.spark, self.dir)
+        span = _dashed(self.harness.window_start), _dashed(self.harness.as_of)
+        return recall.timeline(product, enforcement, None, *span, star.recall_dates(self.spark, self.dir))
 
     @property
     def evaluated_span(self) -> tuple[str, str]:
@@ -123,7 +124,7 @@ class StarPlan:
 
     @cached_property
     def class_one_months(self) -> DataFrame:
-        found = recall.class_one(self.recall_timeline, self.code_state, self.evaluated_span)
+        found = recall.class_one(self.recall_timeline, self.gate.filter("forecast"), self.evaluated_span)
         return stage(recall.initiations_by_month(found), "class-one")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -9,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from countwatch.session import ship
+
 WINDOW_ENTRY = (
     "struct<code:string,start:string,end:string,expected:bigint,api_total:bigint,pages:bigint,"
     "distinct_keys:bigint,status:string,utc:string>"
@@ -25,6 +28,12 @@ def keyed_rows(df: DataFrame, column: str, value_type: str, *keep: str) -> DataF
     return df.select(*keep, F.explode(parsed).alias("key", "value"))
 
 
+def unparsed_rows(df: DataFrame, column: str, value_type: str, *keep: str) -> DataFrame:
+    """A4: how many rows of a group hold text that is no such object; ``keyed_rows`` has nothing for them."""
+    parsed = F.from_json(F.col(column), f"map<string,{value_type}>")
+    return df.groupBy(*keep).agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col(column).isNotNull() & parsed.isNull()).alias("unparsed"))
+
+
 def read_keyed(spark: SparkSession, path: str, field: str, entry: str) -> DataFrame:
     """A4: entries of a landed JSON document's object ``field`` (``windows`` or ``files``)."""
     schema = T.StructType([T.StructField(field, T._parse_datatype_string(f"map<string,{entry}>"))])
@@ -38,10 +47,25 @@ def incomplete_windows(log: DataFrame) -> DataFrame:
     return log.filter(~F.coalesce(fine, F.lit(False)))
 
 
-def _unpacked(batches: Iterator) -> Iterator:
+def unpacked_hash(packed: bytes, step: int = 1 << 20) -> str:
+    """SHA-256 of a gzip body with all its members, unpacked a piece at a time and never held whole."""
+    digest = hashlib.sha256()
+    while packed:
+        member = zlib.decompressobj(wbits=31)
+        rest = packed
+        while not member.eof:
+            piece = member.decompress(rest, step)
+            digest.update(piece)
+            rest = member.unconsumed_tail
+            if not piece and not rest and not member.eof:
+                raise EOFError("gzip body ends inside a member")
+        packed = member.unused_data.lstrip(b"\0")  # padding after a member is allowed
+    return digest.hexdigest()
+
+
+def _hashed(batches: Iterator) -> Iterator:
     for pdf in batches:
-        pdf["content"] = [zlib.decompress(c, wbits=31) for c in pdf["content"]]
-        yield pdf
+        yield pdf[["path"]].assign(sha256=[unpacked_hash(c) for c in pdf["content"]])
 
 
 def stored_hashes(spark: SparkSession, path: str, pattern: str = "*.json.gz") -> DataFrame:
@@ -50,7 +74,8 @@ def stored_hashes(spark: SparkSession, path: str, pattern: str = "*.json.gz") ->
         spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
     ).select("path", "content")
     if pattern.endswith(".gz"):
-        files = files.mapInPandas(_unpacked, "path string, content binary")
+        ship(spark)
+        return files.mapInPandas(_hashed, "path string, sha256 string")
     return files.select("path", F.sha2("content", 256).alias("sha256"))
 
 

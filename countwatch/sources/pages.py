@@ -3,13 +3,22 @@
 from __future__ import annotations
 
 import io
+import json
+import re
 import zipfile
 from collections.abc import Iterator
+from itertools import islice
+from typing import TextIO
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from countwatch.session import ship
+
+#: Where ``read_bulk`` found a row: (file, place in its results).
+PLACE = "listed_at"
 RECORD = (
     "struct<mdr_report_key:string,report_number:string,date_received:string,date_of_event:string,date_report:string,"
     "event_type:string,report_source_code:string,summary_report_flag:string,noe_summarized:string,"
@@ -52,9 +61,8 @@ def read_record_pages(spark: SparkSession, path: str, cohort: list[str] | None =
         "meta",
         F.posexplode("results").alias("place", "r"),
     )
-    rank = F.lit(len(order))
-    for code, i in order.items():
-        rank = F.when(F.col("queried_code") == code, i).otherwise(rank)
+    known = F.create_map(*(F.lit(x) for pair in order.items() for x in pair)) if order else F.create_map().cast("map<string,int>")
+    rank = F.coalesce(F.try_element_at(known, F.col("queried_code")), F.lit(len(order)))
     return located.select(
         "r.*", "queried_code", F.struct(rank.alias("rank"), "queried_code", "file_name", "place").alias("position"),
         F.col("meta.last_updated").alias("last_updated"),
@@ -79,26 +87,59 @@ def daily_counts(series: DataFrame) -> DataFrame:
 def read_bulk(spark: SparkSession, path: str, item: str) -> DataFrame:
     """A3: the ``results`` array of a bulk JSON file, landed as is or as the first JSON member of a zip."""
     if not path.endswith(".zip"):
-        return spark.read.schema(_results(item)).option("multiLine", True).json(path).select(F.explode("results").alias("r")).select("r.*")
+        landed = spark.read.schema(_results(item)).option("multiLine", True).json(path)
+        return landed.select(F.col("_metadata.file_path").alias("file"), F.posexplode("results").alias("place", "r")).select("r.*", F.struct("file", "place").alias(PLACE))
 
     def unzip(batches: Iterator) -> Iterator:
         for pdf in batches:
-            for content in pdf["content"]:
+            for file, content in zip(pdf["path"], pdf["content"]):
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
                     member = next(n for n in z.namelist() if n.endswith(".json"))
-                    yield pdf.iloc[:1][[]].assign(body=z.read(member).decode("utf-8"))
-
-    body = spark.read.format("binaryFile").load(path).select("content").mapInPandas(unzip, "body string")
-    return body.select(F.from_json("body", _results(item)).alias("j")).select(F.explode("j.results").alias("r")).select("r.*")
+                    with z.open(member) as body:
+                        rows = enumerate(result_items(io.TextIOWrapper(body, encoding="utf-8")))
+                        while block := list(islice(rows, 1000)):
+                            yield pd.DataFrame({"file": file, "place": [p for p, _ in block], "item": [x for _, x in block]})
+
+    ship(spark)
+    items = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(unzip, "file string, place int, item string")
+    # A result is a row of its own before it is parsed, so no value grows with the file.
+    parsed = items.select(F.from_json("item", T._parse_datatype_string(item)).alias("r"), F.struct("file", "place").alias(PLACE))
+    return parsed.select("r.*", PLACE)
+
+
+def result_items(body: TextIO, step: int = 1 << 20) -> Iterator[str]:
+    """The elements of the ``results`` array as JSON texts, read piece by piece; only an unfinished one is held."""
+    decoder, between = json.JSONDecoder(), re.compile(r"[\s,]*")
+    held, inside = "", False
+    while piece := body.read(step):
+        held += piece
+        if not inside:
+            opened = re.search(r'"results"\s*:\s*\[', held)
+            held = held[opened.end() :] if opened else held[-64:]
+            inside = opened is not None
+        at = 0
+        while inside:
+            at = between.match(held, at).end()
+            if held[at : at + 1] == "]":
+                return
+            try:
+                end = decoder.raw_decode(held, at)[1]
+            except json.JSONDecodeError:  # the element goes on in the next piece
+                break
+            yield held[at:end]
+            at = end
+        held = held[at:]
+    if inside:
+        raise EOFError("the results array does not end")
 
 
 def classification(bulk: DataFrame) -> DataFrame:
-    """One row per upper-case code, blanks for absent values (the last listed entry of a code wins)."""
+    """One row per upper-case code, blanks for absent values; the last entry of a code by (file, place) wins."""
     code = F.upper(F.trim("product_code"))
-    details = [c for c in bulk.columns if c != "product_code"]
+    details = [c for c in bulk.columns if c not in ("product_code", PLACE)]
     kept = F.struct(*[F.coalesce(c, F.lit("")).alias(c) for c in details])
-    listed = bulk.withColumn("product_code", code).filter("product_code <> ''").withColumn("at", F.monotonically_increasing_id())
-    return listed.groupBy("product_code").agg(F.max_by(kept, "at").alias("d")).select("product_code", "d.*")
+    listed = bulk.withColumn("product_code", code).filter("product_code <> ''")
+    return listed.groupBy("product_code").agg(F.max_by(kept, PLACE).alias("d")).select("product_code", "d.*")
 
 
 def recall_inputs(recalls: DataFrame, enforcement: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -27,6 +27,11 @@ STAR_TOKENS = TokenLists(
 )
 
 
+#: What serves as the product code: six part types; ``BRANDS`` gives 25 sparser series.
+CODE = "p_type"
+BRANDS = "upper(p_brand)"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -47,11 +52,11 @@ def in_window(ts: str, harness: Harness):
     return (F.col(ts) >= F.lit(first).cast("timestamp_ntz")) & (F.col(ts) < F.lit(after).cast("timestamp_ntz"))
 
 
-def devices(spark: SparkSession, sf_dir: str, lists: TokenLists = STAR_TOKENS) -> DataFrame:
+def devices(spark: SparkSession, sf_dir: str, lists: TokenLists = STAR_TOKENS, code: str = CODE) -> DataFrame:
     """One row per order line: key, product code, event day and the tokens its device fields hit."""
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_shipdate")
     part = table(spark, sf_dir, "part").select(
-        "p_partkey", F.col("p_type").alias("product_code"), text.brand_token("p_name", lists).alias("brand_token")
+        "p_partkey", F.expr(code).alias("product_code"), text.brand_token("p_name", lists).alias("brand_token")
     )
     firm = firm_hits(spark, sf_dir, lists)
     return (
@@ -121,28 +126,26 @@ def memberships(report: DataFrame) -> DataFrame:
     return report.filter("countable").withColumn("product_code", F.explode("codes")).drop("codes")
 
 
-def code_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select(F.col("p_type").alias("product_code")).distinct()
+def code_list(spark: SparkSession, sf_dir: str, code: str = CODE) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.expr(code).alias("product_code")).distinct()
 
 
-def daily_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+def daily_series(spark: SparkSession, sf_dir: str, code: str = CODE) -> DataFrame:
     """The independent (code, day, count) series, counted from lines without the report table's rules."""
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_type")
+    part = table(spark, sf_dir, "part").select("p_partkey", F.expr(code).alias("p_code"))
     order = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
-    pair = (
-        line.join(part, line.l_partkey == part.p_partkey)
-        .select("l_orderkey", F.col("p_type").alias("product_code"))
-        .distinct()
-    )
+    # Codes per order, a set bounded by the code list: one shuffle by order serves the set and the join.
+    pair = line.join(part, line.l_partkey == part.p_partkey).groupBy("l_orderkey").agg(F.collect_set("p_code").alias("codes"))
     return (
         pair.join(order, pair.l_orderkey == order.o_orderkey)
+        .withColumn("product_code", F.explode("codes"))
         .groupBy("product_code", day_string("o_orderdate").alias("day"))
         .agg(F.count(F.lit(1)).alias("count"))
     )
 
 
-def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def page_records(spark: SparkSession, sf_dir: str, reduce=None) -> DataFrame:
     """Nested source records: every line is one paged copy of its order's report with a device array.
 
     ``position`` orders the copies of a key as (code, page position, remaining fields), so the first
@@ -154,10 +157,20 @@ def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_name", "p_size")
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     order = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus", "o_orderpriority")
+    # The copies stay narrow: names and the order's fields are joined to what is left of them by the caller's
+    # ``first`` (the first copy of each key), so no wide copy is sorted or shuffled.
+    copies = line.join(part.select("p_partkey", "p_type"), line.l_partkey == part.p_partkey).select(
+        F.col("l_orderkey").alias("mdr_report_key"), F.col("p_type").alias("queried_code"),
+        F.struct("p_type", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_returnflag").alias("position"),
+    )
+    if reduce is not None:
+        copies = reduce(copies)
+    carried = [c for c in copies.columns if c != "position"]
     joined = (
-        line.join(part, line.l_partkey == part.p_partkey)
-        .join(supplier, line.l_suppkey == supplier.s_suppkey)
-        .join(order, line.l_orderkey == order.o_orderkey)
+        copies.select(*carried, "position.*")
+        .join(part.drop("p_type"), F.col("l_partkey") == part.p_partkey)
+        .join(supplier, F.col("l_suppkey") == supplier.s_suppkey)
+        .join(order, F.col("mdr_report_key") == order.o_orderkey)
     )
     device = F.struct(
         F.when(F.col("p_size") < 50, F.col("p_type")).otherwise("").alias("device_report_product_code"),
@@ -165,10 +178,9 @@ def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_name").alias("brand_name"),
     )
     return joined.select(
-        F.col("l_orderkey").alias("mdr_report_key"),
-        F.col("p_type").alias("queried_code"),
+        *carried,
         F.struct("p_type", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_returnflag").alias("position"),
-        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("report_number"),
+        F.concat_ws("-", "mdr_report_key", "l_linenumber").alias("report_number"),
         day_string("o_orderdate").alias("date_received"),
         day_string("l_shipdate").alias("date_of_event"),
         F.col("o_orderstatus").alias("event_type"),
@@ -177,20 +189,22 @@ def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def recall_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recall product records: returned lines, keyed by order as the event number."""
+def recall_records(spark: SparkSession, sf_dir: str, code: str = CODE) -> DataFrame:
+    """Recall product records: returned lines, keyed by order as the event number.
+
+    The event's date is the order's and joined to rolled-up events (``recall_dates``), never to lines: an
+    order with a large share of all lines is reduced to one row first.
+    """
     line = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(
         "l_orderkey", "l_partkey", "l_shipdate", "l_linestatus", "l_tax", "l_discount"
     )
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_name")
-    order = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    part = table(spark, sf_dir, "part").select("p_partkey", F.expr(code).alias("p_code"), "p_name")
     return (
         line.join(part, line.l_partkey == part.p_partkey)
-        .join(order, line.l_orderkey == order.o_orderkey)
         .select(
             F.col("l_orderkey").alias("event_number"),
-            text.normal_code("p_type").alias("product_code"),
-            iso_day("o_orderdate").alias("initiated"),
+            text.normal_code("p_code").alias("product_code"),
+            F.lit(None).cast("string").alias("initiated"),
             iso_day("l_shipdate").alias("posted"),
             F.col("l_linestatus").alias("root_cause"),
             F.col("p_name").rlike(r"(?i)\b(?:rings?|bolts?)\b").alias("cites_reports"),
@@ -200,6 +214,11 @@ def recall_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def recall_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Initiation day per event, known to the order alone."""
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("event_number"), iso_day("o_orderdate").alias("initiated"))
+
+
 def enforcement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Enforcement records: orders not in process, their class from the priority."""
     grade = (

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 EVENT = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 CLOSED = "day timestamp, event_type string, events bigint, total double"
@@ -22,30 +23,72 @@ def closed_days(events: DataFrame, delay: str = DELAY) -> DataFrame:
     )
 
 
-def run_available(spark: SparkSession, source: str, out: str, delay: str = DELAY) -> dict[str, int]:
+def run_available(spark: SparkSession, source: str, out: str, delay: str = DELAY, files_per_batch: int | None = None) -> dict[str, int]:
     """Process what has landed, append closed days to ``out``, and report the rows that came too late.
 
     ``source`` may be a file, a folder or a glob. Each micro-batch writes its own partition, so a
     retried batch replaces its rows instead of repeating them.
     """
-    events = spark.readStream.schema(EVENT).parquet(source)
+    reader = spark.readStream.schema(EVENT)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    events = reader.parquet(source)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
+    told = Told(out)
+    spark.streams.addListener(told)
     query = (
         closed_days(events, delay)
         .writeStream.outputMode("append")
+        .queryName(out)
         .foreachBatch(write)
         .option("checkpointLocation", f"{out}_stream")
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    late = sum(
-        int(op.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for op in p["stateOperators"]
-    )
-    return {"late_rows": late, "batches": len(query.recentProgress)}
+    # The listener bus is asynchronous: wait for what the query has already posted.
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(60_000)
+    spark.streams.removeListener(told)
+    return {"late_rows": told.late, "batches": told.batches}
+
+
+class Told(StreamingQueryListener):
+    """Adds up every batch of one query as it ends; the query itself keeps only its newest batches."""
+
+    def __init__(self, out: str) -> None:
+        self.name, self.late, self.batches = out, 0, 0
+
+    def onQueryStarted(self, event) -> None: ...
+
+    def onQueryIdle(self, event) -> None: ...
+
+    def onQueryTerminated(self, event) -> None: ...
+
+    def onQueryProgress(self, event) -> None:
+        if event.progress.name == self.name:
+            self.batches += 1
+            self.late += sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+
+
+def every_reading(spark: SparkSession, source: str, out: str) -> DataFrame:
+    """The second view: days of all rows, late ones and open days included, from one partial table per batch.
+
+    A repeated event id counts once over all batches; each batch writes its own partition, so a retried
+    batch replaces its rows.
+    """
+    events = spark.readStream.schema(EVENT).parquet(source)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        day = F.date_trunc("day", F.col("ts")).cast("timestamp")
+        batch.select("event_id", day.alias("day"), "event_type", "value").distinct().write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    query = events.writeStream.foreachBatch(write).option("checkpointLocation", f"{out}_stream").trigger(availableNow=True).start()
+    query.awaitTermination()
+    kept = spark.read.schema("event_id bigint, day timestamp, event_type string, value double").parquet(f"{out}/batch=*")
+    return kept.distinct().groupBy("day", "event_type").agg(F.count(F.lit(1)).alias("events"), F.sum("value").alias("total"))
 
 
 def read_closed(spark: SparkSession, out: str) -> DataFrame:

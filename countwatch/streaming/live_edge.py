@@ -24,6 +24,7 @@ READING = "vintage string, last_updated string, product_code string, time string
 TABLES = {
     "manifest": "product_code string, buckets bigint, sha256 string, last_updated string",
     "reading": "product_code string, mi int, reports bigint",
+    "body": "product_code string, time string, count bigint, last_updated string",
     "reread": "product_code string, mi int, frozen bigint, live bigint, listed_frozen bigint, live_at_disposition bigint, verdict string",
     "series": "product_code string, mi int, reports_as_seen bigint, last_updated string",
     "score": (
@@ -98,7 +99,8 @@ class LiveEdge:
     # one vintage -----------------------------------------------------------------------------
 
     def store(self, readings: DataFrame, vintage: str) -> None:
-        """Keep the whole view of the source with its hashes, then its months."""
+        """Keep the whole view of the source as received and its hashes, then its months."""
+        readings = self._write("body", readings, vintage)
         self._write("manifest", fingerprint(readings), vintage)
         by_month = readings.filter(months.valid_day("time")).groupBy("product_code", months.day_to_mi("time").alias("mi")).agg(
             F.sum("count").alias("reports")
@@ -124,17 +126,24 @@ class LiveEdge:
             checks.append(("response schema", problems == 0))
             datum = live.datum_checks(readings.select("last_updated").distinct(), self.frozen_last_updated).collect()
             checks += [(r.check, r.passed) for r in datum]
+            absent = live.absent_codes(readings, self.codes()).count()
+            checks.append(("every code answered", absent == 0))
             if all(ok for _, ok in checks):
                 if last_updated == self.last_seen(vintage):
                     status = f"skipped: source unchanged since {last_updated}"
                 else:
                     self.store(readings, vintage)
-                    material, appended = self._reread_and_append(vintage, last_updated)
+                    compared, material, appended = self._reread_and_append(vintage, last_updated)
+                    checks.append(("frozen months re-read", compared > 0))
                     checks.append(("frozen months rewritten downward", material == 0))
-                    scored, issued = self._score(vintage), self._issue(vintage)
+                    scored, issued, unfitted = self._score(vintage), *self._issue(vintage)
+                    checks.append(("candidate fits", unfitted == 0))
                     advanced = True
+            elif absent:
+                # What is absent is not zero: nothing is stored, and the next vintage starts from here.
+                status = "stopped"
         except Exception as exc:
-            error = f"{type(exc).__name__}: {exc}"[:2000]
+            error = f"{type(exc).__name__}: {exc}"
             raise
         finally:
             rows = self.spark.createDataFrame(checks or [("run started", True)], "check string, passed boolean")
@@ -148,12 +157,12 @@ class LiveEdge:
     def codes(self) -> DataFrame:
         return self.part("frozen_month", FROZEN).select("product_code").distinct()
 
-    def _reread_and_append(self, vintage: str, last_updated: str) -> tuple[int, int]:
+    def _reread_and_append(self, vintage: str, last_updated: str) -> tuple[int, int, int]:
         frozen, reading = self.part("frozen_month", FROZEN), self.part("reading", vintage)
         reread = self._write("reread", live.frozen_reread(frozen, reading, self.dispositions, self.harness), vintage)
-        material = reread.filter("verdict = 'material'").count()
+        told = reread.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("verdict") == "material").alias("material")).first()
         fresh = live.new_months(reading, self.codes(), last_updated, vintage, self.harness)
-        return material, self._write("series", fresh, vintage).count()
+        return told.n, told.material, self._write("series", fresh, vintage).count()
 
     def latest(self, upto: str) -> DataFrame:
         return live.latest_reading(self.table("series").filter(F.col("vintage") <= upto))
@@ -164,7 +173,8 @@ class LiveEdge:
         rows = live.score_once(frozen.unionByName(issued), self.table("score", vintage), self.latest(vintage), vintage)
         return self._write("score", rows, vintage).count()
 
-    def _issue(self, vintage: str) -> int:
+    def _issue(self, vintage: str) -> tuple[int, int]:
+        """Rows issued, and how many of the candidate's have no point because its fit failed."""
         latest = self.latest(vintage)
         origins = latest.groupBy("product_code").agg(F.max("mi").alias("origin_mi"))
         issued = self.table("forecast", vintage).select("product_code", "origin_mi").distinct()
@@ -179,7 +189,9 @@ class LiveEdge:
             seen.select(*keep).withColumn("error", F.round("error", 6))
         )
         rows = live.reissue(history, errors, due, self.harness, vintage, self.with_candidate)
-        return self._write("forecast", rows.withColumn("point", F.round("point", 6)), vintage).count()
+        written = self._write("forecast", rows.withColumn("point", F.round("point", 6)), vintage)
+        told = written.agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("model") == "candidate") & F.col("point").isNull()).alias("unfitted")).first()
+        return told.n, told.unfitted
 
     # the stream ------------------------------------------------------------------------------
 
@@ -187,9 +199,14 @@ class LiveEdge:
         """L1: process every vintage that has landed since the last call, oldest first, then stop."""
 
         def each_batch(batch: DataFrame, batch_id: int) -> None:
-            landed = batch.groupBy("vintage").agg(F.max("last_updated").alias("lu")).orderBy("vintage").collect()
-            for row in landed:
-                self.ingest(batch.filter(F.col("vintage") == row.vintage), row.vintage, row.lu)
+            # What has landed of a vintage is kept first, each batch in its own folder: a vintage that comes
+            # in several batches is then read whole, and a retried batch replaces its own part.
+            batch.write.mode("overwrite").partitionBy("vintage").parquet(f"{self.root}/landed/batch={batch_id}")
+            whole = self.spark.read.schema(READING).parquet(f"{self.root}/landed")
+            names = [r.vintage for r in batch.select("vintage").distinct().orderBy("vintage").collect()]
+            for name in names:
+                rows = whole.filter(F.col("vintage") == name).select(*batch.columns).distinct()
+                self.ingest(rows, name, rows.agg(F.max("last_updated").alias("lu")).first().lu)
 
         stream = self.spark.readStream.schema(READING).json(landing)
         query = (

@@ -60,6 +60,11 @@ def test_scenarios_in_order(spark, edge):
     edge.ingest(bad, "a2", "2001-06-02")
     assert last_run(edge, "a2").failed_checks == "response schema"
     assert edge.table("series").count() == 0
+    # A code that does not answer stops the run: its silence is no zero, nothing is stored or scored.
+    edge.ingest(readings(spark, "a3", "2001-06-02", "2001-05").filter("product_code = 'AAA'"), "a3", "2001-06-02")
+    run = last_run(edge, "a3")
+    assert (run.status, run.failed_checks, run.advanced, run.passed) == ("stopped", "every code answered", False, False)
+    assert edge.table("series").count() == edge.table("score").count() == 0 and edge.table("body").filter("vintage = 'a3'").count() == 0
     # A new month: appended, frozen outlook rows for it scored, three models x two horizons issued per code.
     edge.ingest(readings(spark, "b1", "2001-06-02", "2001-05"), "b1", "2001-06-02")
     run = last_run(edge, "b1")
@@ -93,6 +98,48 @@ def test_scenarios_in_order(spark, edge):
     assert once.filter("count > 1").count() == 0
 
 
+def test_a_vintage_in_two_batches_is_whole(spark, edge, tmp_path):
+    split = readings(spark, "d1", "2001-08-02", "2001-07")
+    for code in ("AAA", "BBB"):
+        split.filter(F.col("product_code") == code).coalesce(1).write.mode("append").json(str(tmp_path / "landing"))
+        edge.run_available(str(tmp_path / "landing"))
+        run = last_run(edge, "d1")
+        assert run.status == ("stopped" if code == "AAA" else "ok")
+    assert edge.part("body", "d1").count() == split.count()
+    assert {r.product_code for r in edge.part("reading", "d1").select("product_code").distinct().collect()} == {"AAA", "BBB"}
+
+
+def test_more_than_twenty_revised_months_are_all_told(spark):
+    frozen = spark.createDataFrame([("AAA", 24000 + i, 100) for i in range(25)], "product_code string, mi int, raw_reports bigint")
+    seen = spark.createDataFrame([("AAA", 24000, 1)], "product_code string, mi int, reports bigint")
+    rows = live.frozen_reread(frozen, seen, dispositions(spark), H)
+    assert live.variance_summary(rows).first().material_downward == 25
+    told = live.revised_months(rows).collect()
+    assert len(told) == 25 and {r.note for r in told} == {"not listed"}
+
+
+def test_every_month_after_the_freeze_is_seen(spark):
+    row = spark.range(1).select(F.size(months.months_seen(F.lit("2200-01-01"), mi_of("2001-04"))).alias("n")).first()
+    assert row.n == mi_of("2199-12") - mi_of("2001-04")
+
+
+def test_late_rows_are_counted_over_all_batches(spark, tmp_path):
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    for i in range(9):
+        rows = [(100, "2024-03-01 00:00:00", 1, "click", 1.0, "{}")] if i == 0 else [(i, "2024-01-01 00:00:00", 1, "click", 1.0, "{}")]
+        spark.createDataFrame(rows, "event_id bigint, ts string, user_id bigint, event_type string, value double, props string").withColumn(
+            "ts", F.col("ts").cast("timestamp_ntz")
+        ).coalesce(1).write.mode("append").parquet(src)
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "3")  # what the query itself remembers
+    try:
+        told = daily_counts.run_available(spark, src, out, files_per_batch=1)
+    finally:
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+    assert told["batches"] >= 9 and told["late_rows"] >= 5
+    whole = daily_counts.every_reading(spark, src, str(tmp_path / "all")).collect()
+    assert sorted(r.events for r in whole) == [1, 8]
+
+
 def months_of(mi):
     return f"{(mi - 1) // 12:04d}-{(mi - 1) % 12 + 1:02d}"
 

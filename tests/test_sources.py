@@ -74,6 +74,39 @@ def test_hashes_and_manifest(spark, page_dir, tmp_path):
     assert verdicts == {"BBB/p1.json.gz": "matched", "AAA/p1.json.gz": "moved", "AAA/p2.json.gz": "stray", "gone": "missing"}
 
 
+def test_gzip_bodies_with_several_members(spark, tmp_path):
+    parts = [b"one " * 400_000, b"", b"two"]
+    body = b"".join(gzip.compress(x) for x in parts)
+    assert manifests.unpacked_hash(body) == hashlib.sha256(b"".join(parts)).hexdigest()
+    assert manifests.unpacked_hash(body + b"\0" * 7) == hashlib.sha256(b"".join(parts)).hexdigest()
+    with pytest.raises(EOFError):
+        manifests.unpacked_hash(body[:-20])
+    (tmp_path / "x.json.gz").write_bytes(body)
+    assert manifests.stored_hashes(spark, str(tmp_path)).first().sha256 == hashlib.sha256(b"".join(parts)).hexdigest()
+
+
+def test_zip_larger_than_a_batch_and_last_entry_wins(spark, tmp_path):
+    rows = [{"product_code": f"C{i % 2500}", "device_name": "n" + str(i) + ' "]}{['} for i in range(5200)]
+    with zipfile.ZipFile(tmp_path / "c.zip", "w") as z:
+        z.writestr("c.json", json.dumps({"meta": {"results": {"total": 1}}, "results": rows}, indent=1))
+    bulk = pages.read_bulk(spark, str(tmp_path / "c.zip"), pages.CLASSIFICATION)
+    assert bulk.count() == 5200
+    named = {r.product_code: r.device_name for r in pages.classification(bulk).collect()}
+    assert len(named) == 2500 and named["C100"] == 'n5100 "]}{[' and named["C300"] == 'n2800 "]}{['
+    import io
+
+    text = json.dumps({"a": [1], "results": rows[:50]})
+    assert [json.loads(x) for x in pages.result_items(io.StringIO(text), 7)] == rows[:50]
+    assert list(pages.result_items(io.StringIO("{}"))) == []
+    with pytest.raises(EOFError):
+        list(pages.result_items(io.StringIO(text[:-30])))
+
+
+def test_unparsed_objects_are_counted(spark):
+    df = spark.createDataFrame([("a", '{"k": 1}'), ("a", "no"), ("b", None)], "g string, props string")
+    assert {tuple(r) for r in manifests.unparsed_rows(df, "props", "bigint", "g").collect()} == {("a", 2, 1), ("b", 1, 0)}
+
+
 def test_extraction_log(spark, tmp_path):
     log = {"windows": {"w1": {"status": "complete", "expected": 5, "api_total": 5}, "w2": {"status": "complete", "expected": 5, "api_total": 4}, "w3": {"status": "open"}}}
     (tmp_path / "log.json").write_text(json.dumps(log))
