@@ -13,7 +13,8 @@ a pair that cannot exceed ``k`` is linked as a whole. All pairs of a level advan
 
 A top node with more than ``node_rows`` fingerprints is cut again: its remaining bits are split into
 ``k + 1`` blocks, one of which must still agree. Fingerprints are distinct by then (copies are grouped
-first), so this ends, loses no link, and leaves no task with an unbounded node.
+first), so this ends, loses no link, and leaves no task with an unbounded node. Every cut repeats rows, so
+each level may hold four times what the one above may: a dense ball of near copies then ends after a few.
 """
 
 from __future__ import annotations
@@ -188,11 +189,13 @@ def links(fps: DataFrame, k: int = MAX_BITS, node_rows: int = NODE_ROWS) -> Data
     tops = F.array(*(F.struct(F.lit(i).alias("path"), F.col("fp").bitwiseAND(F.lit(_signed(mask_of(b)))).alias("key")) for i, b in fixed.items()))
     level = fps.select("fp", F.explode(tops).alias("at")).select("at.path", "at.key", "fp")
     ready: DataFrame | None = None
+    allowed = node_rows
     while True:
-        over = stage(level.groupBy("path", "key").agg(F.count("*").alias("n")).where(F.col("n") > node_rows).drop("n"), "over")
+        over = stage(level.groupBy("path", "key").agg(F.count("*").alias("n")).where(F.col("n") > allowed).drop("n"), "over")
         if over.isEmpty():
             ready = level if ready is None else ready.unionByName(level)
             break
+        allowed *= 4
         small = level.join(over, ["path", "key"], "left_anti")
         ready = small if ready is None else ready.unionByName(small)
         # One level down: each path's remaining bits in k + 1 blocks, paths numbered as in a heap. This
