@@ -28,9 +28,10 @@ def canonical(fields: dict[str, Column]) -> Column:
     return F.to_json(F.struct(*(fields[k].alias(k) for k in sorted(fields))))
 
 
-def canonical_map(values: Column) -> Column:
-    """A map of strings as one JSON object with sorted keys."""
-    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(values))))
+def canonical_value(text: Column) -> Column:
+    """Text as a JSON value with its own types, the keys of all its objects sorted; other text as a string."""
+    quoted = F.variant_get(F.parse_json(F.to_json(F.array(text))), "$[0]", "variant")
+    return F.when(text.isNotNull(), F.coalesce(F.try_parse_json(text), quoted))
 
 
 def problems(calls: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -114,9 +115,14 @@ def link(messages: DataFrame, calls: DataFrame, results: DataFrame, schemas: Dat
     linkable = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull() & F.col("turn").isNotNull()
 
     def counted(df: DataFrame, last: list[str]) -> tuple[DataFrame, DataFrame]:
+        """The row of each identifier that counts, and the others."""
         order = F.struct("turn", *last)
-        least = df.where(linkable).groupBy(*KEY).agg(F.min(order).alias("first"), F.count("*").alias("n"))
-        return least.select(*KEY, F.col("first.turn").alias("turn"), *(F.col(f"first.{c}").alias(c) for c in last)), df.join(least.where("n > 1").select(*KEY, "first", "n"), KEY).where(~order.eqNullSafe(F.col("first")))
+        alike = df.where(linkable).groupBy(*KEY, "turn", *last).agg(F.count("*").alias("times"))
+        least = alike.groupBy(*KEY).agg(F.min(order).alias("first"), F.sum("times").alias("n"))
+        more = alike.join(least.where("n > 1").select(*KEY, "first"), KEY)
+        spare = F.col("times") - F.when(order.eqNullSafe(F.col("first")), 1).otherwise(0)
+        more = more.withColumn("spare", spare).where("spare > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("spare"))))
+        return least.select(*KEY, F.col("first.turn").alias("turn"), *(F.col(f"first.{c}").alias(c) for c in last)), more
 
     first_calls, more_calls = counted(calls.select(*KEY, "turn", "name", "arguments", "needs"), ["name", "arguments", "needs"])
     first_results, more_results = counted(results.select(*KEY, "turn", "content"), ["content"])
@@ -128,8 +134,7 @@ def link(messages: DataFrame, calls: DataFrame, results: DataFrame, schemas: Dat
     none = F.array().cast("array<string>")
 
     def call_json() -> Column:
-        arguments = F.coalesce(canonical_map(F.from_json("arguments", "map<string,string>")), F.col("arguments"))
-        return canonical({"arguments": arguments, "id": F.col("call_id"), "name": F.col("name"), "type": F.lit("call")})
+        return canonical({"arguments": canonical_value(F.col("arguments")), "id": F.col("call_id"), "name": F.col("name"), "type": F.lit("call")})
 
     def result_json() -> Column:
         return canonical({"content": F.col("content"), "id": F.col("call_id"), "type": F.lit("result")})

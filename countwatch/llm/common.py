@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from countwatch.session import ship, stage
 
+#: Rows of a batch that a task function sees at once.
+BATCH_ROWS = 2048
 #: Bits of the fixed-size key filters: 2 MB, whatever the number of keys.
 FILTER_BITS = 1 << 24
 
@@ -20,9 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with the package sent to the workers first."""
+    """``mapInArrow`` with the package sent to the workers first, and batches cut so that few texts are Python strings at once."""
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return fn(batch.slice(i, BATCH_ROWS) for batch in batches for i in range(0, batch.num_rows, BATCH_ROWS))
+
+    return df.mapInArrow(run, schema)
 
 
 def fresh(df: DataFrame, name: str) -> str:

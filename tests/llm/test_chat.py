@@ -55,13 +55,21 @@ def test_results_duplicates_orphans_and_nulls(spark):
     rows = linked(spark, calls, results, messages)
     assert len(rows) == len(calls) + len(results) + len(messages)
     status = sorted((r.kind, r.status) for r in rows)
-    assert status.count(("call", "ok")) == 1 and status.count(("call", "duplicate")) == 1 and status.count(("call", "unlinked")) == 3
+    assert status.count(("call", "ok")) == 1 and status.count(("call", "duplicate")) == 2 and status.count(("call", "unlinked")) == 3
     assert status.count(("result", "ok")) == 1 and status.count(("result", "duplicate")) == 2 and status.count(("result", "orphan")) == 2
     answer = next(r for r in rows if r.kind == "result" and r.status == "ok")
     assert json.loads(answer.json) == {"content": "a", "id": "a", "type": "result"} and (answer.at, answer.rank) == (3, 2)
     assert linked(spark, []) == []
 
 
+def test_arguments_keep_their_types_and_sort_their_keys(spark):
+    given = '{"z": {"b": [1, true, null], "a": "x"}, "query": "é", "limit": 3}'
+    rows = linked(spark, [(1, "a", 1, "search", given, None), (1, "b", 2, "search", "not json", None), (1, "c", 3, "search", None, None)])
+    told = {r.call_id: r.json for r in rows}
+    assert told["a"] == '{"arguments":{"limit":3,"query":"é","z":{"a":"x","b":[1,true,null]}},"id":"a","name":"search","type":"call"}'
+    assert json.loads(told["b"])["arguments"] == "not json" and "arguments" not in json.loads(told["c"])
+
+
 def test_json_is_canonical(spark, sf_small):
     rows = chat.op5_chat(spark, sf_small).collect()
     said = spark.read.parquet(f"{sf_small}/conversations.parquet").collect()
