@@ -332,6 +332,24 @@ TEXTS: dict[str, str] = {
            UNION ALL SELECT code, 'ANY (reports removed)', count(DISTINCT k) FILTER (ex) FROM mem GROUP BY code
            UNION ALL SELECT code, 'ALL (countable reports)', count(DISTINCT k) FROM mem GROUP BY code""",
     ),
+    "receipt_gate": q(
+        BASE,
+        """SELECT 'receipt equals the audit' AS "check", count(*) FILTER (r.n IS DISTINCT FROM a.n) = 0 AS passed, count(*) FILTER (r.n IS DISTINCT FROM a.n) AS failures
+           FROM (SELECT code, 'b' AS f, count(DISTINCT k) AS n FROM line WHERE brand IS NOT NULL GROUP BY code
+                 UNION ALL SELECT code, 'm', count(DISTINCT k) FROM line WHERE firm IS NOT NULL GROUP BY code) r
+           FULL JOIN (SELECT code, f, count(*) AS n FROM (SELECT DISTINCT k, code, 'b' AS f FROM line WHERE brand IS NOT NULL
+                 UNION ALL SELECT DISTINCT k, code, 'm' FROM line WHERE firm IS NOT NULL) GROUP BY ALL) a USING (code, f)
+           UNION ALL
+           SELECT 'every audit token is on the list', count(*) FILTER (bad) = 0, count(*) FILTER (bad)
+           FROM (SELECT DISTINCT k, code, t, lower(t) NOT IN ('supplier#000000001', 'supplier#000000002', 'red anvil') AS bad
+                 FROM (SELECT k, code, brand AS t FROM line WHERE brand IS NOT NULL UNION ALL SELECT k, code, firm FROM line WHERE firm IS NOT NULL))""",
+    ),
+    "window_completeness": """
+        WITH pair AS (SELECT DISTINCT o_orderkey, p_type, o_orderdate FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey),
+             want AS (SELECT p_type, strftime(o_orderdate, '%Y-%m') AS m, count(*) AS n FROM pair GROUP BY ALL),
+             held AS (SELECT p_type, strftime(o_orderdate, '%Y-%m') AS m, count(*) AS n FROM pair WHERE o_orderdate >= DATE '1995-01-01' AND o_orderdate < DATE '2001-08-01' GROUP BY ALL)
+        SELECT want.p_type AS product_code, count(*) AS windows, count(*) FILTER (want.m > '2001-07' OR held.n IS DISTINCT FROM want.n) AS incomplete
+        FROM want LEFT JOIN held USING (p_type, m) GROUP BY want.p_type""",
     "quarantine": q(
         BASE,
         f"""SELECT reason, count(*) AS reports FROM (

@@ -9,6 +9,7 @@ from countwatch.config import STAR
 from countwatch.functions import months, text
 from countwatch.operators import compare, gates, live, measures, records
 from countwatch.plans.star_plan import StarPlan
+from countwatch.session import stage
 from countwatch.sources import manifests, star
 
 
@@ -71,6 +72,24 @@ def exclusion_receipt(spark, sf_dir):
     return measures.exclusion_receipt(_audit(p), p.members)
 
 
+def receipt_gate(spark, sf_dir):
+    """M6: the published receipt against the audit's own counts, and every audited token against the list."""
+    p = StarPlan(spark, sf_dir)
+    audit = stage(_audit(p), "audit")
+    return gates.receipt_gate(measures.exclusion_receipt(audit, p.members), audit, (*star.STAR_TOKENS.firm, *star.STAR_TOKENS.brand))
+
+
+def window_completeness(spark, sf_dir):
+    """M2: each code-month is a window of the extraction; it is complete when it holds what the series expects."""
+    p = StarPlan(spark, sf_dir)
+    expected = measures.day_counts_to_months(p.daily).withColumnRenamed("series_reports", "expected")
+    held = measures.monthly_counts(p.members).select("product_code", "mi", F.col("raw_reports").alias("api_total"))
+    log = expected.join(held, ["product_code", "mi"], "left").withColumn("status", F.when(F.col("mi") <= STAR.end_mi, "complete").otherwise("open"))
+    late = manifests.incomplete_windows(log).groupBy("product_code").agg(F.count(F.lit(1)).alias("incomplete"))
+    totals = log.groupBy("product_code").agg(F.count(F.lit(1)).alias("windows"))
+    return totals.join(late, "product_code", "left").select("product_code", "windows", F.coalesce("incomplete", F.lit(0)).alias("incomplete"))
+
+
 def quarantine(spark, sf_dir):
     p = StarPlan(spark, sf_dir)
     received = star.table(spark, sf_dir, "orders").select(star.day_string("o_orderdate").alias("date_received"))
@@ -233,7 +252,7 @@ QUERIES = {
     for f in (
         m01_monthly_count, m01_spine_variance, m02_lag_matched, lag_summary, event_type_mix, remedial_count,
         remedial_by_month, exclusion_audit, exclusion_receipt, quarantine, cohort_gate, excluded_code_union,
-        off_grid, product_code_dim, record_facts, distinct_totals, capacity_windows, record_first_seen, lag_view,
+        off_grid, receipt_gate, window_completeness, product_code_dim, record_facts, distinct_totals, capacity_windows, record_first_seen, lag_view,
         second_path_monthly, gate_results, hash_reconcile, source_register, keyed_objects, unparsed_objects, token_scan, bucket_check,
     )
 }
