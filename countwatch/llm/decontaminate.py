@@ -5,10 +5,11 @@ placeholders for numbers, quantities (a number with its unit) and names (a run o
 not begin a sentence). Windows of ``WINDOW`` tokens of benchmark items are hash-joined with those of the
 documents, so a question is found again when its numbers, names or units were exchanged.
 
-A hit aligns a document with an item at one offset. There the values in the slots are compared: the same
-value of the item must always have become the same value of the document and the other way round, for each
-type. Alignments that break this are no copies of the question and do not count. The windows of the
-consistent ones together tell how much of an item a document holds: it is contaminated by an item if it has
+A hit aligns a document with an item at one offset. There the values in the slots are compared: a value of the
+item should always have become the same value of the document and the other way round. New values may
+coincide (3 and 5 become 5 and 5) and equal ones part (2 and 2 become 3 and 2), so ``CONSISTENT`` of the pairs of
+values have to be one to one, of names and of figures each; an alignment with fewer is no copy of the
+question and does not count. The windows of the consistent ones together tell how much of an item a document holds: it is contaminated by an item if it has
 ``COVERAGE`` of its windows, or ``RUN`` of them.
 
 Documents first pass a bitmap of the item windows' hashes, of a fixed 2 MB, that misses none; what passes is
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from countwatch.llm.common import arrow_map, fresh, key_filter, passes, stage, table, texts
@@ -35,6 +36,7 @@ LITERALS = 5
 LEAST_TOKENS = 5
 COVERAGE = 0.5
 RUN = 6
+CONSISTENT = 0.5
 REMEMBERED = 400_000
 BLOCK_WORDS = 200_000
 
@@ -239,11 +241,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     hits = found.distinct().join(windows, ["key", "length"]).withColumn("offset", F.col("place") - F.col("at"))
     slots = F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("item_slots", "doc_slots"))))
     aligned = hits.groupBy("id", "tkey", "item", "windows", "offset").agg(F.collect_set("at").alias("matched"), slots.alias("slots"))
-    # A pair of values must be one to one: as many pairs as values on either side.
+    # Of so many pairs of values at most so many can be one to one as there are values on the poorer side.
     size = F.size("slots")
-    one_to_one = (F.size(F.array_distinct(F.col("slots.item_slots"))) == size) & (F.size(F.array_distinct(F.col("slots.doc_slots"))) == size)
+
+    def one_to_one(pairs: Column) -> Column:
+        return F.least(*(F.size(F.array_distinct(pairs[side])) for side in ("item_slots", "doc_slots"))) >= CONSISTENT * F.size(pairs)
+
+    names = F.filter("slots", lambda s: s["item_slots"].startswith("name="))
+    figures = F.filter("slots", lambda s: ~s["item_slots"].startswith("name="))
     changed = F.size(F.filter("slots", lambda s: s["item_slots"] != s["doc_slots"]))
-    consistent = aligned.where(one_to_one).withColumn("changed", changed).withColumn("n_slots", size)
+    consistent = aligned.where(one_to_one(names) & one_to_one(figures)).withColumn("changed", changed).withColumn("n_slots", size)
     together = consistent.groupBy("id", "tkey", "item", "windows").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("matched")))).cast("long").alias("n_matched"), F.max("n_slots").alias("n_slots"), F.min("changed").alias("n_changed")
     )

@@ -66,3 +66,17 @@ def test_wide_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, "clean words", 1, 2)], "doc_id long, text string, bad_id int, bad_text int")
     out = dec.without_contaminated(df, spark.createDataFrame(BENCH, "item_id long, text string"))
     assert out.columns == df.columns and out.count() == 1
+
+
+def test_coinciding_and_parting_values_do_not_hide_a_question(spark):
+    bench = [
+        (1, "On Monday morning the farmer had 3 pears in the basket and later found another 5 pears under the old tree, so how many pears are there now?"),
+        (2, "Every shelf of the small shop holds 2 red boxes on the left and 2 blue boxes on the right, so how many boxes does one shelf hold?"),
+        (3, "After lunch young Alice met her neighbour Bob at the gate and asked him whether the old mill was still open to visitors today"),
+    ]
+    texts = [
+        bench[0][1].replace("3 pears", "5 pears"), bench[1][1].replace("2 red", "3 red"), bench[2][1].replace("Alice", "Maria").replace("Bob", "Maria"),
+        bench[0][1].replace("3 pears", "7 pears"), "On Monday the farmer went home and found another 5 pears",
+    ]
+    got = found(spark, list(enumerate(texts)), bench)
+    assert got == {(0, 1): "reparameterised", (1, 2): "reparameterised", (2, 3): "reparameterised", (3, 1): "reparameterised"}
