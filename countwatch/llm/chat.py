@@ -38,19 +38,24 @@ def problems(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     """(conv_id, call_id, problems): why a call's arguments do not fit, as a sorted array.
 
     ``schemas`` has name, param, kind (string, integer, number, boolean) and required. A call of an unknown tool,
-    a missing or unknown parameter, and a value that is not of its kind are problems; so are arguments
-    that are no JSON object.
+    a missing or unknown parameter, and a value whose JSON type is not that of its kind are problems (null is of no
+    kind); so are arguments that are no JSON object. For a number the spelling counts, quoted or not.
     """
     tools = schemas.groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("param", F.struct("kind", "required")))).alias("params"))
-    arguments = F.from_json("arguments", "map<string,string>")
-    rows = calls.join(tools, "name", "left").withColumn("given", arguments)
+    typed = F.try_variant_get(F.try_parse_json("arguments"), "$", "map<string,variant>")
+    spelled = F.from_json("arguments", "map<string,string>")
+    rows = calls.join(tools, "name", "left").withColumns({"typed": typed, "spelled": spelled})
+    given = F.transform_values("typed", lambda k, v: F.struct(F.schema_of_variant(v).alias("type"), F.col("spelled")[k].alias("text")))
+    rows = rows.withColumn("given", given)
     known = F.coalesce("params", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<struct<kind: string, required: boolean>>")))
-    given = F.coalesce("given", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
+    given = F.coalesce("given", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<struct<type: string, text: string>>")))
 
     def fits(kind: Column, value: Column) -> Column:
+        is_number, text = value["type"].rlike("^(BIGINT|DOUBLE|DECIMAL.*)$"), value["text"]
         return (
-            F.when(kind == "integer", value.rlike("^-?[0-9]+$")).when(kind == "number", value.rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$"))
-            .when(kind == "boolean", value.isin("true", "false")).otherwise(True)
+            F.when(kind == "integer", is_number & text.rlike("^-?[0-9]+$"))
+            .when(kind == "number", (is_number | (value["type"] == "STRING")) & text.rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$"))
+            .when(kind == "boolean", value["type"] == "BOOLEAN").when(kind == "string", value["type"] == "STRING")
         )
 
     missing = F.transform(F.filter(F.map_keys(known), lambda k: known[k]["required"] & ~F.map_contains_key(given, k)), lambda k: F.concat(F.lit("missing:"), k))
@@ -176,17 +181,24 @@ SCHEMAS = (
 def calls_of(conversations: DataFrame) -> DataFrame:
     """A call for every assistant turn, its arguments taken from the whole text.
 
-    The number of words picks the tool, the kinds of a few values (so that some calls are invalid) and what a call
+    The number of words picks the tool, the JSON types of a few values (so that some calls are invalid) and what a call
     needs: the assistant turn before it, or sometimes the one after.
     """
     words = F.size(F.split(F.trim(F.coalesce("text", F.lit(""))), r"\s+"))
     lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n"))
     rows = conversations.where("role = 'assistant'").withColumns({"w": words, "lines": lines})
     first = F.substring_index(F.coalesce("text", F.lit("")), " ", 1)
+    ratio, urgent = F.round(F.col("w") / F.col("lines"), 3).cast("decimal(20,3)"), F.col("w") > 50
+
+    def value(column: Column, else_: Column, wrong: Column) -> Column:
+        """The value with its own JSON type; where ``wrong`` holds, another one."""
+        return F.when(wrong, else_.cast("variant")).otherwise(column.cast("variant"))
+
+    odd, quoted = F.col("w") % 2 == 1, F.col("w") % 7 == 0
     arguments = (
-        F.when(F.col("w") % 3 == 0, F.to_json(F.create_map(F.lit("query"), first, F.lit("limit"), F.when(F.col("w") % 2 == 0, F.col("lines").cast("string")).otherwise(first))))
-        .when(F.col("w") % 3 == 1, F.to_json(F.create_map(F.lit("words"), F.col("w").cast("string"), F.lit("ratio"), F.round(F.col("w") / F.col("lines"), 3).cast("string"))))
-        .otherwise(F.to_json(F.create_map(F.when(F.col("w") % 5 == 0, "urgency").otherwise("urgent"), F.when(F.col("w") > 50, "true").otherwise("false"))))
+        F.when(F.col("w") % 3 == 0, F.to_json(F.create_map(F.lit("query"), value(first, F.col("w"), quoted), F.lit("limit"), value(F.col("lines"), first, odd))))
+        .when(F.col("w") % 3 == 1, F.to_json(F.create_map(F.lit("words"), value(F.col("w"), F.col("w").cast("string"), quoted), F.lit("ratio"), ratio.cast("variant"))))
+        .otherwise(F.to_json(F.create_map(F.when(F.col("w") % 5 == 0, "urgency").otherwise("urgent"), value(urgent, urgent.cast("string"), quoted))))
     )
     need = F.when(F.col("w") % 11 == 5, F.col("turn") + 2).when(F.col("w") % 4 < 3, F.col("turn") - 2)
     return rows.select(

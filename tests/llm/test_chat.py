@@ -48,6 +48,32 @@ def test_arguments_are_checked(spark):
         assert got[f"c{i}"] == (want, "invalid" if want else "ok")
 
 
+def test_arguments_must_have_the_json_type_of_their_kind(spark):
+    bad = [
+        ("measure", '{"words":"12","ratio":1}', ["kind:words"]), ("measure", '{"words":12,"ratio":true}', ["kind:ratio"]), ("measure", '{"words":-123456789012345678901234567890,"ratio":0.5}', []),
+        ("measure", '{"words":null,"ratio":{}}', ["kind:ratio", "kind:words"]), ("measure", '{"words":12.5,"ratio":"x"}', ["kind:ratio", "kind:words"]), ("flag", '{"urgent":"true"}', ["kind:urgent"]),
+        ("flag", '{"urgent":1}', ["kind:urgent"]), ("flag", '{"urgent":false,"note":"5"}', []), ("flag", '{"urgent":false,"note":false}', ["kind:note"]), ("search", '{"query":5}', ["kind:query"]),
+        ("search", '{"query":{}}', ["kind:query"]), ("search", '{"query":[]}', ["kind:query"]), ("search", '{"query":null}', ["kind:query"]), ("search", '["query"]', ["json"]), ("search", '{"query":""}', []),
+    ]
+    rows = linked(spark, [(1, f"c{i}", i, n, a, None) for i, (n, a, _) in enumerate(bad)])
+    got = {r.call_id: r.problems for r in rows}
+    assert [got[f"c{i}"] for i in range(len(bad))] == [want for _, _, want in bad]
+
+
+def test_the_query_has_typed_and_wrongly_typed_arguments(spark, sf_small):
+    kinds = {(n, p): {"string": str, "integer": int, "number": (int, float), "boolean": bool}[k] for n, p, k, _ in chat.SCHEMAS}
+    rows = chat.op5_chat(spark, sf_small).where("kind = 'call' and status != 'duplicate'").collect()
+    right, wrong = set(), set()
+    for r in rows:
+        call = json.loads(r.json)
+        for p, v in call["arguments"].items():
+            if kind := kinds.get((call["name"], p)):
+                fits = isinstance(v, kind) and (kind is bool or not isinstance(v, bool))
+                assert fits == (f"kind:{p}" not in r.problems)
+                (right if fits else wrong).add(p)
+    assert right >= {"query", "limit", "words", "ratio", "urgent"} and wrong >= {"query", "limit", "words", "urgent"}
+
+
 def test_results_duplicates_orphans_and_nulls(spark):
     calls = [flag(1, "a", 5), flag(1, "a", 3), flag(1, "a", 3), flag(None, "a", 1), flag(1, None, 1), flag(2, "a", None)]
     results = [(1, "a", 8, "late"), (1, "a", 4, "b"), (1, "a", 4, "a"), (1, "zz", 2, None), (3, "a", 1, "x"), (None, None, None, None)]
