@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from countwatch.llm import chat, decontaminate, embeddings, line_dedup, quality, secrets, sentencepieces, simhash, toxicity, url_filters
+from countwatch.llm import chat, decontaminate, embeddings, line_dedup, merkle, quality, secrets, sentencepieces, simhash, toxicity, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
@@ -19,7 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": sentencepieces.op8_sentencepiece,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_merkle": merkle.op11_merkle,
 }
 ORACLES: dict[str, str] = {
     "op2_url_filter": url_filters.OP2_SQL,
+    "op11_merkle": merkle.OP11_SQL,
 }
