@@ -43,20 +43,17 @@ def same(a: DataFrame, b: DataFrame, on: list[str]) -> Column:
     return out
 
 
-def _spans(rows: DataFrame, group: list[str], value: Column) -> DataFrame:
-    """Per group and part of a table of ``in_order``: its first ``at``, the values before it and in the whole group."""
+def _spans(rows: DataFrame, group: list[str], sums: dict[str, Column]) -> DataFrame:
+    """Per group and part of a table of ``in_order``: its first ``at``, and for each sum what earlier parts and the whole group hold."""
     parts = rows.groupBy(*group, F.shiftright("at", PART_BITS).alias("part")).agg(
-        F.min("at").alias("first"), F.sum(value).alias("here")
+        F.min("at").alias("first"), *[F.sum(c).alias(f"{name}_here") for name, c in sums.items()]
     )
     of = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    before = of.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    return parts.select(
-        *[F.col(c).alias(f"{c}_") for c in group],
-        F.col("part").alias("part_"),
-        "first",
-        F.coalesce(F.sum("here").over(before), F.lit(0)).alias("before"),
-        F.sum("here").over(of).alias("whole"),
-    )
+    earlier = of.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    told = []
+    for name in sums:
+        told += [F.coalesce(F.sum(f"{name}_here").over(earlier), F.lit(0)).alias(f"{name}_before"), F.sum(f"{name}_here").over(of).alias(f"{name}_whole")]
+    return parts.select(*[F.col(c).alias(f"{c}_") for c in group], F.col("part").alias("part_"), "first", *told)
 
 
 def places(rows: DataFrame, group: list[str]) -> DataFrame:
@@ -65,22 +62,23 @@ def places(rows: DataFrame, group: list[str]) -> DataFrame:
     What is windowed is one row per group and part of the order, never the rows themselves.
     """
     rows = rows.withColumn("part", F.shiftright("at", PART_BITS))
-    spans = _spans(rows, group, F.lit(1))
-    pos = F.col("at") - F.col("first") + F.col("before")
+    spans = _spans(rows, group, {"rows": F.lit(1)})
+    pos = F.col("at") - F.col("first") + F.col("rows_before")
     return rows.join(spans, same(rows, spans, [*group, "part"])).select(
-        *[rows[c] for c in rows.columns if c not in ("at", "part")], pos.alias("pos"), F.col("whole").alias("n")
+        *[rows[c] for c in rows.columns if c not in ("at", "part")], pos.alias("pos"), F.col("rows_whole").alias("n")
     )
 
 
-def running(rows: DataFrame, group: list[str], value: str) -> DataFrame:
-    """Rows of ``in_order`` (sorted by ``group`` first) with ``before``, the sum of ``value`` over earlier rows of the group.
+def running(rows: DataFrame, group: list[str], *values: str) -> DataFrame:
+    """Rows of ``in_order`` (sorted by ``group`` first) with ``<value>_before``: each value's sum over earlier rows of the group.
 
     A group is summed part by part, so one that holds a third of all rows is as many windows as it has parts.
     """
     rows = rows.withColumn("part", F.shiftright("at", PART_BITS))
-    spans = _spans(rows, group, F.col(value))
+    spans = _spans(rows, group, {v: F.col(v) for v in values})
     within = Window.partitionBy(*group, "part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    summed = rows.withColumn("inner", F.coalesce(F.sum(value).over(within), F.lit(0)))
+    summed = rows.withColumns({f"{v}_inner": F.coalesce(F.sum(v).over(within), F.lit(0)) for v in values})
     return summed.join(spans, same(summed, spans, [*group, "part"])).select(
-        *[summed[c] for c in rows.columns if c not in ("at", "part")], (F.col("before") + F.col("inner")).alias("before")
+        *[summed[c] for c in rows.columns if c not in ("at", "part")],
+        *[(F.col(f"{v}_before") + F.col(f"{v}_inner")).alias(f"{v}_before") for v in values],
     )
