@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from countwatch.llm import chat, decontaminate, embeddings, line_dedup, merkle, quality, secrets, sentencepieces, simhash, toxicity, url_filters
+from countwatch.llm import chat, decontaminate, embeddings, line_dedup, merkle, mixing, quality, repair, secrets, sentencepieces, simhash, toxicity, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
@@ -20,8 +20,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_line_dedup": line_dedup.op10_line_dedup,
     "op11_merkle": merkle.op11_merkle,
+    "op12_mix": mixing.op12_mix,
+    "op13_repair": repair.op13_repair,
 }
 ORACLES: dict[str, str] = {
     "op2_url_filter": url_filters.OP2_SQL,
     "op11_merkle": merkle.OP11_SQL,
+    "op12_mix": mixing.OP12_SQL,
+    "op13_repair": repair.OP13_SQL,
 }
