@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from countwatch.llm.common import table
+from countwatch.llm.common import stage, table
 from countwatch.llm.ordering import in_order, pick, places, running
 
 #: Weights of the sources in their order, repeating.
@@ -90,7 +90,7 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
         "id", "source", "size", (-F.log(uniform(F.col("id"), seed)) / quality_weight(F.col("text"), F.col("size"))).alias("draw")
     )
     order = [F.col("source").asc_nulls_last(), F.col("draw"), F.col("id"), F.col("size")]
-    ordered = in_order(drawn, order, "mix-draws")
+    ordered = in_order(stage(drawn, "mix-sizes"), order, "mix-draws")
     wanted = targets(ordered.groupBy("source").agg(F.sum("size").alias("source_size")), share, weights, epochs)
     wanted = wanted.withColumnRenamed("source", "source_")
     before = running(ordered, ["source"], "size")

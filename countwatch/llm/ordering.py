@@ -27,7 +27,8 @@ def in_order(df: DataFrame, keys: list[Column], name: str) -> DataFrame:
 
     Rows are dealt by ranges of the keys and sorted within them; a last key tells equal rows apart, so that rows
     repeated any number of times still spread. Which of two rows with equal keys comes first is not told: callers
-    give keys that leave only interchangeable rows equal.
+    give keys that leave only interchangeable rows equal. Ranges are sampled in a pass of their own, so rows that are costly to make
+    should be staged before.
     """
     tied = df.withColumn("at", F.monotonically_increasing_id())
     order = [*keys, F.col("at")]
