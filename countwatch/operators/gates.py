@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from countwatch.config import Harness, mi_of
 from countwatch.functions import months, text
 from countwatch.operators import measures
-from countwatch.session import stage
 
 
 def check_rows(counts: DataFrame) -> DataFrame:
@@ -169,14 +168,12 @@ def numbers_gate(figures: DataFrame, bands: DataFrame) -> DataFrame:
 
 
 def record_gates(spark: SparkSession, sf_dir: str, p) -> DataFrame:
-    """M3, M4, M5, M9 over the star tables; the report table is built once and read by every gate."""
-    p.reports = stage(p.reports, "reports")
+    """M3, M4, M5, M9 over the star tables; keys are checked where they lie, in the bucketed record tables."""
+    reports, bridge = p.records
     daily = measures.day_counts_to_months(p.daily, p.harness.window_start, p.harness.as_of)
     monthly = measures.spine_variance(p.monthly_lazy(), daily)
-    # The pairs that the measures count, not a deduplicated copy: a pair that comes twice must show here.
-    bridge = p.reports.select("report_key", F.explode("codes").alias("product_code"))
     return (
         monthly_gate(monthly)
-        .unionByName(report_gate(p.reports, p.harness))
-        .unionByName(bridge_gate(bridge, p.reports))
+        .unionByName(report_gate(reports, p.harness))
+        .unionByName(bridge_gate(bridge, reports))
     )

@@ -1,7 +1,7 @@
 """The star-schema plan: every stage of the engine as a lazily built DataFrame.
 
-The record tables are scanned once per query; what leaves that scan is at most codes x months rows
-and is staged to the shared folder before the forecasting layers read it repeatedly.
+Lines and orders are rolled up once per folder into bucketed record tables; what leaves a scan of those is at most
+codes x months rows and is staged to the shared folder before the forecasting layers read it repeatedly.
 """
 
 from __future__ import annotations
@@ -34,12 +34,21 @@ class StarPlan:
         return star.devices(self.spark, self.dir, code=self.code)
 
     @cached_property
+    def records(self) -> tuple[DataFrame, DataFrame]:
+        """Reports and bridge, bucketed by the report key, written by the first plan that asks."""
+        return star.stored_records(self.spark, self.dir, self.harness, self.code)
+
+    @property
     def reports(self) -> DataFrame:
-        return star.reports(self.spark, self.dir, self.harness, device_rows=self.devices)
+        return self.records[0]
+
+    @property
+    def bridge(self) -> DataFrame:
+        return self.records[1]
 
     @cached_property
     def members(self) -> DataFrame:
-        return star.memberships(self.reports)
+        return star.memberships(self.reports, self.bridge)
 
     @cached_property
     def eligible(self) -> DataFrame:

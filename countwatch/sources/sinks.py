@@ -25,9 +25,15 @@ def export_csv(df: DataFrame, path: str, order: Sequence[str], empty_label: dict
     ordered.write.mode("overwrite").option("header", True).option("lineSep", "\n").csv(path)
 
 
-def write_record_table(df: DataFrame, name: str, key: str, buckets: int) -> None:
-    """Rebuild a record table bucketed and sorted by its key, so key joins need no shuffle."""
-    df.write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+def write_record_table(df: DataFrame, name: str, key: str, buckets: int, path: str | None = None) -> DataFrame:
+    """Rebuild a record table bucketed and sorted by its key, so key joins need no shuffle; returns the table.
+
+    Rows are dealt by the bucket function first, so each bucket is one file. With ``path`` the table lies there and the
+    catalog only names it.
+    """
+    dealt = df.repartition(buckets, key).write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key)
+    (dealt.option("path", path) if path else dealt).saveAsTable(name)
+    return df.sparkSession.table(name)
 
 
 def write_json_fact(df: DataFrame, path: str) -> None:

@@ -18,6 +18,7 @@ from countwatch.config import Harness
 from countwatch.functions import months, text
 from countwatch.functions.text import TokenLists
 from countwatch.session import stage
+from countwatch.sources.record_tables import record_tables
 
 # Stand-in token lists for the private exclusion list.
 STAR_TOKENS = TokenLists(
@@ -121,9 +122,32 @@ def reports(
     )
 
 
-def memberships(report: DataFrame) -> DataFrame:
-    """Countable report x code. Codes are already distinct per report, so the pair is unique."""
-    return report.filter("countable").withColumn("product_code", F.explode("codes")).drop("codes")
+#: What a member row carries of its report.
+MEMBER_FIELDS = (
+    "date_received", "date_of_event", "event_type", "remedial_action", "summary_report_flag", "noe_summarized",
+    "excluded", "receipt_mi", "event_mi",
+)
+
+
+def bridge(report: DataFrame) -> DataFrame:
+    """Report x code pairs. Codes are already distinct per report, so the pair is unique."""
+    return report.select("report_key", F.explode("codes").alias("product_code"))
+
+
+def stored_records(spark: SparkSession, sf_dir: str, harness: Harness, code: str = CODE, lists: TokenLists = STAR_TOKENS) -> tuple[DataFrame, DataFrame]:
+    """The report table and its bridge, bucketed by the report key and written once per folder."""
+    sources = [table(spark, sf_dir, t) for t in ("orders", "lineitem", "part", "supplier")]
+
+    def build() -> tuple[DataFrame, DataFrame]:
+        made = stage(reports(spark, sf_dir, harness, lists, devices(spark, sf_dir, lists, code)), "report-rows")
+        return made, bridge(made)
+
+    return record_tables(spark, f"{code} {lists} {harness.window_start} {harness.as_of}", sources, build)
+
+
+def memberships(report: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Countable report x code, joined by the key that both tables are bucketed by."""
+    return report.filter("countable").select("report_key", *MEMBER_FIELDS).join(pairs, "report_key")
 
 
 def code_list(spark: SparkSession, sf_dir: str, code: str = CODE) -> DataFrame:
