@@ -681,6 +681,32 @@ TEXTS: dict[str, str] = {
     ),
 }
 
+def _cells(measure: str, rows: str, columns: str) -> str:
+    """What the second path should tell: every cell compared, none differing."""
+    told = ", ".join(f"('{c}')" for c in columns.split())
+    return f"""SELECT '{measure}' AS measure, c AS "column", n AS cells, 0::BIGINT AS differing, 0::BIGINT AS one_sided
+        FROM (SELECT count(*) AS n FROM ({rows})) CROSS JOIN (VALUES {told}) v(c) WHERE n > 0"""
+
+
+TEXTS["second_path"] = q(
+    f"{BASE}, {M01}, {SCORES}, {REVIEW}",
+    " UNION ALL ".join(
+        (
+            _cells("M-01", "SELECT DISTINCT code, rmi FROM mem", "raw_reports excluded_reports eligible_reports"),
+            _cells("M-02", f"SELECT DISTINCT code, emi FROM elig WHERE emi BETWEEN {STAR.start_mi} AND {STAR.end_mi}", "reports_with_event_month within_3 within_6 within_12 negative_lag"),
+            _cells("M-03", "SELECT * FROM fc", "point calibration_n lower50 upper50 lower80 upper80"),
+            _cells("M-04", "SELECT * FROM cell", "n mae coverage50 coverage80 width50 width80 wis"),
+            _cells("M-05", "SELECT * FROM que", "months_in_episode max_excess_over_point"),
+        )
+    ),
+)
+TEXTS["sql_functions_check"] = f"""
+SELECT strftime(o_orderdate, '%Y-%m') AS month, count({token('p_name', BRAND)}) AS brand_lines,
+  count(CASE WHEN NOT regexp_matches(s_name, '{VETO}') THEN {token('s_name', FIRM)} END) AS firm_lines,
+  round(sum({wis('l_quantity', '25').replace('lo50', '20').replace('hi50', '30').replace('lo80', '10').replace('hi80', '40')}), 4) AS quantity_wis,
+  round(avg((l_quantity + 3) / 3), 6) AS quantity_mean
+FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey GROUP BY 1"""
+
 # The same texts with brands as product codes.
-BRANDED = ("promotion", "review_queue", "queue_diagnostic", "largest_episode", "recall_count", "forecast_gates")
+BRANDED = ("promotion", "review_queue", "queue_diagnostic", "largest_episode", "recall_count", "forecast_gates", "second_path")
 TEXTS |= {f"brand_{name}": TEXTS[name].replace("p_type", "upper(p_brand)") for name in BRANDED}

@@ -20,7 +20,7 @@ if __name__ == "__main__":
     con = connect(sf)
     failed = 0
     for name in names:
-        t = time.time()
+        t, sql = time.time(), ORACLES.get(name)
         try:
             df = QUERIES[name](spark, sf)
             sql = ORACLES.get(name)
