@@ -146,8 +146,15 @@ TEXTS: dict[str, str] = {
     "stream_every_reading": """
         SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS events, round(sum(value), 4) AS total
         FROM (SELECT DISTINCT event_id, ts, event_type, value FROM events) GROUP BY ALL""",
-    # One batch reads the whole table, so nothing can come after the watermark has moved.
-    "stream_late_rows": "SELECT count(*) AS events_read, count(*) FILTER (ts IS NULL) AS late_rows FROM events",
+    # Landings of four days, every 37th event two landings late; behind the newest earlier time less a day is late.
+    "stream_late_rows": """
+        WITH l AS (
+          SELECT *, date_diff('day', (SELECT min(ts) FROM events)::DATE, ts::DATE) // 4 + CASE WHEN event_id % 37 = 0 THEN 2 ELSE 0 END AS landing
+          FROM events WHERE ts IS NOT NULL),
+        n AS (SELECT landing, max(ts) AS upto FROM l GROUP BY landing),
+        m AS (SELECT landing, max(upto) OVER (ORDER BY landing ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM n)
+        SELECT event_id, event_type, value, landing, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts
+        FROM l JOIN m USING (landing) WHERE ts <= date_trunc('millisecond', m.upto) - INTERVAL 1 DAY""",
     "stream_daily_counts": """
         WITH e AS (SELECT DISTINCT event_id, ts, event_type, value FROM events)
         SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS events, round(sum(value), 4) AS total

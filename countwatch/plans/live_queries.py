@@ -163,16 +163,29 @@ def stream_every_reading(spark, sf_dir):
     return days.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "event_type", "events", F.round("total", 4).alias("total"))
 
 
-def stream_late_rows(spark, sf_dir):
-    """How many rows came too late for the closed days, over all batches."""
-    out = shared_folder(spark, "daily-counts")
-    told = daily_counts.run_available(spark, f"{sf_dir.rstrip('/')}/events.parque[t]", out)
-    seen = table_rows(spark, sf_dir)
-    return seen.select("events_read", F.lit(told["late_rows"]).cast("long").alias("late_rows"))
+#: Days that land together, and how many landings later every 37th event comes.
+LANDING_DAYS, LATE_EVERY, LATE_BY = 4, 37, 2
+
 
+def land_events(spark, sf_dir, root):
+    """The events as a stream would bring them: a landing per four days, some events two landings late; runs the split after each."""
+    events = star.table(spark, sf_dir, "events").where("ts IS NOT NULL")
+    first = events.agg(F.min("ts")).first()[0]
+    days = F.datediff(F.col("ts"), F.lit(first).cast("timestamp_ntz"))
+    delayed = F.when(F.col("event_id") % LATE_EVERY == 0, LATE_BY).otherwise(0)
+    landed = stage(events.withColumn("landing", F.floor(days / LANDING_DAYS) + delayed), "landings")
+    last = landed.agg(F.max("landing")).first()[0]
+    for n in range((-1 if last is None else last) + 1):
+        landed.where(F.col("landing") == n).drop("landing").write.mode("append").parquet(f"{root}_landing")
+        daily_counts.split_late(spark, f"{root}_landing", root)
 
-def table_rows(spark, sf_dir):
-    return star.table(spark, sf_dir, "events").agg(F.count(F.lit(1)).alias("events_read"))
+
+def stream_late_rows(spark, sf_dir):
+    """The events that came behind the watermark, as rows, with the landing that brought them."""
+    root = shared_folder(spark, "late-rows")
+    land_events(spark, sf_dir, root)
+    late = daily_counts.read_split(spark, root).where("late")
+    return late.select("event_id", "event_type", "value", F.col("batch").alias("landing"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
 
 
 QUERIES = {

@@ -93,3 +93,45 @@ def every_reading(spark: SparkSession, source: str, out: str) -> DataFrame:
 
 def read_closed(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.schema(CLOSED).parquet(f"{out}/batch=*")
+
+
+SPLIT = f"{EVENT}, late boolean"
+MARKS = "upto timestamp_ntz, batch bigint"
+
+
+def split_late(spark: SparkSession, source: str, out: str, delay: str = DELAY, files_per_batch: int | None = None) -> None:
+    """Append every event to ``out`` with ``late``: whether it came behind the watermark that stood when its batch began.
+
+    The watermark of a batch is the newest time of all earlier batches less ``delay``, to the millisecond, as the
+    engine keeps it; an event at or before it is late, and a first batch has no late events. Each batch writes its rows and
+    the newest time so far under its own number and reads only lower numbers, so a retried batch writes the same again.
+    Events without a time are never late.
+    """
+    reader = spark.readStream.schema(EVENT)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        before = newest(spark, out, batch_id)
+        mark = F.date_trunc("millisecond", F.lit(before).cast("timestamp_ntz")) - F.expr(f"INTERVAL {delay}")
+        rows = f"{out}/rows/batch={batch_id}"
+        batch.withColumn("late", F.coalesce(F.col("ts") <= mark, F.lit(False))).write.mode("overwrite").parquet(rows)
+        # The batch is read back, not run again: one column, from the files just written.
+        seen = spark.read.schema(SPLIT).parquet(rows).agg(F.max("ts").alias("ts"))
+        seen.select(F.greatest("ts", F.lit(before).cast("timestamp_ntz")).alias("upto")).write.mode("overwrite").parquet(f"{out}/marks/batch={batch_id}")
+
+    # The marks' folder exists from the start, so that the first batch finds it empty.
+    spark.createDataFrame([], "upto timestamp_ntz").write.mode("overwrite").parquet(f"{out}/marks/batch=-1")
+    query = reader.parquet(source).writeStream.foreachBatch(write).option("checkpointLocation", f"{out}_stream").trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+def newest(spark: SparkSession, out: str, batch_id: int):
+    """The newest event time before a batch: one value, from one row per batch; None before the first."""
+    marks = spark.read.schema(MARKS).parquet(f"{out}/marks").where(F.col("batch") < batch_id)
+    return marks.agg(F.max("upto")).first()[0]
+
+
+def read_split(spark: SparkSession, out: str) -> DataFrame:
+    """All events with ``late`` and the ``batch`` that brought them."""
+    return spark.read.schema(f"{SPLIT}, batch bigint").parquet(f"{out}/rows")

@@ -1,5 +1,6 @@
 """Live-edge scenarios on temporary folders: no network, no clock."""
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,6 +141,41 @@ def test_late_rows_are_counted_over_all_batches(spark, tmp_path):
     assert sorted(r.events for r in whole) == [1, 8]
 
 
+def test_late_rows_are_rows_and_agree_with_the_engine(spark, tmp_path):
+    """Files in order: each batch is split at the newest earlier time less a day; the engine's closed days hold just the rest."""
+    src, out, closed = (str(tmp_path / n) for n in ("src", "out", "closed"))
+    schema = "event_id bigint, ts string, user_id bigint, event_type string, value double, props string"
+    files = [
+        [(1, "2024-01-01 10:00:00"), (2, "2024-01-02 10:00:00"), (3, "2024-01-01 00:00:00")],
+        [(4, "2024-01-01 10:00:00"), (5, "2024-01-01 10:00:00.001"), (6, "2024-01-05 12:00:00"), (7, None)],
+        [(8, "2024-01-02 09:00:00"), (9, "2024-01-04 12:00:00"), (10, "2024-01-04 12:00:00.0015"), (11, "2024-01-09 00:00:00")],
+        [(12, "2024-01-20 00:00:00")],
+    ]
+    want, upto = {}, None
+    for n, rows in enumerate(files):
+        spark.createDataFrame([(i, t, 1, "click", 1.0, "{}") for i, t in rows], schema).withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(src)
+        daily_counts.split_late(spark, src, out)
+        daily_counts.run_available(spark, src, closed)
+        for i, t in rows:
+            at = None if t is None else pd.Timestamp(t)
+            want[i] = (n, upto is not None and at is not None and at <= upto.floor("ms") - pd.Timedelta(days=1))
+        upto = max([pd.Timestamp(t) for _, t in rows if t] + ([upto] if upto is not None else []))
+    got = daily_counts.read_split(spark, out)
+    assert {r.event_id: (r.batch, r.late) for r in got.collect()} == want
+    assert [i for i, (_, late) in want.items() if late] == [4, 8, 9]
+    kept = got.where("not late").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("events"))
+    engine = {r.day.date(): r.events for r in daily_counts.read_closed(spark, closed).collect()}
+    assert engine == {r.day: r.events for r in kept.collect() if r.day in engine} and len(engine) >= 4
+
+
+def test_a_retried_batch_writes_the_same(spark, tmp_path):
+    out = str(tmp_path / "out")
+    for batch, ts in ((-1, None), (0, "2024-01-05 00:00:00"), (1, "2024-01-09 00:00:00")):
+        spark.createDataFrame([(ts,)], "upto string").select(F.col("upto").cast("timestamp_ntz")).write.parquet(f"{out}/marks/batch={batch}")
+    assert daily_counts.newest(spark, out, 0) is None
+    assert daily_counts.newest(spark, out, 1).day == 5  # batch 1's own mark, from an earlier try, is not read
+
+
 def months_of(mi):
     return f"{(mi - 1) // 12:04d}-{(mi - 1) % 12 + 1:02d}"
 
