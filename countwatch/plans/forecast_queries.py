@@ -8,7 +8,9 @@ from countwatch.config import STAR
 from countwatch.functions import months
 from countwatch.operators import ets, ets_refine, forecast, gates, marts, measures, recall, review, scoring
 from countwatch.plans.star_plan import StarPlan
+from countwatch.session import shared_folder, stage
 from countwatch.sources import star
+from countwatch.sources.stage_store import DEVELOPMENT, LOCKED, Refused, StageStore
 
 
 def baselines(spark, sf_dir):
@@ -205,6 +207,46 @@ def forecast_gates(spark, sf_dir, code=star.CODE):
     return gates.forecast_gate(p.forecast, gated, STAR).unionByName(gates.queue_gate(p.queue, p.evaluated))
 
 
+def _store(spark, sf_dir):
+    p = StarPlan(spark, sf_dir)
+    rows = stage(forecast.published(p.forecast), "published")
+    return p, rows, StageStore(spark, shared_folder(spark, "stages"), p.harness.locked_min_origin)
+
+
+def locked_versions(spark, sf_dir):
+    """M8: the locked result as committed, as a later version republishes it, and with one figure of one code changed."""
+    p, rows, store = _store(spark, sf_dir)
+    store.develop("r1", rows)
+    store.decide(p.promotion)
+    store.lock("r1", rows)
+    store.republish("r2", "r1")
+    first = (F.col("product_code") == "ECONOMY") & (F.col("model") == "baseline_a") & (F.col("horizon") == 1) & (F.col("target") == p.harness.locked[0])
+    store.republish("r3", "r2", {"point": F.when(first, F.col("point") + 0.001).otherwise(F.col("point"))})
+    changed = store.same_as_committed().select("version", F.lit(True).alias("changed"))
+    return store.locked_versions().join(changed, "version", "left").select("version", "rows", "content_hash", F.coalesce("changed", F.lit(False)).alias("changed"))
+
+
+def stage_order(spark, sf_dir):
+    """Each step in turn, whether the store took it, and the rows of each stage after it."""
+    p, rows, store = _store(spark, sf_dir)
+    fewer = rows.where(F.col("horizon") == 1)
+    steps = [
+        ("development", lambda: store.develop("r1", rows)), ("locked without a decision", lambda: store.lock("r1", rows)),
+        ("decision", lambda: store.decide(p.promotion)), ("second decision", lambda: store.decide(p.promotion)),
+        ("locked", lambda: store.lock("r1", rows)), ("second locked", lambda: store.lock("r1", fewer)), ("development again", lambda: store.develop("r1", fewer)),
+    ]
+    told = []
+    for n, (step, act) in enumerate(steps):
+        try:
+            act()
+            outcome = "taken"
+        except Refused:
+            outcome = "refused"
+        held = {r.stage: r["count"] for r in store.rows().groupBy("stage").count().collect()}  # two stages
+        told.append((n, step, outcome, held.get(DEVELOPMENT, 0), held.get(LOCKED, 0)))
+    return spark.createDataFrame(told, "step long, name string, outcome string, development_rows long, locked_rows long")
+
+
 def by_brand(query):
     """A query over 25 brands: series sparse enough for episodes, promotions and recalls before them to occur."""
     return lambda spark, sf_dir: query(spark, sf_dir, code=star.BRANDS)
@@ -219,7 +261,7 @@ QUERIES = {
         baselines, ranges, ets_filter, ets_fit, ets_refined, ets_refined_check, ets_points, forecast_table, scored, score_cells, promotion,
         review_queue, review_workload, queue_diagnostic, numbers_gate, headline_code, outlook_dots, outlook,
         locked_test, largest_episode, coverage_by_code, lanes, cohort_facts, recall_timeline, recall_meta,
-        recall_count, known_event_recovery, forecast_gates,
+        recall_count, known_event_recovery, forecast_gates, locked_versions, stage_order,
     )
 }
 QUERIES |= {f"brand_{f.__name__}": by_brand(f) for f in BRANDED}

@@ -707,6 +707,23 @@ SELECT strftime(o_orderdate, '%Y-%m') AS month, count({token('p_name', BRAND)})
   round(avg((l_quantity + 3) / 3), 6) AS quantity_mean
 FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey GROUP BY 1"""
 
+_UNITS = ", ".join(f"coalesce(round({c} * 1e6)::BIGINT::VARCHAR, '-')" for c in ("point", "lower50", "upper50", "lower80", "upper80", "calibration_n"))
+TEXTS["locked_versions"] = q(
+    f"{BASE}, {M01}, {FC}, pub AS (SELECT {FC_COLUMNS} FROM fc)",
+    f"""SELECT v.version, count(*) AS "rows", sum(('0x' || md5(concat_ws('|', product_code, model, origin, target, horizon::VARCHAR, issue_date, period, {_UNITS.replace('point *', '(point + CASE WHEN hit THEN 0.001 ELSE 0 END) *')}))[1:15])::BIGINT)::VARCHAR AS content_hash,
+        bool_or(hit) AS changed
+        FROM (SELECT pub.*, version, version = 'r3' AND product_code = 'ECONOMY' AND model = 'baseline_a' AND horizon = 1 AND target = '{STAR.locked[0]}' AS hit
+              FROM pub CROSS JOIN (VALUES ('r1'), ('r2'), ('r3')) x(version) WHERE origin >= '{STAR.locked_min_origin}') v GROUP BY v.version""",
+)
+TEXTS["stage_order"] = q(
+    f"{BASE}, {M01}, {FC}",
+    f"""SELECT step, name, outcome, CASE WHEN step = 6 THEN d1 ELSE d END AS development_rows, CASE WHEN step >= 4 THEN l ELSE 0 END AS locked_rows
+        FROM (SELECT count(*) FILTER (o < {mi_of(STAR.locked_min_origin)}) AS d, count(*) FILTER (o < {mi_of(STAR.locked_min_origin)} AND h = 1) AS d1,
+              count(*) FILTER (o >= {mi_of(STAR.locked_min_origin)}) AS l FROM fc)
+        CROSS JOIN (VALUES (0::BIGINT, 'development', 'taken'), (1, 'locked without a decision', 'refused'), (2, 'decision', 'taken'), (3, 'second decision', 'refused'),
+              (4, 'locked', 'taken'), (5, 'second locked', 'refused'), (6, 'development again', 'taken')) s(step, name, outcome)""",
+)
+
 # The same texts with brands as product codes.
 BRANDED = ("promotion", "review_queue", "queue_diagnostic", "largest_episode", "recall_count", "forecast_gates", "second_path")
 TEXTS |= {f"brand_{name}": TEXTS[name].replace("p_type", "upper(p_brand)") for name in BRANDED}
