@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from countwatch.session import ship
+from countwatch.sources.bodies import reachable, read_bodies
 
 WINDOW_ENTRY = (
     "struct<code:string,start:string,end:string,expected:bigint,api_total:bigint,pages:bigint,"
@@ -69,7 +70,12 @@ def _hashed(batches: Iterator) -> Iterator:
 
 
 def stored_hashes(spark: SparkSession, path: str, pattern: str = "*.json.gz") -> DataFrame:
-    """Hash of every stored body below ``path``; gzip bodies are unpacked file by file in the tasks."""
+    """Hash of every stored body below ``path``, unpacked where it is gzip, each streamed by a task of its own.
+
+    Where only Spark's readers reach the store, a body is one binary row instead.
+    """
+    if reachable(path):
+        return read_bodies(spark, path, pattern).select("path", "sha256")
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
     ).select("path", "content")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from countwatch.session import ship
+from countwatch.sources.bodies import reachable, read_bodies
 
 #: Where ``read_bulk`` found a row: (file, place in its results).
 PLACE = "listed_at"
@@ -85,7 +86,14 @@ def daily_counts(series: DataFrame) -> DataFrame:
 
 
 def read_bulk(spark: SparkSession, path: str, item: str) -> DataFrame:
-    """A3: the ``results`` array of a bulk JSON file, landed as is or as the first JSON member of a zip."""
+    """A3: the ``results`` arrays of a bulk JSON file, landed as is or as the JSON members of a zip.
+
+    Every file and every zip member is streamed by a task of its own (``bodies``); where only Spark's readers reach the
+    store, an unpacked file is read by the JSON reader and a zip as one binary row.
+    """
+    if reachable(path):
+        items = read_bodies(spark, path, "*", "items", "*.json").select(F.concat_ws("!", "path", F.nullif("member", F.lit(""))).alias("file"), F.col("place").cast("int").alias("place"), "item")
+        return _parsed(items, item)
     if not path.endswith(".zip"):
         landed = spark.read.schema(_results(item)).option("multiLine", True).json(path)
         return landed.select(F.col("_metadata.file_path").alias("file"), F.posexplode("results").alias("place", "r")).select("r.*", F.struct("file", "place").alias(PLACE))
@@ -94,15 +102,18 @@ def read_bulk(spark: SparkSession, path: str, item: str) -> DataFrame:
         for pdf in batches:
             for file, content in zip(pdf["path"], pdf["content"]):
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    member = next(n for n in z.namelist() if n.endswith(".json"))
-                    with z.open(member) as body:
-                        rows = enumerate(result_items(io.TextIOWrapper(body, encoding="utf-8")))
-                        while block := list(islice(rows, 1000)):
-                            yield pd.DataFrame({"file": file, "place": [p for p, _ in block], "item": [x for _, x in block]})
+                    for member in (n for n in z.namelist() if n.endswith(".json")):
+                        with z.open(member) as body:
+                            rows = enumerate(result_items(io.TextIOWrapper(body, encoding="utf-8")))
+                            while block := list(islice(rows, 1000)):
+                                yield pd.DataFrame({"file": f"{file}!{member}", "place": [p for p, _ in block], "item": [x for _, x in block]})
 
     ship(spark)
-    items = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(unzip, "file string, place int, item string")
-    # A result is a row of its own before it is parsed, so no value grows with the file.
+    return _parsed(spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(unzip, "file string, place int, item string"), item)
+
+
+def _parsed(items: DataFrame, item: str) -> DataFrame:
+    """A result is a row of its own before it is parsed, so no value grows with the file."""
     parsed = items.select(F.from_json("item", T._parse_datatype_string(item)).alias("r"), F.struct("file", "place").alias(PLACE))
     return parsed.select("r.*", PLACE)
 
