@@ -48,6 +48,12 @@ def lookup_keys(url: Column) -> Column:
     return F.when(host_of(url).isNotNull(), F.concat(hosts, paths))
 
 
+def normal_pattern(pattern: Column) -> Column:
+    """The host part in lower case; a path keeps its case, as the paths of URLs do."""
+    host = F.substring_index(pattern, "/", 1)
+    return F.concat(F.lower(host), F.substr(pattern, F.length(host) + 1))
+
+
 def validity_intervals(entries: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(list_name, pattern, action, valid_from, valid_to): when each added entry was active; null: still is.
 
@@ -57,7 +63,7 @@ def validity_intervals(entries: DataFrame, bucket: int = BUCKET) -> DataFrame:
     looked up inside a time bucket, and beyond it through the first change of each later bucket, so a pattern
     with very many changes is not one group.
     """
-    rows = entries.where("list_name is not null and pattern is not null and at is not null").select("list_name", F.lower("pattern").alias("pattern"), "action", "change", "at").distinct()
+    rows = entries.where("list_name is not null and pattern is not null and at is not null").select("list_name", normal_pattern(F.col("pattern")).alias("pattern"), "action", "change", "at").distinct()
     rows = rows.withColumn("bucket", F.floor(F.col("at") / bucket))
     key = ["list_name", "pattern"]
     inside = Window.partitionBy(*key, "bucket").orderBy("at", F.when(F.col("change") == "remove", 1).otherwise(0), "action")

@@ -23,7 +23,11 @@ def test_lookup_keys(spark):
 
 def plain(captures, entries):
     out = []
-    rows = sorted({(e[0], e[1].lower(), e[4], e[3] == "remove", e[2]) for e in entries if None not in (e[0], e[1], e[4])})
+    def listed(pattern):
+        host, slash, path = pattern.partition("/")
+        return host.lower() + slash + path
+
+    rows = sorted({(e[0], listed(e[1]), e[4], e[3] == "remove", e[2]) for e in entries if None not in (e[0], e[1], e[4])})
     for page, url, t, keys in captures:
         best = None
         for (name, pattern) in {(r[0], r[1]) for r in rows}:
@@ -42,7 +46,7 @@ def test_as_of_join_equals_a_scan_of_the_history(spark):
     hosts = ["a.x.com", "b.x.com", "x.com", "y.org"]
     captures, raw = [], []
     for i in range(300):
-        h, seg = rnd.choice(hosts), rnd.choice(["", "p", "p/q"])
+        h, seg = rnd.choice(hosts), rnd.choice(["", "p", "p/q", "P"])
         t = rnd.choice([None] + list(range(0, 1000, 7)))
         labels = h.split(".")
         keys = {".".join(labels[j:]): len(labels) - j for j in range(len(labels) - 1)} | {f"{h}/{'/'.join(seg.split('/')[: j + 1])}": 1001 + j for j in range(len(seg.split("/")) if seg else 0)}
@@ -50,7 +54,7 @@ def test_as_of_join_equals_a_scan_of_the_history(spark):
         captures.append((i % 280, f"http://{h}/{seg}", t, keys))
     raw += [(900, None, 5), (901, "bad", 5), (902, "http://x.com/", None)]
     captures += [(900, None, 5, {}), (901, "bad", 5, {}), (902, "http://x.com/", None, {"x.com": 2})]
-    entries = [(rnd.choice(["l1", "l2"]), rnd.choice(["a.X.com", "x.com", "y.org", "b.x.com/p", "a.x.com/p/q"]), rnd.choice(["block", "allow"]), rnd.choice(["add", "add", "remove"]), rnd.randrange(0, 1000)) for _ in range(60)]
+    entries = [(rnd.choice(["l1", "l2"]), rnd.choice(["a.X.com", "x.com", "y.org", "b.x.com/p", "a.x.com/p/q", "B.x.com/P"]), rnd.choice(["block", "allow"]), rnd.choice(["add", "add", "remove"]), rnd.randrange(0, 1000)) for _ in range(60)]
     entries += entries[:5] + [(None, "x.com", "block", "add", 0), ("l1", None, "block", "add", 0), ("l1", "x.com", "block", "add", None)]
     cap = spark.createDataFrame(raw, "page_id long, url string, fetched_s long")
     ent = spark.createDataFrame(entries, "list_name string, pattern string, action string, change string, at long")
@@ -66,3 +70,9 @@ def test_intervals_never_overlap(spark):
     out = uf.validity_intervals(spark.createDataFrame(rows, "list_name string, pattern string, action string, change string, at long"), 35).orderBy("valid_from").collect()
     assert all(a.valid_to <= b.valid_from for a, b in zip(out, out[1:], strict=False))
     assert [r.valid_from for r in out] == [t for t in range(0, 400, 10) if t % 30]
+
+
+def test_paths_keep_their_case(spark):
+    cap = spark.createDataFrame([(i, u, 5) for i, u in enumerate(("http://A.com/Docs/x", "http://a.com/docs/x", "http://a.com/Docs"))], "page_id long, url string, fetched_s long")
+    ent = spark.createDataFrame([("l", "a.COM/Docs", "block", "add", 0)], "list_name string, pattern string, action string, change string, at long")
+    assert {r.page_id: r.verdict for r in uf.evaluate(cap, ent).collect()} == {0: "block", 1: "pass", 2: "block"}
