@@ -4,8 +4,8 @@ Base findings are strong enough alone: an assignment to a secret's name, an acce
 hexadecimal run. Weak candidates are parts of a credential that mean little alone: an identifier
 (user, client or key id), a secret under a vague name, an endpoint. They are reported only where the
 parts that complete them lie in the same scope: an identifier beside a secret, a secret beside an
-identifier, an endpoint beside both. A scope is a paragraph (between blank lines), and within it a
-part reaches ``reach`` code points to either side.
+identifier, an endpoint beside both. A scope is a paragraph (between blank lines), however long; distance
+inside it does not part a credential.
 
 Parts never link across documents, so the interval join runs where a document is read: each role's
 intervals are sorted by start with the running maximum of their ends, and one binary search tells
@@ -27,8 +27,6 @@ from pyspark.sql import functions as F
 
 from countwatch.llm.common import arrow_map, table, texts
 
-REACH = 400
-
 # The base patterns and the least number of characters they need.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -90,7 +88,7 @@ class Role:
         return (last >= 0) & (self.furthest[np.maximum(last, 0)] > low) if len(self.starts) else np.zeros(len(low), dtype=bool)
 
 
-def weak_spans(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
+def weak_spans(text: str, base: list[Span]) -> list[Span]:
     """Weak parts that complementary parts of the same scope complete; none overlaps a base span."""
     strong_ids = [s for s in base if s[0] == 1]
     low = text.lower()
@@ -119,7 +117,7 @@ def weak_spans(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
     def range_of(spans: list[Span]) -> tuple[np.ndarray, np.ndarray]:
         start, end = np.array([s[1] for s in spans]), np.array([s[2] for s in spans])
         at = np.searchsorted(cuts, start, "right")
-        return np.maximum(start - reach, cuts[at - 1]), np.minimum(end + reach, np.maximum(cuts[np.minimum(at, len(cuts) - 1)], end))
+        return cuts[at - 1], np.maximum(cuts[np.minimum(at, len(cuts) - 1)], end)
 
     out: list[Span] = []
     for spans, roles in ((identifiers, (keys,)), (secrets, (ids,)), (endpoints, (ids, keys))):
@@ -130,7 +128,7 @@ def weak_spans(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
     return out
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, spans): one row per document, spans sorted by start, then kind.
 
     Each span is (kind, start, end, matched) with code points, end exclusive, and its text. Null texts
@@ -144,7 +142,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach:
                 base = base_spans(text)
                 rows.append([
                     {"kind": KINDS[k], "start": a, "end": b, "matched": text[a:b]}
-                    for k, a, b in sorted(base + weak_spans(text, base, reach), key=lambda s: (s[1], s[0]))
+                    for k, a, b in sorted(base + weak_spans(text, base), key=lambda s: (s[1], s[0]))
                 ])
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("matched", pa.string())]))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(rows, kind)], ["doc_id", "spans"])
