@@ -39,9 +39,13 @@ def problems(calls: DataFrame, schemas: DataFrame) -> DataFrame:
 
     ``schemas`` has name, param, kind (string, integer, number, boolean) and required. A call of an unknown tool,
     a missing or unknown parameter, and a value whose JSON type is not that of its kind are problems (null is of no
-    kind); so are arguments that are no JSON object. For a number the spelling counts, quoted or not.
+    kind); so are arguments that are no JSON object. Of several schema rows for one parameter the required one counts, then
+    the first kind by name; a row without a parameter tells only that the tool exists.
     """
-    tools = schemas.groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("param", F.struct("kind", "required")))).alias("params"))
+    rule = F.min(F.struct((~F.coalesce("required", F.lit(False))).alias("free"), "kind"))
+    each = schemas.groupBy("name", "param").agg(rule.alias("r")).select("name", "param", F.struct(F.col("r.kind").alias("kind"), (~F.col("r.free")).alias("required")).alias("rule"))
+    entries = F.filter(F.collect_list(F.struct("param", "rule")), lambda e: e["param"].isNotNull())
+    tools = each.groupBy("name").agg(F.map_from_entries(entries).alias("params"))
     typed = F.try_variant_get(F.try_parse_json("arguments"), "$", "map<string,variant>")
     spelled = F.from_json("arguments", "map<string,string>")
     rows = calls.join(tools, "name", "left").withColumns({"typed": typed, "spelled": spelled})
@@ -54,7 +58,7 @@ def problems(calls: DataFrame, schemas: DataFrame) -> DataFrame:
         is_number, text = value["type"].rlike("^(BIGINT|DOUBLE|DECIMAL.*)$"), value["text"]
         return (
             F.when(kind == "integer", is_number & text.rlike("^-?[0-9]+$"))
-            .when(kind == "number", (is_number | (value["type"] == "STRING")) & text.rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$"))
+            .when(kind == "number", is_number & text.rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$"))
             .when(kind == "boolean", value["type"] == "BOOLEAN").when(kind == "string", value["type"] == "STRING")
         )
 
@@ -67,6 +71,43 @@ def problems(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     return rows.select(*KEY, "turn", F.array_sort(F.coalesce(no_tool, F.concat(missing, unknown, wrong))).alias("problems"))
 
 
+def aligned_blocks(low: Column, high: Column) -> Column:
+    """The span from ``low`` to ``high`` as aligned blocks of 2**level turns: an array of (level, block), two a level at most.
+
+    From the smallest blocks up, an odd left end and an even right end are blocks of their own; what is between halves.
+    """
+    block, none = "array<struct<level:int,block:bigint>>", F.array()
+    start = F.struct(none.cast(block).alias("out"), low.cast("long").alias("l"), high.cast("long").alias("h"), F.lit(False).alias("done"))
+
+    def one(level: Column, at: Column) -> Column:
+        return F.array(F.struct(level.alias("level"), at.alias("block")))
+
+    def step(s: Column, level: Column) -> Column:
+        nothing = none.cast(block)
+        alone = s["l"] == s["h"]
+        odd, even = (s["l"] % 2 != 0), (s["h"] % 2 == 0)
+        out = F.when(alone, one(level, s["l"])).otherwise(F.concat(F.when(odd, one(level, s["l"])).otherwise(nothing), F.when(even, one(level, s["h"])).otherwise(nothing)))
+        l = F.when(~alone & odd, s["l"] + 1).otherwise(s["l"])
+        h = F.when(~alone & even, s["h"] - 1).otherwise(s["h"])
+        done = alone | (l > h)
+        after = F.struct(F.concat(s["out"], out).alias("out"), F.shiftright(l, 1).alias("l"), F.shiftright(h, 1).alias("h"), done.alias("done"))
+        return F.when(s["done"], s).otherwise(after)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(63)), start, step, lambda s: s["out"])
+
+
+def spanned(turns: DataFrame, spans: DataFrame) -> DataFrame:
+    """The rows (conv_id, turn) that lie in a span (conv_id, low, high).
+
+    A span is some aligned blocks, two a level at most, and a turn lies in one block of each level, so they meet by equality
+    and nothing is made per turn of a span, however far it reaches.
+    """
+    blocks = stage(spans.select("conv_id", F.explode(aligned_blocks(F.col("low"), F.col("high"))).alias("b")).select("conv_id", "b.level", "b.block").distinct(), "blocks")
+    top = blocks.agg(F.max("level")).first()[0] or 0
+    above = turns.select("conv_id", "turn", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(top)), lambda k: F.call_function("shiftright", F.col("turn"), k))).alias("level", "block"))
+    return above.join(blocks, ["conv_id", "level", "block"], "left_semi").select("conv_id", "turn").distinct()
+
+
 def ordered(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, at, depth, cyclic): where each call stands; (at, depth) is above those of all it needs.
 
@@ -82,8 +123,8 @@ def ordered(calls: DataFrame) -> DataFrame:
         return start.select(*KEY, "at", "depth", F.lit(False).alias("cyclic"))
     # Turns that a late need spans, by conversation; only calls inside can lie on a cycle.
     spans = late.groupBy("conv_id", F.col("turn").alias("low")).agg(F.max("need_turn").alias("high"))
-    inside = F.explode(F.sequence(F.col("low"), F.col("high")))
-    tangled = spans.select("conv_id", inside.alias("turn")).distinct()
+    ends = edges.select("conv_id", "turn").union(edges.select("conv_id", "need_turn")).distinct()
+    tangled = stage(spanned(ends, spans), "spanned")
     left = stage(edges.join(tangled, ["conv_id", "turn"], "left_semi").join(tangled.withColumnRenamed("turn", "need_turn"), ["conv_id", "need_turn"], "left_semi").select("conv_id", "call_id", "need"), "tangled")
     n = left.count()
     while n:

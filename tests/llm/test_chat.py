@@ -1,5 +1,7 @@
 import json
 
+from pyspark.sql import functions as F
+
 from countwatch.llm import chat
 
 SCHEMAS = "name string, param string, kind string, required boolean"
@@ -39,7 +41,7 @@ def test_cycles_are_told_and_stay(spark):
 def test_arguments_are_checked(spark):
     bad = [
         ("search", '{"query":"x","limit":3}', []), ("search", '{"limit":"many"}', ["kind:limit", "missing:query"]), ("search", '{"query":"x","more":1}', ["unknown:more"]),
-        ("measure", '{"words":2,"ratio":-1.5e3}', []), ("measure", '{"words":2.5,"ratio":"1"}', ["kind:words"]), ("flag", '{"urgent":"yes"}', ["kind:urgent"]),
+        ("measure", '{"words":2,"ratio":-1.5e3}', []), ("measure", '{"words":2.5,"ratio":"1"}', ["kind:ratio", "kind:words"]), ("flag", '{"urgent":"yes"}', ["kind:urgent"]),
         ("nothing", "{}", ["tool"]), ("flag", "not json", ["json"]), ("flag", None, ["json"]), (None, "{}", ["tool"]),
     ]
     rows = linked(spark, [(1, f"c{i}", i, n, a, None) for i, (n, a, _) in enumerate(bad)], [(1, f"c{i}", i + 1, "r") for i in range(len(bad))])
@@ -117,3 +119,42 @@ def test_order_of_the_query_is_topological(spark, sf_small):
             own = rows[c.conv_id, c.call_id]
             if other is not None and "cyclic" not in (own.status, other.status):
                 assert (other.at, other.depth) < (own.at, own.depth)
+
+
+def test_schema_rows_repeat_and_hold_nulls(spark):
+    """Repeats are one; required counts, then the first kind; a row without a parameter tells that the tool exists."""
+    rows = [("t", "a", "string", False), ("t", "a", "string", False), ("t", "a", "integer", True), ("t", "b", "number", None), ("t", None, "string", True), ("bare", None, None, None), (None, "x", "string", True)]
+    schemas = spark.createDataFrame(rows, "name string, param string, kind string, required boolean")
+    calls = [("t", '{"a":1}', []), ("t", '{"a":"x"}', ["kind:a"]), ("t", '{"b":1}', ["missing:a"]), ("bare", "{}", []), ("bare", '{"x":1}', ["unknown:x"]), (None, "{}", ["tool"])]
+    df = spark.createDataFrame([(1, f"c{i}", i, n, a) for i, (n, a, _) in enumerate(calls)], "conv_id long, call_id string, turn long, name string, arguments string")
+    got = {r.call_id: r.problems for r in chat.problems(df, schemas).collect()}
+    assert got == {f"c{i}": want for i, (_, _, want) in enumerate(calls)}
+
+
+def test_far_turns_make_no_row_each(spark):
+    far, top = 3_000_000_000, (1 << 63) - 1
+    calls = [(1, "a", 1, ["b"]), (1, "b", far, ["a"]), (1, "c", 7, ["b"]), (2, "x", -far, ["y"]), (2, "y", far, None), (3, "m", top, ["n"]), (3, "n", top, ["m"])]
+    df = spark.createDataFrame(calls, "conv_id long, call_id string, turn long, needs array<string>")
+    got = {(r.conv_id, r.call_id): (r["at"], r.depth, r.cyclic) for r in chat.ordered(df).collect()}
+    assert got == {
+        (1, "a"): (1, 0, True), (1, "b"): (far, 0, True), (1, "c"): (far, 1, False), (2, "x"): (far, 1, False), (2, "y"): (far, 0, False),
+        (3, "m"): (top, 0, True), (3, "n"): (top, 0, True),
+    }
+
+
+def test_spanned_turns_equal_all_comparisons(spark):
+    import random
+
+    rnd = random.Random(4)
+    spans = [(c, low, low + rnd.choice([0, 0, 1, 3, 17, 1000])) for c in range(3) for low in (rnd.randrange(-300, 300) for _ in range(12))]
+    turns = [(c, t) for c in range(4) for t in range(-320, 700, 3)]
+    got = chat.spanned(spark.createDataFrame(turns, "conv_id long, turn long"), spark.createDataFrame(spans, "conv_id long, low long, high long"))
+    want = {(c, t) for c, t in turns if any(s == c and low <= t <= high for s, low, high in spans)}
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 100
+
+
+def test_a_long_conversation_of_far_needs(spark):
+    n = 20_000
+    df = spark.range(n).selectExpr("1L as conv_id", "cast(id as string) as call_id", "id as turn", f"array('{n - 1}') as needs")
+    rows = chat.ordered(df)
+    assert rows.where(F.col("call_id") != str(n - 1)).where(F.col("at") == n - 1).where("depth = 1 and not cyclic").count() == n - 1
