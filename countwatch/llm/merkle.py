@@ -143,6 +143,7 @@ def manifest(docs: DataFrame, altered: Column | None = None, fields: tuple[str,
         F.col(key).alias("id"), F.col(group).alias("g"), digest(*[F.col(c) for c in fields]).alias("digest"),
         F.when(tampered, changed).alias("altered"),
     )
+    leaves = stage(leaves, "merkle-digests")
     placed = places(in_order(leaves, [F.col("g").asc_nulls_first(), F.col("id").asc_nulls_first(), F.col("digest")], "merkle-leaves"), ["g"])
     tree = Tree(placed, ["g"], ["id", "altered"], _largest(leaves), "merkle")
     groups = in_order(tree.roots(), [F.col("g").asc_nulls_first()], "merkle-groups")
