@@ -234,10 +234,60 @@ def run_status(checks: DataFrame, stopped: str | None = None, error: str | None
     )
 
 
+def run_rollup(runs: DataFrame) -> DataFrame:
+    """One row over the run history: how many runs of each outcome, and the newest run that was fine, was not, or failed a check.
+
+    A run is known by its vintage, whose order is the order of runs. A skipped run is not fine and has not failed; one that was stopped
+    failed the check that stopped it.
+    """
+    status = F.substring_index("status", ":", 1)
+    newest = lambda what, where: F.max_by(what, F.when(where, F.col("vintage")))
+    failed = (status == "failed") | (F.coalesce("failed_checks", F.lit("")) != "") | F.col("error").isNotNull()
+    return runs.agg(
+        F.count(F.lit(1)).alias("runs_recorded"),
+        *[F.count_if(status == s).alias(f"runs_{s}") for s in ("ok", "skipped", "stopped", "failed")],
+        F.min("vintage").alias("first_run"),
+        F.max("vintage").alias("newest_run"),
+        F.max_by("status", "vintage").alias("newest_status"),
+        newest("vintage", status == "ok").alias("last_ok_run"),
+        newest("vintage", status != "ok").alias("last_not_ok_run"),
+        newest("status", status != "ok").alias("last_not_ok_status"),
+        newest("vintage", failed).alias("last_failed_run"),
+        newest("failed_checks", failed).alias("last_failed_checks"),
+        newest("last_updated", F.col("advanced")).alias("source_last_updated_seen"),
+    )
+
+
+def newest_reread(reread: DataFrame) -> DataFrame:
+    """The totals of the newest vintage that re-read the frozen months; no row before the first."""
+    return variance_summary(reread, ("vintage",)).orderBy(F.desc("vintage")).limit(1).withColumnRenamed("vintage", "reread_vintage")
+
+
+def listed_totals(disposed: DataFrame) -> DataFrame:
+    """The hand-written revisions in sum."""
+    return disposed.agg(
+        F.count(F.lit(1)).alias("revisions_listed"),
+        F.coalesce(F.sum(F.col("frozen") - F.col("live_at_disposition")), F.lit(0)).alias("revisions_reports_removed"),
+        F.count_distinct("decision").alias("revisions_decisions"),
+    )
+
+
+def newest_outlook(live_forecast: DataFrame, in_use: DataFrame) -> DataFrame:
+    """Next month as the model in use sees it from each code's newest live origin."""
+    used = in_use.select("product_code", F.col("model_in_use").alias("model"))
+    rows = live_forecast.filter((F.col("horizon") == 1) & F.col("point").isNotNull()).join(used, ["product_code", "model"])
+    newest = Window.partitionBy("product_code")
+    return rows.withColumn("newest", F.max("origin_mi").over(newest)).filter("origin_mi = newest").drop("newest")
+
+
 def health(
-    latest: DataFrame, live_series: DataFrame, live_forecast: DataFrame, scores: DataFrame, in_use: DataFrame
-) -> DataFrame:
-    """One row of live-edge totals."""
+    latest: DataFrame, live_series: DataFrame, live_forecast: DataFrame, scores: DataFrame, in_use: DataFrame, runs: DataFrame,
+    reread: DataFrame, disposed: DataFrame,
+) -> DataFrame:
+    """One row of live-edge totals: readings, scores, run history, newest re-read, listed revisions, newest outlook.
+
+    Every part is an aggregate of one row (the re-read none before its first run), so the row is there from the first day on.
+    """
     one = F.lit(1)
     used = in_use.select("product_code", F.col("model_in_use").alias("model"))
     mine = scores.filter(F.col("horizon") == 1).join(used, ["product_code", "model"])
@@ -253,8 +303,14 @@ def health(
             F.round(F.avg("abs_error"), 3).alias("in_use_h1_mae"),
             F.round(F.avg(F.col("covered80").cast("double")), 4).alias("in_use_h1_coverage80"),
         ),
+        run_rollup(runs),
+        listed_totals(disposed),
+        newest_outlook(live_forecast, in_use).agg(
+            F.count(one).alias("outlook_codes"), months.label(F.max("target_mi")).alias("outlook_target"), F.round(F.sum("point"), 3).alias("outlook_reports")
+        ),
+        newest_reread(reread),
     ]
     joined = parts[0].withColumn("one", one)
     for p in parts[1:]:
-        joined = joined.join(p.withColumn("one", one), "one")
+        joined = joined.join(p.withColumn("one", one), "one", "left")
     return joined.drop("one")

@@ -127,18 +127,43 @@ TEXTS: dict[str, str] = {
             lo50 AS lower50, hi50 AS upper50, lo80 AS lower80, hi80 AS upper80, cn::BIGINT AS calibration_n FROM lf""",
     ),
     "live_health": q(
-        f"{BASE}, {COUNTS}, {LIVE}, iu AS (SELECT abs(act - pt) AS ae, act BETWEEN lo80 AND hi80 AS c80 FROM sx JOIN f_pro ON f_pro.code = sx.code AND used = model WHERE h = 1)",
+        f"""{BASE}, {COUNTS}, {LIVE}, iu AS (SELECT abs(act - pt) AS ae, act BETWEEN lo80 AND hi80 AS c80 FROM sx JOIN f_pro ON f_pro.code = sx.code AND used = model WHERE h = 1),
+        rr AS ({REREAD.replace(' AND v0 > 0', '')}),
+        bad AS (SELECT v, count(*) FILTER (f - l > 0.01 * f AND NOT ({KNOWN})) > 0 AS b FROM rr GROUP BY v),
+        rh AS (
+          SELECT v, CASE WHEN b THEN 'failed' ELSE 'ok' END AS status, CASE WHEN b THEN 'no unlisted fall of a frozen month' ELSE '' END AS fc, lu FROM bad JOIN (SELECT DISTINCT v, lu FROM ls) x USING (v)
+          UNION ALL SELECT 'v1a', 'skipped: nothing newer than {VINTAGES[1][1]}', '', NULL UNION ALL SELECT 'v1b', 'stopped', 'every code answered', NULL),
+        listed AS (
+          SELECT v0 + CASE WHEN code = 'STANDARD' THEN 1 ELSE 0 END AS f, v2 AS l FROM vc WHERE code IN ('PROMO', 'STANDARD') AND mi = {mi_of('1999-03')}),
+        lo AS (SELECT lf.code, tgt, pt FROM lf JOIN f_pro ON f_pro.code = lf.code AND used = model WHERE h = 1 AND o = {LAST + 3} AND pt IS NOT NULL)""",
         f"""SELECT (SELECT count(*) FROM ls) AS readings_recorded, (SELECT count(DISTINCT v) FROM ls) AS vintages,
             (SELECT count(DISTINCT mi) FROM ls) AS months_seen, (SELECT {lab('max(mi)')} FROM ls) AS newest_month_seen,
             (SELECT count(*) FROM lf) AS forecasts_issued, (SELECT {lab('max(o)')} FROM lf) AS latest_origin,
             (SELECT count(*) FROM sx) AS forecasts_scored, (SELECT count(*) FROM iu) AS in_use_h1_scored,
-            (SELECT round(avg(ae), 3) FROM iu) AS in_use_h1_mae, (SELECT round(avg(c80::INT), 4) FROM iu) AS in_use_h1_coverage80""",
+            (SELECT round(avg(ae), 3) FROM iu) AS in_use_h1_mae, (SELECT round(avg(c80::INT), 4) FROM iu) AS in_use_h1_coverage80,
+            r.*, (SELECT count(*) FROM listed WHERE l < f) AS revisions_listed, (SELECT coalesce(sum(f - l), 0)::BIGINT FROM listed WHERE l < f) AS revisions_reports_removed,
+            (SELECT count(*) FROM listed WHERE l < f) AS revisions_decisions,
+            (SELECT count(*) FROM lo) AS outlook_codes, (SELECT {lab('max(tgt)')} FROM lo) AS outlook_target, (SELECT round(sum(pt), 3) FROM lo) AS outlook_reports, t.*
+            FROM (SELECT count(*) AS runs_recorded, count(*) FILTER (status = 'ok') AS runs_ok, count(*) FILTER (status LIKE 'skipped%') AS runs_skipped,
+                    count(*) FILTER (status = 'stopped') AS runs_stopped, count(*) FILTER (status = 'failed') AS runs_failed, min(v) AS first_run, max(v) AS newest_run,
+                    arg_max(status, v) AS newest_status, max(v) FILTER (status = 'ok') AS last_ok_run, max(v) FILTER (status <> 'ok') AS last_not_ok_run,
+                    arg_max(status, v) FILTER (status <> 'ok') AS last_not_ok_status, max(v) FILTER (fc <> '') AS last_failed_run,
+                    arg_max(fc, v) FILTER (fc <> '') AS last_failed_checks, arg_max(lu, v) FILTER (lu IS NOT NULL) AS source_last_updated_seen FROM rh) r
+            CROSS JOIN (SELECT 'v3' AS reread_vintage, count(*) AS months_compared, count(*) FILTER (l > f) AS months_reading_higher, coalesce(sum(l - f) FILTER (l > f), 0)::BIGINT AS reports_added,
+                    count(*) FILTER (l < f) AS months_reading_lower, count(*) FILTER (f - l > 0.01 * f AND ({KNOWN})) AS known_revisions,
+                    count(*) FILTER (f - l > 0.01 * f AND NOT ({KNOWN})) AS material_downward FROM rr WHERE v = 'v3') t""",
+    ),
+    "live_outlook": q(
+        f"{BASE}, {COUNTS}, {LIVE}",
+        f"""SELECT lf.code AS product_code, model, {lab('o')} AS origin, {lab('tgt')} AS target, pt AS point, lo80 AS lower80, hi80 AS upper80,
+            cn::BIGINT AS calibration_n, v AS issued_vintage FROM lf JOIN f_pro ON f_pro.code = lf.code AND used = model
+            WHERE h = 1 AND o = {LAST + 3} AND pt IS NOT NULL""",
     ),
     "run_history": q(
         f"""{BASE}, {COUNTS}, {LIVE}, rr AS ({REREAD}),
         mt AS (SELECT v, count(*) FILTER (f - l > 0.01 * f AND NOT ({KNOWN})) AS bad FROM rr GROUP BY v)""",
         """SELECT mt.v AS vintage, lu AS last_updated, CASE WHEN bad > 0 THEN 'failed' ELSE 'ok' END AS status, bad = 0 AS passed,
-           8::BIGINT AS checks_total, CASE WHEN bad > 0 THEN 'frozen months rewritten downward' ELSE '' END AS failed_checks,
+           8::BIGINT AS checks_total, CASE WHEN bad > 0 THEN 'no unlisted fall of a frozen month' ELSE '' END AS failed_checks,
            (SELECT count(*) FROM ls WHERE ls.v = mt.v) AS months_appended, (SELECT count(*) FROM sx WHERE sv = mt.v) AS forecasts_scored,
            (SELECT count(*) FROM lf WHERE lf.v = mt.v) AS forecasts_issued
            FROM mt JOIN (SELECT DISTINCT v, lu FROM ls) x USING (v)""",

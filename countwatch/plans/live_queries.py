@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from countwatch.config import STAR_FROZEN, mi_of, month_of
 from countwatch.functions import months
-from countwatch.operators import live, measures, scoring
+from countwatch.operators import forecast, live, measures, scoring
 from countwatch.session import shared_folder, stage
 from countwatch.sources import star
 from countwatch.streaming import daily_counts
@@ -52,14 +52,22 @@ def _dispositions(spark: SparkSession, counts: DataFrame) -> DataFrame:
     return live.dispositions(spark, entries, set(codes), "1995-01", "2001-04")
 
 
-def live_edge(spark: SparkSession, sf_dir: str) -> LiveEdge:
-    """Land the three vintages one after another and let the stream ingest each."""
+#: What lands, in order: name, the vintage whose counts it returns, its last_updated, a code it leaves out.
+PLAIN = tuple((v, v, lu, None) for v, lu in star.STAR_VINTAGES[1:])
+#: With a poll of an unchanged source and one that does not answer for a code.
+EVENTFUL = (PLAIN[0], ("v1a", "v1", PLAIN[0][2], None), ("v1b", "v2", PLAIN[1][2], "STANDARD"), *PLAIN[1:])
+
+
+def live_edge(spark: SparkSession, sf_dir: str, landings=PLAIN) -> LiveEdge:
+    """Land the vintages one after another and let the stream ingest each."""
     counts = _counts(spark, sf_dir)
     root = shared_folder(spark, "live-edge")
     edge = LiveEdge(spark, root, STAR_FROZEN, star.STAR_VINTAGES[0][1], _dispositions(spark, counts))
     freeze_from_counts(edge, _frozen(counts))
-    for vintage, last_updated in star.STAR_VINTAGES[1:]:
-        _readings(counts, vintage, last_updated).write.mode("append").json(f"{root}_landing")
+    for name, column, last_updated, left_out in landings:
+        rows = _readings(counts, column, last_updated).withColumn("vintage", F.lit(name))
+        rows = rows.where(F.col("product_code") != left_out) if left_out else rows
+        rows.write.mode("append").json(f"{root}_landing")
         edge.run_available(f"{root}_landing")
     return edge
 
@@ -130,16 +138,29 @@ def live_reissue(spark, sf_dir):
     )
 
 
-def live_health(spark, sf_dir):
-    """D19/L10 with the frozen development decision as the model in use."""
-    edge = live_edge(spark, sf_dir)
-    h = STAR_FROZEN
-    from countwatch.operators import forecast
+def _in_use(edge: LiveEdge) -> DataFrame:
+    """The model in use as the frozen development decision has it."""
+    h = edge.harness
+    frozen = edge.part("frozen_month", FROZEN).select("product_code", "mi", "y")
+    return stage(scoring.promotion(scoring.cells(scoring.scored(forecast.forecast(frozen, h), h)), h), "in-use")
+
 
-    scored = scoring.scored(forecast.forecast(edge.part("frozen_month", FROZEN).select("product_code", "mi", "y"), h), h)
-    in_use = scoring.promotion(scoring.cells(scored), h)
+def live_health(spark, sf_dir):
+    """D19/L10 over a history in which runs were fine, skipped, stopped and failed."""
+    edge = live_edge(spark, sf_dir, EVENTFUL)
     newest = star.STAR_VINTAGES[-1][0]
-    return live.health(edge.latest(newest), edge.table("series"), edge.table("forecast"), edge.table("score"), in_use)
+    return live.health(
+        edge.latest(newest), edge.table("series"), edge.table("forecast"), edge.table("score"), _in_use(edge), edge.table("run"), edge.table("reread"), edge.dispositions
+    )
+
+
+def live_outlook(spark, sf_dir):
+    """The newest outlook of the model in use, a row per code."""
+    edge = live_edge(spark, sf_dir)
+    return live.newest_outlook(edge.table("forecast"), _in_use(edge)).select(
+        "product_code", "model", months.label("origin_mi").alias("origin"), months.label("target_mi").alias("target"), "point",
+        "lower80", "upper80", F.col("calibration_n").cast("long").alias("calibration_n"), F.col("vintage").alias("issued_vintage"),
+    )
 
 
 def run_history(spark, sf_dir):
@@ -191,7 +212,7 @@ def stream_late_rows(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        live_series, frozen_variance, revised_months, vintage_manifest, live_scores, live_reissue, live_health, run_history,
+        live_series, frozen_variance, revised_months, vintage_manifest, live_scores, live_reissue, live_health, live_outlook, run_history,
         stream_daily_counts, stream_every_reading, stream_late_rows,
     )
 }

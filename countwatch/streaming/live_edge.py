@@ -123,19 +123,19 @@ class LiveEdge:
         appended = scored = issued = 0
         try:
             problems = live.bucket_problems(readings).agg(F.coalesce(F.sum("malformed"), F.lit(0)).alias("n")).first().n
-            checks.append(("response schema", problems == 0))
+            checks.append(("buckets well formed", problems == 0))
             datum = live.datum_checks(readings.select("last_updated").distinct(), self.frozen_last_updated).collect()
             checks += [(r.check, r.passed) for r in datum]
             absent = live.absent_codes(readings, self.codes()).count()
             checks.append(("every code answered", absent == 0))
             if all(ok for _, ok in checks):
                 if last_updated == self.last_seen(vintage):
-                    status = f"skipped: source unchanged since {last_updated}"
+                    status = f"skipped: nothing newer than {last_updated}"
                 else:
                     self.store(readings, vintage)
                     compared, material, appended = self._reread_and_append(vintage, last_updated)
-                    checks.append(("frozen months re-read", compared > 0))
-                    checks.append(("frozen months rewritten downward", material == 0))
+                    checks.append(("frozen months compared", compared > 0))
+                    checks.append(("no unlisted fall of a frozen month", material == 0))
                     scored, issued, unfitted = self._score(vintage), *self._issue(vintage)
                     checks.append(("candidate fits", unfitted == 0))
                     advanced = True

@@ -59,7 +59,7 @@ def test_scenarios_in_order(spark, edge):
     # A malformed bucket fails before anything is stored.
     bad = readings(spark, "a2", "2001-06-02", "2001-05").withColumn("time", F.when(F.col("product_code") == "AAA", "2001-5-1").otherwise(F.col("time")))
     edge.ingest(bad, "a2", "2001-06-02")
-    assert last_run(edge, "a2").failed_checks == "response schema"
+    assert last_run(edge, "a2").failed_checks == "buckets well formed"
     assert edge.table("series").count() == 0
     # A code that does not answer stops the run: its silence is no zero, nothing is stored or scored.
     edge.ingest(readings(spark, "a3", "2001-06-02", "2001-05").filter("product_code = 'AAA'"), "a3", "2001-06-02")
@@ -91,7 +91,7 @@ def test_scenarios_in_order(spark, edge):
     gone = {("BBB", mi_of("2000-01")): None, ("AAA", mi_of("1999-03")): 96}
     edge.ingest(readings(spark, "c1", "2001-07-02", "2001-06", gone), "c1", "2001-07-02")
     run = last_run(edge, "c1")
-    assert run.status == "failed" and run.failed_checks == "frozen months rewritten downward" and run.advanced
+    assert run.status == "failed" and run.failed_checks == "no unlisted fall of a frozen month" and run.advanced
     verdicts = {(r.product_code, months_of(r.mi)): r.verdict for r in edge.part("reread", "c1").filter("verdict <> 'same'").collect()}
     assert verdicts == {("BBB", "2000-01"): "material", ("AAA", "1999-03"): "known"}
     assert run.forecasts_issued == 12 and run.forecasts_scored > 0
@@ -253,3 +253,41 @@ def test_event_stream_reports_late_rows(spark, tmp_path):
     assert second["late_rows"] >= 1
     got = {r.day.day: (r.events, r.total) for r in daily_counts.read_closed(spark, out).collect()}
     assert got[1] == (2, 4.0) and got[2] == (1, 2.0) and 6 not in got
+
+
+RUN = "vintage string, last_updated string, status string, failed_checks string, advanced boolean, error string"
+
+
+@pytest.mark.parametrize(
+    ("rows", "want"),
+    [
+        ([], (0, None, None, None, None)),
+        ([("a", "d1", "ok", "", True, None)], (1, "a", None, None, "d1")),
+        ([("a", "d1", "ok", "", True, None), ("b", "d1", "skipped: nothing newer than d1", "", False, None)], (2, "a", "b", None, "d1")),
+        # A stopped run failed a check; a later skipped one is the last that was not fine.
+        ([("a", "d1", "ok", "", True, None), ("b", "d2", "stopped", "every code answered", False, None), ("c", "d1", "skipped: nothing newer than d1", "", False, None)], (3, "a", "c", "b", "d1")),
+        ([("a", "d1", "failed", "", False, "IOError: gone"), ("b", "d2", "ok", "", True, None), ("c", "d3", "failed", "no unlisted fall of a frozen month", True, None)], (3, "b", "c", "c", "d3")),
+        ([("a", None, "failed", "", False, "IOError: gone"), ("b", "d2", "ok", "", True, None)], (2, "b", "a", "a", "d2")),
+    ],
+)
+def test_run_rollup(spark, rows, want):
+    got = live.run_rollup(spark.createDataFrame(rows, RUN)).first()
+    assert (got.runs_recorded, got.last_ok_run, got.last_not_ok_run, got.last_failed_run, got.source_last_updated_seen) == want
+    assert got.runs_recorded == got.runs_ok + got.runs_skipped + got.runs_stopped + got.runs_failed
+
+
+def test_health_has_a_row_before_the_first_run(spark, tmp_path):
+    from countwatch.streaming.live_edge import TABLES
+
+    empty = {k: spark.createDataFrame([], f"{v}, vintage string") for k, v in TABLES.items()}
+    listed = live.dispositions(spark, [ENTRY], {"AAA"}, "1995-01", "2001-04")
+    in_use = spark.createDataFrame([("AAA", "baseline_a")], "product_code string, model_in_use string")
+    row = live.health(live.latest_reading(empty["series"]), empty["series"], empty["forecast"], empty["score"], in_use, empty["run"], empty["reread"], listed).collect()
+    assert len(row) == 1 and row[0].runs_recorded == 0 and row[0].revisions_listed == 1 and row[0].revisions_reports_removed == 3 and row[0].reread_vintage is None
+
+
+def test_newest_outlook_takes_each_codes_newest_origin(spark):
+    rows = [("AAA", "candidate", 10, 11, 1, 5.0, "v1"), ("AAA", "candidate", 11, 12, 1, 6.0, "v2"), ("AAA", "candidate", 11, 14, 3, 9.0, "v2"), ("AAA", "baseline_a", 11, 12, 1, 7.0, "v2"), ("BBB", "baseline_a", 10, 11, 1, 4.0, "v1")]
+    issued = spark.createDataFrame(rows, "product_code string, model string, origin_mi int, target_mi int, horizon int, point double, vintage string")
+    in_use = spark.createDataFrame([("AAA", "candidate"), ("BBB", "baseline_a")], "product_code string, model_in_use string")
+    assert {(r.product_code, r.point) for r in live.newest_outlook(issued, in_use).collect()} == {("AAA", 6.0), ("BBB", 4.0)}
