@@ -92,6 +92,82 @@ def outlook(fc: DataFrame, promotion: DataFrame, origin_mi: int) -> DataFrame:
     )
 
 
+def _of_model_in_use(fc: DataFrame, promotion: DataFrame) -> DataFrame:
+    used = promotion.select("product_code", F.col("model_in_use").alias("model"))
+    return fc.join(used, ["product_code", "model"])
+
+
+def outlook_history(series: DataFrame, fc: DataFrame, promotion: DataFrame) -> DataFrame:
+    """Every month with its actual and, from the locked year on, the model in use one month ahead.
+
+    Months before the drawn points have none; a month not yet in the source has no actual.
+    """
+    drawn = _of_model_in_use(fc, promotion).filter((F.col("horizon") == 1) & F.col("period").isin("locked", "recent", "outlook"))
+    ahead = drawn.select("product_code", F.col("target_mi").alias("mi"), F.round("point", 6).alias("point"), "lower80", "upper80")
+    months_of = series.select("product_code", "mi", F.col("y").cast("long").alias("actual")).join(ahead, ["product_code", "mi"], "full_outer")
+    return promotion.select("product_code", "model_in_use").join(months_of, "product_code").select(
+        "product_code", "model_in_use", months.label("mi").alias("month"), "actual", "point", "lower80", "upper80"
+    )
+
+
+def outlook_evidence(fc: DataFrame, promotion: DataFrame, horizon: int) -> DataFrame:
+    """The locked targets that back the column drawn at ``horizon``, each with its range and whether the actual fell inside."""
+    rows = _of_model_in_use(fc, promotion).filter(
+        (F.col("period") == "locked") & (F.col("horizon") == horizon) & F.col("lower80").isNotNull() & F.col("actual").isNotNull()
+    )
+    point = F.round("point", 6)
+    return rows.select(
+        "product_code", F.col("model").alias("model_in_use"), months.label("target_mi").alias("target"), months.label("origin_mi").alias("origin"),
+        F.col("actual").cast("long").alias("actual"), point.alias("point"), "lower80", "upper80",
+        F.col("actual").between(F.col("lower80"), F.col("upper80")).alias("inside"), F.round(F.abs(F.col("actual") - point), 6).alias("miss"),
+    )
+
+
+def outlook_lead(fc: DataFrame, promotion: DataFrame, cells: DataFrame, harness: Harness, horizon: int) -> DataFrame:
+    """Per code the outlook at ``horizon`` from the outlook origin, the month elapsed since, and the locked coverage behind it.
+
+    Rows are selected by origin: at the longer horizon earlier origins have outlook rows too.
+    """
+    at_origin = _of_model_in_use(fc, promotion).filter((F.col("period") == "outlook") & (F.col("origin_mi") == harness.end_mi))
+    lead = at_origin.filter(F.col("horizon") == horizon).select(
+        "product_code", F.col("model").alias("model_in_use"), months.label("origin_mi").alias("origin"), months.label("target_mi").alias("target"),
+        F.round("point", 6).alias("point"), "lower50", "upper50", "lower80", "upper80", F.col("calibration_n").cast("long").alias("calibration_n"),
+        F.size("calib").cast("long").alias("errors"),
+    )
+    elapsed = at_origin.filter("horizon = 1").select(
+        "product_code", months.label("target_mi").alias("elapsed_target"), F.round("point", 6).alias("elapsed_point"),
+        F.col("lower80").alias("elapsed_lower80"), F.col("upper80").alias("elapsed_upper80"),
+    )
+    cell = cells.filter((F.col("period") == "locked") & (F.col("horizon") == horizon)).select(
+        "product_code", F.col("model").alias("model_in_use"), "n", "coverage80", F.round(F.col("coverage80") * F.col("n")).cast("long").alias("inside"), "mae"
+    )
+    return lead.join(elapsed, "product_code", "left").join(cell, ["product_code", "model_in_use"], "left")
+
+
+def outlook_gate(lead: DataFrame, evidence: DataFrame, dots: DataFrame, history: DataFrame, series: DataFrame, harness: Harness) -> DataFrame:
+    """What is drawn against what is published, a row per code and check.
+
+    The evidence must have the score cell's number of rows, number inside and mean miss; the dots rest on as many errors as the
+    published range tells and are all drawn; every month of the series is drawn with its actual. A code that one side lacks fails.
+    """
+    number = lambda c: F.col(c).cast("double")
+    shown = evidence.groupBy("product_code").agg(F.count(F.lit(1)).alias("rows"), F.count_if("inside").alias("within"), F.round(F.avg("miss"), 6).alias("mean_miss"))
+    dotted = dots.groupBy("product_code").agg(F.count_distinct("dot").alias("dots"))
+    drawn = history.groupBy("product_code").agg(F.count("actual").alias("drawn_months"), F.sum("actual").alias("drawn_reports"))
+    whole = series.groupBy("product_code").agg(F.count("y").alias("months"), F.sum("y").alias("reports"))
+    both = lead
+    for side in (shown, dotted, drawn, whole):
+        both = both.join(side, "product_code", "full_outer")
+    pairs = {
+        "evidence rows": ("rows", number("n")), "evidence inside": ("within", number("inside")), "evidence mean miss": ("mean_miss", number("mae")),
+        "errors behind the dots": ("errors", number("calibration_n")), "dots": ("dots", F.lit(float(harness.dots))),
+        "months": ("drawn_months", number("months")), "reports": ("drawn_reports", number("reports")),
+    }
+    cells = F.array(*[F.struct(F.lit(k).alias("check"), number(d).alias("drawn"), p.alias("published")) for k, (d, p) in pairs.items()])
+    near = F.abs(F.col("drawn") - F.col("published")) <= 2e-6
+    return both.select("product_code", F.explode(cells).alias("c")).select("product_code", "c.*").withColumn("passed", F.coalesce(near, F.lit(False)))
+
+
 def locked_test(fc: DataFrame, promotion: DataFrame) -> DataFrame:
     """The locked year at horizon 1: actual, both points, band, months outside, largest miss.
 

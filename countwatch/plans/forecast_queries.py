@@ -138,6 +138,37 @@ def outlook(spark, sf_dir):
     return marts.outlook(p.forecast, p.promotion, STAR.end_mi)
 
 
+#: The horizon at which the outlook is drawn.
+LEAD = max(STAR.horizons)
+
+
+def outlook_history(spark, sf_dir):
+    p = StarPlan(spark, sf_dir)
+    return marts.outlook_history(p.series, p.forecast, p.promotion)
+
+
+def outlook_evidence(spark, sf_dir):
+    p = StarPlan(spark, sf_dir)
+    return marts.outlook_evidence(p.forecast, p.promotion, LEAD)
+
+
+def outlook_lead(spark, sf_dir):
+    p = StarPlan(spark, sf_dir)
+    return marts.outlook_lead(p.forecast, p.promotion, p.cells, STAR, LEAD)
+
+
+def outlook_gate(spark, sf_dir):
+    """The outlook's marts held against what is published."""
+    p = StarPlan(spark, sf_dir)
+    promoted = p.promotion
+    lead = marts.outlook_lead(p.forecast, promoted, p.cells, STAR, LEAD)
+    own = promoted.select("product_code", F.col("model_in_use").alias("model"))
+    dotted = forecast.dots(p.forecast.filter((F.col("origin_mi") == STAR.end_mi) & (F.col("horizon") == LEAD)).join(own, ["product_code", "model"]), STAR)
+    return marts.outlook_gate(
+        lead, marts.outlook_evidence(p.forecast, promoted, LEAD), dotted, marts.outlook_history(p.series, p.forecast, promoted), p.series, STAR
+    )
+
+
 def locked_test(spark, sf_dir):
     p = StarPlan(spark, sf_dir)
     return marts.locked_test(p.forecast, p.promotion)
@@ -260,6 +291,7 @@ QUERIES = {
     for f in (
         baselines, ranges, ets_filter, ets_fit, ets_refined, ets_refined_check, ets_points, forecast_table, scored, score_cells, promotion,
         review_queue, review_workload, queue_diagnostic, numbers_gate, headline_code, outlook_dots, outlook,
+        outlook_history, outlook_evidence, outlook_lead, outlook_gate,
         locked_test, largest_episode, coverage_by_code, lanes, cohort_facts, recall_timeline, recall_meta,
         recall_count, known_event_recovery, forecast_gates, locked_versions, stage_order,
     )

@@ -724,6 +724,79 @@ TEXTS["stage_order"] = q(
               (4, 'locked', 'taken'), (5, 'second locked', 'refused'), (6, 'development again', 'taken')) s(step, name, outcome)""",
 )
 
+LEAD = max(STAR.horizons)
+_USED = "fu AS (SELECT fc.* FROM fc JOIN pro ON pro.code = fc.code AND pro.used = fc.model)"
+_AHEAD = "ah AS (SELECT code, tgt AS mi, round(pt, 6) AS pt, lo80, hi80 FROM fu WHERE h = 1 AND period IN ('locked', 'recent', 'outlook'))"
+_SHOWN = f"ew AS (SELECT *, act BETWEEN lo80 AND hi80 AS within, round(abs(act - round(pt, 6)), 6) AS miss FROM fu WHERE period = 'locked' AND h = {LEAD} AND lo80 IS NOT NULL AND act IS NOT NULL)"
+TEXTS["outlook_history"] = q(
+    f"{BASE}, {M01}, {SCORES}, {_USED}, {_AHEAD}",
+    f"""SELECT code AS product_code, used AS model_in_use, {lab('mi')} AS month, y::BIGINT AS actual, pt AS point, lo80 AS lower80, hi80 AS upper80
+        FROM ser FULL JOIN ah USING (code, mi) JOIN pro USING (code)""",
+)
+TEXTS["outlook_evidence"] = q(
+    f"{BASE}, {M01}, {SCORES}, {_USED}, {_SHOWN}",
+    f"""SELECT code AS product_code, model AS model_in_use, {lab('tgt')} AS target, {lab('o')} AS origin, act::BIGINT AS actual, round(pt, 6) AS point,
+        lo80 AS lower80, hi80 AS upper80, within AS inside, miss FROM ew""",
+)
+TEXTS["outlook_lead"] = q(
+    f"{BASE}, {M01}, {SCORES}, {_USED}",
+    f"""SELECT l.code AS product_code, l.model AS model_in_use, {lab('l.o')} AS origin, {lab('l.tgt')} AS target, round(l.pt, 6) AS point, l.lo50 AS lower50,
+        l.hi50 AS upper50, l.lo80 AS lower80, l.hi80 AS upper80, l.cn::BIGINT AS calibration_n, coalesce(len(l.es), 0)::BIGINT AS errors,
+        {lab('e.tgt')} AS elapsed_target, round(e.pt, 6) AS elapsed_point, e.lo80 AS elapsed_lower80, e.hi80 AS elapsed_upper80,
+        n, cov80 AS coverage80, round(cov80 * n)::BIGINT AS inside, mae
+        FROM fu l LEFT JOIN fu e ON e.code = l.code AND e.o = l.o AND e.h = 1
+        LEFT JOIN cell ON cell.code = l.code AND cell.model = l.model AND cell.h = l.h AND cell.period = 'locked'
+        WHERE l.o = {STAR.end_mi} AND l.h = {LEAD} AND l.period = 'outlook'""",
+)
+TEXTS["outlook_gate"] = q(
+    f"""{BASE}, {M01}, {SCORES}, {_USED}, {_SHOWN},
+    ws AS (SELECT code, count(*) AS n, count(*) FILTER (within) AS i, round(avg(miss), 6) AS m FROM ew GROUP BY code),
+    ld AS (SELECT code, cn, len(es) AS errors FROM fu WHERE o = {STAR.end_mi} AND h = {LEAD}),
+    sr AS (SELECT code, count(*) AS n, sum(y) AS y FROM ser GROUP BY code),
+    ck AS (
+      SELECT ws.code, 'evidence rows' AS c, ws.n::DOUBLE AS d, cell.n::DOUBLE AS p FROM ws JOIN pro USING (code) JOIN cell ON cell.code = ws.code AND model = used AND h = {LEAD} AND period = 'locked'
+      UNION ALL SELECT ws.code, 'evidence inside', i, round(cov80 * cell.n) FROM ws JOIN pro USING (code) JOIN cell ON cell.code = ws.code AND model = used AND h = {LEAD} AND period = 'locked'
+      UNION ALL SELECT ws.code, 'evidence mean miss', m, mae FROM ws JOIN pro USING (code) JOIN cell ON cell.code = ws.code AND model = used AND h = {LEAD} AND period = 'locked'
+      UNION ALL SELECT code, 'errors behind the dots', errors, cn FROM ld
+      UNION ALL SELECT code, 'dots', {STAR.dots}, {STAR.dots} FROM ld
+      UNION ALL SELECT code, 'months', n, n FROM sr UNION ALL SELECT code, 'reports', y, y FROM sr)""",
+    'SELECT code AS product_code, c AS "check", d AS drawn, p AS published, coalesce(abs(d - p) <= 2e-6, false) AS passed FROM ck',
+)
+
+
+def _facts(mart: str, rows: str, key: str, numbers: str, words: str = "") -> str:
+    """The figures of a mart in long form, each held."""
+    told = [f"SELECT '{mart}' AS mart, {key} AS \"key\", '{c}' AS figure, round({c}::DOUBLE, 4) AS number, NULL::VARCHAR AS words, true AS holds FROM ({rows})" for c in numbers.split()]
+    told += [f"SELECT '{mart}', {key}, '{c}', NULL, {c}::VARCHAR, true FROM ({rows})" for c in words.split()]
+    return " UNION ALL ".join(told)
+
+
+def _select(name: str) -> str:
+    """A text's last SELECT, for use under the same fragments."""
+    return TEXTS[name][TEXTS[name].rindex("\nSELECT ") :]
+
+
+TEXTS["published_facts"] = q(
+    f"""{BASE}, {M01}, {SCORES}, {REVIEW}, {RECALL}, {C1},
+    fl AS (SELECT code, string_agg({lab('tgt')}, ' ' ORDER BY tgt) AS t FROM ev WHERE flg GROUP BY code),
+    ug AS (SELECT code, count(*) AS n, string_agg({lab('s')} || '..' || {lab('e')}, ' ' ORDER BY s) AS t FROM epi GROUP BY code),
+    ci AS (SELECT code, count(DISTINCT ev) AS n FROM c1 GROUP BY code),
+    vol AS (SELECT code, sum(y)::BIGINT AS v FROM ser WHERE mi > {STAR.end_mi} - 12 GROUP BY code), per AS (SELECT k, count(*) AS c FROM mem GROUP BY k)""",
+    " UNION ALL ".join(
+        (
+            _facts("lanes", _select("lanes"), "product_code", "flagged_months gated_episodes ungated_episodes", "model_in_use rule_enabled flagged_list ungated_list"),
+            _facts("coverage_by_code", _select("coverage_by_code"), "product_code", "n inside coverage80", "model_in_use rule_enabled in_band"),
+            _facts("headline_code", _select("headline_code"), "'all'", "last_12_months", "product_code model_in_use"),
+            _facts(
+                "queue",
+                "SELECT (SELECT count(*) FROM que) AS episodes, (SELECT count(*) FROM epi) AS ungated, sum(months) AS months, coalesce(sum(months) FILTER (on_), 0) AS enabled_months FROM st",
+                "'all'", "episodes ungated months enabled_months",
+            ),
+            _facts("reports", _select("distinct_totals"), "'all'", "distinct_raw distinct_eligible memberships multi_code_reports"),
+        )
+    ),
+)
+
 # The same texts with brands as product codes.
-BRANDED = ("promotion", "review_queue", "queue_diagnostic", "largest_episode", "recall_count", "forecast_gates", "second_path")
+BRANDED = ("promotion", "review_queue", "queue_diagnostic", "largest_episode", "recall_count", "forecast_gates", "second_path", "published_facts")
 TEXTS |= {f"brand_{name}": TEXTS[name].replace("p_type", "upper(p_brand)") for name in BRANDED}

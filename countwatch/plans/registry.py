@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from countwatch.plans import forecast_queries, live_oracle, live_queries, oracle, record_queries, second_path
+from countwatch.plans import facts, forecast_queries, live_oracle, live_queries, oracle, record_queries, second_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **record_queries.QUERIES,
     **forecast_queries.QUERIES,
     **live_queries.QUERIES,
     **second_path.QUERIES,
+    **facts.QUERIES,
 }
 ORACLES: dict[str, str] = {**oracle.TEXTS, **live_oracle.TEXTS}

@@ -33,7 +33,7 @@ lines AS (
   FROM {{lineitem}} JOIN part_codes p ON p_partkey = l_partkey JOIN firms f ON s_suppkey = l_suppkey),
 pairs AS (SELECT k, code FROM lines GROUP BY k, code),
 reports AS (SELECT k, min(ship) AS event, bool_or(hit) AS excluded FROM lines GROUP BY k)
-SELECT code AS product_code, cw_month(o_orderdate) AS receipt_mi, cw_month(event) AS event_mi, excluded
+SELECT k, code AS product_code, cw_month(o_orderdate) AS receipt_mi, cw_month(event) AS event_mi, excluded
 FROM pairs JOIN reports USING (k) JOIN {{orders}} ON o_orderkey = k
 WHERE date_format(o_orderdate, 'yyyyMMdd') BETWEEN '{start}' AND '{end}'
 """
@@ -116,7 +116,7 @@ SELECT product_code, model, horizon, period, count(*) AS n, round(avg(ae), 6) AS
 FROM {scored} GROUP BY product_code, model, horizon, period
 """
 
-QUEUE = """
+EVALUATED = """
 WITH dev AS (
   SELECT product_code, first(mae) FILTER (WHERE model = 'baseline_a') AS ma, first(mae) FILTER (WHERE model = 'baseline_b') AS mb,
     first(mae) FILTER (WHERE model = 'candidate') AS mc, first(wis) FILTER (WHERE model = 'baseline_a') AS wa,
@@ -124,21 +124,29 @@ WITH dev AS (
   FROM {{cells}} WHERE period = 'development' AND horizon = 1 GROUP BY product_code),
 used AS (
   SELECT product_code, CASE WHEN ma IS NULL OR mb IS NULL OR mc IS NULL THEN 'baseline_a'
-    WHEN mc <= {improvement} * least(ma, mb) AND wc <= if(ma <= mb, wa, wb) THEN 'candidate' WHEN ma <= mb THEN 'baseline_a' ELSE 'baseline_b' END AS model FROM dev),
-rows AS (
-  SELECT s.*, actual > upper80 AND actual - point >= {excess} AS flagged FROM {{scored}} s JOIN used u ON u.product_code = s.product_code AND u.model = s.model
-  WHERE horizon = 1 AND period IN ('locked', 'recent')),
-numbered AS (SELECT *, row_number() OVER (PARTITION BY product_code ORDER BY target_mi) AS place FROM rows),
+    WHEN mc <= {improvement} * least(ma, mb) AND wc <= if(ma <= mb, wa, wb) THEN 'candidate' WHEN ma <= mb THEN 'baseline_a' ELSE 'baseline_b' END AS model FROM dev)
+SELECT s.*, actual > upper80 AND actual - point >= {excess} AS flagged FROM {{scored}} s JOIN used u ON u.product_code = s.product_code AND u.model = s.model
+WHERE horizon = 1 AND period IN ('locked', 'recent')
+"""
+
+EPISODES = """
+WITH numbered AS (SELECT *, row_number() OVER (PARTITION BY product_code ORDER BY target_mi) AS place FROM {{evaluated}}),
 islands AS (
-  SELECT *, place - row_number() OVER (PARTITION BY product_code ORDER BY target_mi) AS island FROM numbered WHERE flagged),
-episodes AS (
-  SELECT product_code, min(target_mi) AS s, max(target_mi) AS e, count(*) AS n, max(actual - point) AS over FROM islands GROUP BY product_code, island HAVING count(*) >= {run}),
-codes AS (
-  SELECT product_code, model, max(target_mi) AS last FROM rows GROUP BY product_code, model
-  HAVING round(avg(int(in80)) FILTER (WHERE period = 'locked'), 6) >= {floor})
+  SELECT *, place - row_number() OVER (PARTITION BY product_code ORDER BY target_mi) AS island FROM numbered WHERE flagged)
+SELECT product_code, min(target_mi) AS s, max(target_mi) AS e, count(*) AS n, max(actual - point) AS over FROM islands GROUP BY product_code, island HAVING count(*) >= {run}
+"""
+
+CODES = """
+SELECT product_code, model, max(target_mi) AS last, count(*) AS months, count(CASE WHEN flagged THEN 1 END) AS flagged,
+  count(CASE WHEN period = 'locked' THEN 1 END) AS locked, count(CASE WHEN period = 'locked' AND in80 THEN 1 END) AS inside,
+  coalesce(round(avg(int(in80)) FILTER (WHERE period = 'locked'), 6) >= {floor}, false) AS enabled
+FROM {{evaluated}} GROUP BY product_code, model
+"""
+
+QUEUE = """
 SELECT e.product_code, model AS model_in_use, cw_month_label(s) AS episode_start, cw_month_label(e) AS episode_end,
   if(e < last, 'closed', 'open at the freeze') AS status, n AS months_in_episode, round(over, 1) AS max_excess_over_point
-FROM episodes e JOIN codes c ON c.product_code = e.product_code
+FROM {episodes} e JOIN {codes} c ON c.product_code = e.product_code WHERE enabled
 """
 
 
@@ -146,7 +154,7 @@ class SecondPath:
     """The five measures' tables, each staged once where the next reads it."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, harness: Harness, code: str = star.CODE):
-        h = harness
+        h = self.harness = harness
         sql_functions.register(spark, star.STAR_TOKENS)
         tables = {t: star.table(spark, sf_dir, t) for t in ("lineitem", "orders", "part", "supplier")}
         self.members = stage(spark.sql(MEMBERS.format(code=code, start=h.window_start, end=h.as_of), **tables), "second-members")
@@ -167,8 +175,10 @@ class SecondPath:
         self.forecast = stage(spark.sql(told, points=self.points), "second-forecast")
         self.scored = spark.sql(SCORED, forecast=self.forecast)
         self.cells = stage(spark.sql(CELLS, scored=self.scored), "second-cells")
-        rules = QUEUE.format(improvement=h.improvement, excess=h.min_excess, run=h.min_run, floor=h.coverage_floor)
-        self.queue = spark.sql(rules, cells=self.cells, scored=self.scored)
+        self.evaluated = stage(spark.sql(EVALUATED.format(improvement=h.improvement, excess=h.min_excess), cells=self.cells, scored=self.scored), "second-evaluated")
+        self.episodes = spark.sql(EPISODES.format(run=h.min_run), evaluated=self.evaluated)
+        self.codes = spark.sql(CODES.format(floor=h.coverage_floor), evaluated=self.evaluated)
+        self.queue = spark.sql(QUEUE, episodes=self.episodes, codes=self.codes)
 
 
 def published(p: StarPlan) -> dict[str, DataFrame]:
