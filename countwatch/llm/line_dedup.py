@@ -1,8 +1,9 @@
 """Line dedup by a deletion-neighbourhood join (operator 10).
 
-Lines are compared in lower case with white space collapsed; lines of fewer than ``min_chars`` characters are
-never copies. Of equal lines the earliest stays (by id, hash of the text, place), and a line also goes if an
-earlier line is within one edit (one character inserted, deleted or replaced) of it.
+Lines are compared in lower case with white space collapsed; blank ones are never copies. Of equal lines of
+``min_equal`` characters or more (by default every line) the earliest stays (by id, hash of the text, place). A line of
+``min_chars`` or more also goes if an earlier one is within one edit (one character inserted, deleted or replaced) of it:
+of shorter lines too many differ by one character and yet say something else.
 
 Two lines within one edit share their first or their last ``half(q)`` characters, q being the shorter length.
 So a line has a key for its first and its last half (for q its own length and one less, mostly the same
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from countwatch.llm.common import arrow_map, fresh, key_filter, passes, stage, table, texts
 
-MIN_CHARS = 20
+MIN_EQUAL, MIN_CHARS = 1, 20
 FILTER_BITS = 1 << 26
 #: Pieces of what lies outside a shared half; none is shorter than eight characters.
 PIECES = 8
@@ -117,15 +118,15 @@ def _text_keys(batch: pa.RecordBatch) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(t.encode(), 42) for t in texts(batch, "text")], dtype=np.uint64).view(np.int64)
 
 
-def _occurrences(min_chars: int):
+def _occurrences(min_equal: int, min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, place, digests, keys = [], [], [], []
-            for i, j, x in _lines(batch, min_chars):
+            for i, j, x in _lines(batch, min_equal):
                 at.append(i)
                 place.append(j)
                 digests.append(xxhash.xxh3_128_digest(x.encode()))
-                keys.append(half_keys(x))
+                keys.append(half_keys(x) if len(x) >= min_chars else [None] * 4)
             h, g = _longs(digests)
             rows = np.array(at, dtype=np.int64)
             four = zip(*keys, strict=True) if keys else [()] * 4
@@ -236,9 +237,11 @@ def near_lines(docs: DataFrame, occurrences: DataFrame, min_chars: int) -> DataF
     return arrow_map(pairs.select("h", "g", "x", "y"), _verified, "h long, g long").distinct()
 
 
-def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_equal: int = MIN_EQUAL) -> DataFrame:
     """(nameless, id, tkey, gone): for each document that loses lines their places; ``docs`` has id and text."""
-    occurrences = stage(arrow_map(docs.select("id", "text"), _occurrences(min_chars), "id long, tkey long, line int, h long, g long, " + ", ".join(f"{c} long" for c in KEYS)), "lines")
+    if not 1 <= min_equal <= min_chars:
+        raise ValueError("lines compared by edits are compared for equality too: 1 <= min_equal <= min_chars")
+    occurrences = stage(arrow_map(docs.select("id", "text"), _occurrences(min_equal, min_chars), "id long, tkey long, line int, h long, g long, " + ", ".join(f"{c} long" for c in KEYS)), "lines")
     place = place_of()
     repeated = occurrences.groupBy("h", "g").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     near = near_lines(docs.select("id", "text"), occurrences, min_chars)
@@ -248,7 +251,7 @@ def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return gone.groupBy(F.col("id").isNull().alias("nameless"), F.coalesce("id", F.lit(0)).alias("id"), "tkey").agg(F.collect_set("line").alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_equal: int = MIN_EQUAL) -> DataFrame:
     """``docs`` with the text's copied lines taken out, and n_lines, n_removed (named afresh where taken).
 
     The other lines keep their order and their own spelling. Null texts stay null, with no line. Rows that
@@ -256,7 +259,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     An empty table gives no rows.
     """
     spark_docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    removed = removed_lines(spark_docs, min_chars)
+    removed = removed_lines(spark_docs, min_chars, min_equal)
     names = [fresh(docs, c) for c in ("n_lines", "n_removed")]
     k_null, k_id, k_text, k_gone = (fresh(docs, c) for c in ("nameless", "id", "tkey", "gone"))
     removed = removed.select(F.col("nameless").alias(k_null), F.col("id").alias(k_id), F.col("tkey").alias(k_text), F.col("gone").alias(k_gone))
@@ -282,9 +285,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return arrow_map(joined, run, f"{fields}, " + ", ".join(f"`{n}` long" for n in names))
 
 
-def without_copied_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without copied lines; a document of which only white space is left goes, n_chars follows the text."""
-    out = dedup_lines(docs, id_col, text_col)
+def without_copied_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_equal: int = MIN_CHARS) -> DataFrame:
+    """``docs`` without copied lines; a document of which only white space is left goes, n_chars follows the text.
+
+    Short lines stay unless ``min_equal`` asks for them: "Yes." or a closing bracket is no copy of another document's.
+    """
+    out = dedup_lines(docs, id_col, text_col, min_equal=min_equal)
     lost = F.col(out.columns[-1])
     out = out.where((lost == 0) | (F.length(F.trim(F.translate(text_col, "\n\t\r", "   "))) > 0))
     if "n_chars" in docs.columns:

@@ -31,19 +31,19 @@ def edits(a: str, b: str) -> int:
     return row[-1]
 
 
-def without_copied_lines(docs: list[tuple], normalise, min_chars: int) -> list[str | None]:
+def without_copied_lines(docs: list[tuple], normalise, min_chars: int, min_equal: int) -> list[str | None]:
     """Texts of (id, text) rows without the lines that an earlier line copies; ids are distinct."""
     lines = []
     for i, (d, text) in enumerate(docs):
         for j, line in enumerate((text or "").split("\n")):
-            if len(x := normalise(line)) >= min_chars:
+            if len(x := normalise(line)) >= min_equal:
                 lines.append((d is None, d or 0, i, j, x))
     first: dict[str, tuple] = {}
     for o in sorted(lines):
         first.setdefault(o[4], o)
     near = set()
     for a, b in itertools.combinations(sorted(first.values()), 2):
-        if abs(len(a[4]) - len(b[4])) <= 1 and edits(a[4], b[4]) <= 1:
+        if min(len(a[4]), len(b[4])) >= min_chars and abs(len(a[4]) - len(b[4])) <= 1 and edits(a[4], b[4]) <= 1:
             near.add(b[4])
     gone = {(o[2], o[3]) for o in lines if o[4] in near or first[o[4]] != o}
     return [None if t is None else "\n".join(x for j, x in enumerate(t.split("\n")) if (i, j) not in gone) for i, (_, t) in enumerate(docs)]

@@ -1,6 +1,7 @@
 import random
 
 import brute
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -41,12 +42,20 @@ def test_every_pair_within_one_edit_meets():
 
 
 def test_equals_brute_force(spark):
-    for seed in (3, 4):
-        docs = random_docs(seed) + [(60, None), (61, ""), (62, "short\nshort\n")]
-        got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
-        want = brute.without_copied_lines(docs, line_dedup.normalise, line_dedup.MIN_CHARS)
+    for seed, min_equal in ((3, 1), (4, 20), (5, 6)):
+        docs = random_docs(seed) + [(60, None), (61, ""), (62, "short\nshort\n"), (63, "Short\nshor\n}\n}"), (64, " }\n\n \nlonger line\nlonger  LINE")]
+        got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), min_equal=min_equal).collect()}
+        want = brute.without_copied_lines(docs, line_dedup.normalise, line_dedup.MIN_CHARS, min_equal)
         assert [got[d] for d, _ in docs] == want
-        assert want != [t for _, t in docs]
+        # Equal short lines go from one character on, short lines one edit apart and blank ones stay.
+        assert want[-3:] == {1: ["short\n", "shor\n}", "\n \nlonger line"], 20: [t for _, t in docs[-3:]], 6: ["short\nshort\n", "Short\nshor\n}\n}", " }\n\n \nlonger line"]}[min_equal]
+
+
+def test_floors_must_fit(spark):
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    for bad in (0, 21):
+        with pytest.raises(ValueError, match="min_equal"):
+            line_dedup.dedup_lines(docs, min_equal=bad)
 
 
 def test_nulls_ties_and_clashing_columns(spark):
@@ -66,7 +75,7 @@ def test_query_keeps_all_documents(spark, sf_small):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_small}/documents.parquet").collect()}
     rows = line_dedup.op10_line_dedup(spark, sf_small).collect()
     assert len(rows) == len(docs) and any(r.n_removed for r in rows)
-    want = brute.without_copied_lines(sorted(docs.items()), line_dedup.normalise, line_dedup.MIN_CHARS) if len(docs) <= 200 and sum(map(len, docs.values())) < 300_000 else None
+    want = brute.without_copied_lines(sorted(docs.items()), line_dedup.normalise, line_dedup.MIN_CHARS, 1) if len(docs) <= 200 and sum(map(len, docs.values())) < 300_000 else None
     for r in rows:
         assert r.n_lines == len(docs[r.doc_id].split("\n")) and (r.text == docs[r.doc_id]) == (r.n_removed == 0)
         if want is not None:
