@@ -96,4 +96,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_folder(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged._countwatch_stage = path
+    return staged
+
+
+def unstage(staged: DataFrame) -> None:
+    """Delete what ``stage`` wrote, once nothing reads it any more: a loop's last round, when the next is written."""
+    path = getattr(staged, "_countwatch_stage", None)
+    if path:
+        remove(staged.sparkSession, path)
