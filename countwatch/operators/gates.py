@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from countwatch.config import Harness, mi_of
 from countwatch.functions import months, text
-from countwatch.operators import measures
+from countwatch.operators import compare, measures
+from countwatch.sources import manifests
 
 
 def check_rows(counts: DataFrame) -> DataFrame:
@@ -68,8 +69,8 @@ def monthly_gate(monthly: DataFrame) -> DataFrame:
     """M3 on a table with raw, series, excluded and eligible counts."""
     return check_rows(
         monthly.agg(
-            F.count_if(F.expr("raw_reports <> series_reports")).alias("raw equals the independent series"),
-            F.count_if(F.expr("eligible_reports <> raw_reports - excluded_reports")).alias("eligible is raw minus excluded"),
+            F.count_if(F.expr("raw_reports is distinct from series_reports")).alias("raw equals the independent series"),
+            F.count_if(F.expr("eligible_reports is null or eligible_reports is distinct from raw_reports - excluded_reports")).alias("eligible is raw minus excluded"),
         )
     )
 
@@ -167,6 +168,60 @@ def numbers_gate(figures: DataFrame, bands: DataFrame) -> DataFrame:
     )
 
 
+def manifest_gate(stored: DataFrame, manifest: DataFrame) -> DataFrame:
+    """M1: every listed body is stored as listed, nothing else is stored, and no side tells a path twice."""
+    found = manifests.reconcile(stored, manifest).groupBy("path").agg(
+        F.count(F.lit(1)).alias("n"), *(F.count_if(F.col("verdict") == v).alias(v) for v in ("stray", "missing", "moved"))
+    )
+    return check_rows(
+        found.agg(
+            _none(F.sum("stray")).alias("no stored body is unlisted"),
+            _none(F.sum("missing")).alias("no listed body is missing"),
+            _none(F.sum("moved")).alias("every body has its listed hash"),
+            _none(F.sum(F.col("n") - 1)).alias("a path is told once"),
+        )
+    )
+
+
+def window_gate(log: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """M2: every wanted window is in the log, once, and complete; a missing window is never read as zero."""
+    late = manifests.incomplete_windows(log).agg(F.count(F.lit(1)).alias("every window is complete"))
+    logged = log.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    held = wanted.select(*keys).distinct().join(logged, list(keys), "left").agg(
+        F.count_if(F.col("n").isNull()).alias("every window is logged"), F.count_if(F.col("n") > 1).alias("no window is logged twice")
+    )
+    return check_rows(late).unionByName(check_rows(held))
+
+
+def cells_gate(published: DataFrame, derived: DataFrame, keys: Sequence[str], values: Sequence[str], tolerance: float = 1e-4) -> DataFrame:
+    """Every published cell equals the one derived on the second path; neither side holds a key alone or twice."""
+    cells = compare.compare_cells(published, derived, keys, values, tolerance)
+    found = cells.select(
+        F.concat(F.col("column"), F.lit(" equals the second path")).alias("check"), (F.col("differing") + F.col("one_sided")).alias("failures")
+    )
+    twice = lambda side: side.groupBy(*keys).agg((F.count(F.lit(1)) - 1).alias("more"))
+    keyed = twice(published).unionByName(twice(derived)).agg(_none(F.sum("more")).alias("a cell is told once"))
+    return found.select("check", (F.col("failures") == 0).alias("passed"), "failures").unionByName(check_rows(keyed))
+
+
+def figures_gate(figures: DataFrame, bands: DataFrame) -> DataFrame:
+    """M16 as a gate: every figure lies in its pre-stated band, and every band has its figure."""
+    seen = figures.select("figure").distinct().withColumn("seen", F.lit(True))
+    inside = numbers_gate(figures, bands).agg(F.count_if(~F.coalesce("in_band", F.lit(False))).alias("every figure lies in its band"))
+    absent = bands.join(seen, "figure", "left").agg(F.count_if(F.col("seen").isNull()).alias("every band has its figure"))
+    return check_rows(inside).unionByName(check_rows(absent))
+
+
+def store_gate(recomputed: DataFrame, manifest: DataFrame) -> DataFrame:
+    """The live store's kept readings against the manifest written when they landed, code by code."""
+    parts = ("buckets", "sha256", "last_updated")
+    a, b = recomputed.alias("a"), manifest.alias("b")
+    both = a.join(b, F.col("a.product_code").eqNullSafe(F.col("b.product_code")), "full_outer")
+    per_code = manifest.groupBy("product_code").agg((F.count(F.lit(1)) - 1).alias("more"))
+    differing = both.agg(*(F.count_if(~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))).alias(f"{c} as landed") for c in parts))
+    return check_rows(differing).unionByName(check_rows(per_code.agg(_none(F.sum("more")).alias("a code is listed once"))))
+
+
 def record_gates(spark: SparkSession, sf_dir: str, p) -> DataFrame:
     """M3, M4, M5, M9 over the star tables; keys are checked where they lie, in the bucketed record tables."""
     reports, bridge = p.records

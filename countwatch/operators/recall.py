@@ -151,6 +151,46 @@ def pre_registered_count(per_month: DataFrame, queue: DataFrame, span: tuple[str
     return joined.drop("one")
 
 
+def looked_back(per_month: DataFrame, queue: DataFrame, span: tuple[str, str], harness: Harness) -> DataFrame:
+    """K3: every (code, initiation month) with its initiations, the episodes that start in the months before, and the always-flag rule."""
+    first, last, back = mi_of(span[0]), mi_of(span[1]), harness.lookback
+    starts = queue.select(F.col("product_code").alias("of_code"), months.month_to_mi("episode_start").alias("start_mi"))
+    before = (F.col("product_code") == F.col("of_code")) & F.col("start_mi").between(F.col("init_mi") - back, F.col("init_mi") - 1)
+    return (
+        per_month.join(starts, before, "left")
+        .groupBy("product_code", "init_mi")
+        .agg(F.max("n").alias("n"), F.count("start_mi").alias("episodes_before"))
+        .withColumn("preceded", F.col("episodes_before") > 0)
+        .withColumn("always_flag_preceded", (F.col("init_mi") - 1 >= first) & (F.col("init_mi") - back <= last))
+    )
+
+
+def initiation_list(initiations: DataFrame, seen: DataFrame) -> DataFrame:
+    """K3: the Class I initiations one by one, each with what precedes its month; ``seen`` is codes x months at most."""
+    return initiations.join(seen.drop("n"), ["product_code", "init_mi"]).select(
+        "product_code", months.label("init_mi").alias("month"), F.col("event_number").cast("string").alias("event_number"), "episodes_before", "preceded", "always_flag_preceded"
+    )
+
+
+def code_workload(seen: DataFrame, queue: DataFrame, work: DataFrame, harness: Harness) -> DataFrame:
+    """Per code the initiations and their rate beside the rule's episodes and theirs."""
+    starts = queue.select("product_code", months.month_to_mi("episode_start").alias("start_mi"))
+    after = seen.select(F.col("product_code").alias("of_code"), "init_mi")
+    near = (F.col("product_code") == F.col("of_code")) & F.col("start_mi").between(F.col("init_mi") - harness.lookback, F.col("init_mi") - 1)
+    hit = starts.join(after, near, "left_semi").groupBy("product_code").agg(F.count(F.lit(1)).alias("hit"))
+    per_code = seen.groupBy("product_code").agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("months_hit"), F.sum(F.when(F.col("preceded"), F.col("n"))).alias("pre"),
+        F.sum(F.when(F.col("always_flag_preceded"), F.col("n"))).alias("alw"),
+    )
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return work.join(per_code, "product_code", "left").join(hit, "product_code", "left").select(
+        "product_code", "rule_enabled", "evaluated_months", zero("n").alias("class_i_initiations"),
+        F.bround(zero("n") / F.col("evaluated_months"), 4).alias("initiations_per_month"), zero("months_hit").alias("initiation_months"),
+        zero("pre").alias("preceded"), zero("alw").alias("always_flag_preceded"), "episodes", zero("hit").alias("episodes_in_window"),
+        "episodes_per_evaluated_month",
+    )
+
+
 def known_events(expected: DataFrame, rows: DataFrame) -> DataFrame:
     """K5/C20: every known event is found with its code, initiation date and class."""
     k, t = expected.alias("k"), rows.alias("t")

@@ -212,6 +212,22 @@ def recall_count(spark, sf_dir, code=star.CODE):
     return recall.pre_registered_count(p.class_one_months, p.queue, p.evaluated_span, STAR)
 
 
+def _looked_back(p: StarPlan):
+    return recall.looked_back(p.class_one_months, p.queue, p.evaluated_span, p.harness)
+
+
+def recall_initiations(spark, sf_dir, code=star.CODE):
+    """K3: the initiations that the pre-registered count counts, listed."""
+    p = StarPlan(spark, sf_dir, code=code)
+    return recall.initiation_list(recall.class_one(p.recall_timeline, p.gate.filter("forecast"), p.evaluated_span), _looked_back(p))
+
+
+def recall_workload(spark, sf_dir, code=star.CODE):
+    """Initiations and episodes by code, with their rates per evaluated month."""
+    p = StarPlan(spark, sf_dir, code=code)
+    return recall.code_workload(_looked_back(p), p.queue, p.workload, p.harness)
+
+
 def known_event_recovery(spark, sf_dir):
     """K5: each code's dearest urgent open order with a returned line must come back from the timeline."""
     order = star.table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT' and o_orderstatus = 'O'").select(
@@ -284,7 +300,7 @@ def by_brand(query):
 
 
 #: Registered a second time with ``brand_`` before the name; their texts read the brand where the others read the type.
-BRANDED = (promotion, review_queue, queue_diagnostic, largest_episode, recall_count, forecast_gates)
+BRANDED = (promotion, review_queue, queue_diagnostic, largest_episode, recall_count, recall_initiations, recall_workload, forecast_gates)
 
 QUERIES = {
     ("forecast" if f is forecast_table else f.__name__): f
@@ -293,7 +309,7 @@ QUERIES = {
         review_queue, review_workload, queue_diagnostic, numbers_gate, headline_code, outlook_dots, outlook,
         outlook_history, outlook_evidence, outlook_lead, outlook_gate,
         locked_test, largest_episode, coverage_by_code, lanes, cohort_facts, recall_timeline, recall_meta,
-        recall_count, known_event_recovery, forecast_gates, locked_versions, stage_order,
+        recall_count, recall_initiations, recall_workload, known_event_recovery, forecast_gates, locked_versions, stage_order,
     )
 }
 QUERIES |= {f"brand_{f.__name__}": by_brand(f) for f in BRANDED}

@@ -17,7 +17,7 @@ from countwatch.streaming.live_edge import FROZEN, LiveEdge, fingerprint, freeze
 LISTED = (("PROMO", 0), ("STANDARD", 1))
 
 
-def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def vintage_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Code x month x vintage counts on the dense grid through the newest vintage's month, staged."""
     seen = stage(star.vintage_counts(spark, sf_dir), "vintage-counts")
     newest = seen.agg(F.max("mi").alias("mi")).first().mi or STAR_FROZEN.end_mi
@@ -31,7 +31,7 @@ def _frozen(counts: DataFrame) -> DataFrame:
     )
 
 
-def _readings(counts: DataFrame, vintage: str, last_updated: str) -> DataFrame:
+def readings(counts: DataFrame, vintage: str, last_updated: str) -> DataFrame:
     """A vintage as the source returns it: one bucket per month that holds anything."""
     return counts.filter(F.col(vintage) > 0).select(
         F.lit(vintage).alias("vintage"), F.lit(last_updated).alias("last_updated"), "product_code",
@@ -60,12 +60,12 @@ EVENTFUL = (PLAIN[0], ("v1a", "v1", PLAIN[0][2], None), ("v1b", "v2", PLAIN[1][2
 
 def live_edge(spark: SparkSession, sf_dir: str, landings=PLAIN) -> LiveEdge:
     """Land the vintages one after another and let the stream ingest each."""
-    counts = _counts(spark, sf_dir)
+    counts = vintage_grid(spark, sf_dir)
     root = shared_folder(spark, "live-edge")
     edge = LiveEdge(spark, root, STAR_FROZEN, star.STAR_VINTAGES[0][1], _dispositions(spark, counts))
     freeze_from_counts(edge, _frozen(counts))
     for name, column, last_updated, left_out in landings:
-        rows = _readings(counts, column, last_updated).withColumn("vintage", F.lit(name))
+        rows = readings(counts, column, last_updated).withColumn("vintage", F.lit(name))
         rows = rows.where(F.col("product_code") != left_out) if left_out else rows
         rows.write.mode("append").json(f"{root}_landing")
         edge.run_available(f"{root}_landing")
@@ -74,7 +74,7 @@ def live_edge(spark: SparkSession, sf_dir: str, landings=PLAIN) -> LiveEdge:
 
 def live_series(spark, sf_dir):
     """Every elapsed month as each vintage saw it, with the newest reading marked."""
-    counts = _counts(spark, sf_dir)
+    counts = vintage_grid(spark, sf_dir)
     parts = [
         live.new_months(
             counts.select("product_code", "mi", F.col(v).alias("reports")), star.code_list(spark, sf_dir), lu, v, STAR_FROZEN
@@ -102,7 +102,7 @@ def revised_months(spark, sf_dir):
 
 
 def _reread(spark, sf_dir):
-    counts = _counts(spark, sf_dir)
+    counts = vintage_grid(spark, sf_dir)
     frozen, disposed = _frozen(counts).filter("raw_reports > 0"), _dispositions(spark, counts)
     parts = None
     for v, _ in star.STAR_VINTAGES[1:]:
@@ -113,10 +113,10 @@ def _reread(spark, sf_dir):
 
 
 def vintage_manifest(spark, sf_dir):
-    counts = _counts(spark, sf_dir)
+    counts = vintage_grid(spark, sf_dir)
     rows = None
     for v, lu in star.STAR_VINTAGES[1:]:
-        one = fingerprint(_readings(counts, v, lu)).withColumn("vintage", F.lit(v))
+        one = fingerprint(readings(counts, v, lu)).withColumn("vintage", F.lit(v))
         rows = one if rows is None else rows.unionByName(one)
     return rows
 

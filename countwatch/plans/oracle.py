@@ -797,6 +797,62 @@ TEXTS["published_facts"] = q(
     ),
 )
 
+#: What each corruption run must tell: the gate and the checks that fail, with the one-row changes that make them.
+CORRUPTIONS = {
+    ("M1 manifest", "no stored body is unlisted"): "manifest:drop",
+    ("M1 manifest", "a path is told once"): "manifest:repeat stored:repeat",
+    ("M1 manifest", "no listed body is missing; no stored body is unlisted"): "manifest:shift:path stored:blank:path stored:shift:path",
+    ("M1 manifest", "every body has its listed hash"): "manifest:shift:sha256 manifest:swap:sha256 stored:shift:sha256 stored:swap:sha256",
+    ("M1 manifest", "no listed body is missing"): "stored:blank:sha256 stored:drop",
+    ("M13 second path", "raw_reports equals the second path"): "derived:blank:raw_reports derived:drop derived:shift:raw_reports derived:swap:raw_reports published:blank:raw_reports published:drop published:shift:raw_reports published:swap:raw_reports",
+    ("M13 second path", "a cell is told once"): "derived:repeat published:repeat",
+    ("M13 second path", "a cell is told once; raw_reports equals the second path"): "derived:shift:mi published:shift:mi",
+    ("M16 figures", "every figure lies in its band"): "bands:blank:high bands:drop bands:shift:low bands:swap:low figures:blank:value figures:shift:value figures:swap:value",
+    ("M16 figures", "every band has its figure"): "figures:drop",
+    ("M16 figures", "every band has its figure; every figure lies in its band"): "figures:shift:figure",
+    ("M2 windows", "every window is complete"): "log:blank:api_total log:blank:expected log:blank:status log:shift:api_total log:shift:expected log:shift:status",
+    ("M2 windows", "every window is logged"): "log:drop",
+    ("M2 windows", "no window is logged twice"): "log:repeat",
+    ("M3 monthly", "eligible is raw minus excluded"): "monthly:blank:eligible_reports monthly:blank:excluded_reports monthly:shift:eligible_reports monthly:shift:excluded_reports",
+    ("M3 monthly", "eligible is raw minus excluded; raw equals the independent series"): "monthly:blank:raw_reports monthly:shift:raw_reports monthly:swap:raw_reports",
+    ("M3 monthly", "raw equals the independent series"): "monthly:blank:series_reports monthly:shift:series_reports",
+    ("M4 reports", "countable receipt days have eight digits; countable receipt days lie in the window; total minus countable equals quarantined"): "report:blank:date_received",
+    ("M4 reports", "report keys are unique"): "report:repeat",
+    ("M4 reports", "total minus countable equals quarantined"): "report:shift:countable",
+    ("M4 reports", "countable receipt days have eight digits; total minus countable equals quarantined"): "report:shift:date_received",
+    ("M5 bridge", "no bridge row without a report"): "bridge:blank:report_key report:drop",
+    ("M5 bridge", "bridge pairs are unique"): "bridge:repeat",
+    ("M6 receipt", "receipt equals the audit"): "audit:drop audit:shift:field receipt:blank:reports_matched receipt:drop receipt:shift:field receipt:shift:reports_matched",
+    ("M6 receipt", "every audit token is on the list"): "audit:shift:token",
+    ("live store", "sha256 as landed"): "landed:blank:sha256 landed:swap:sha256 readings:blank:count readings:shift:count readings:shift:time",
+    ("live store", "buckets as landed; last_updated as landed; sha256 as landed"): "landed:drop readings:shift:product_code",
+    ("live store", "a code is listed once"): "landed:repeat",
+    ("live store", "buckets as landed"): "landed:shift:buckets",
+    ("live store", "buckets as landed; sha256 as landed"): "readings:drop readings:repeat",
+    ("live store", "last_updated as landed"): "readings:shift:last_updated",
+}
+TEXTS["corruption_runs"] = "SELECT * FROM (VALUES {}) AS t(gate, mutation, outcome, failing) WHERE (SELECT count(*) FROM documents) > 1 AND (SELECT count(*) FROM lineitem) > 1".format(
+    ", ".join(f"('{gate}', '{m}', 'caught', '{failing}')" for (gate, failing), names in CORRUPTIONS.items() for m in names.split())
+)
+
+IN_WINDOW = "EXISTS (SELECT 1 FROM que q WHERE q.code = c1.code AND q.s BETWEEN im - 18 AND im - 1)"
+ALWAYS = f"im - 1 >= {mi_of(STAR.locked[0])} AND im - 18 <= {mi_of(STAR.recent[1])}"
+TEXTS["recall_initiations"] = q(
+    f"{BASE}, {M01}, {SCORES}, {REVIEW}, {RECALL}, {C1}",
+    f"""SELECT code AS product_code, {lab('im')} AS month, ev AS event_number,
+        (SELECT count(*) FROM que q WHERE q.code = c1.code AND q.s BETWEEN im - 18 AND im - 1) AS episodes_before, {IN_WINDOW} AS preceded, {ALWAYS} AS always_flag_preceded FROM c1""",
+)
+TEXTS["recall_workload"] = q(
+    f"""{BASE}, {M01}, {SCORES}, {REVIEW}, {RECALL}, {C1},
+    per AS (SELECT code, count(*) AS n, count(*) FILTER ({IN_WINDOW}) AS pre, count(*) FILTER ({ALWAYS}) AS alw, count(DISTINCT im) AS months_hit FROM c1 GROUP BY code)""",
+    """SELECT st.code AS product_code, on_ AS rule_enabled, months AS evaluated_months, coalesce(per.n, 0) AS class_i_initiations, round_even(coalesce(per.n, 0) / months, 4) AS initiations_per_month,
+        coalesce(months_hit, 0) AS initiation_months, coalesce(pre, 0) AS preceded, coalesce(alw, 0) AS always_flag_preceded,
+        (SELECT count(*) FROM que WHERE que.code = st.code) AS episodes,
+        (SELECT count(*) FROM que WHERE que.code = st.code AND EXISTS (SELECT 1 FROM c1 WHERE c1.code = que.code AND que.s BETWEEN im - 18 AND im - 1)) AS episodes_in_window,
+        round_even((SELECT count(*) FROM que WHERE que.code = st.code) / months, 4) AS episodes_per_evaluated_month
+        FROM st LEFT JOIN per ON per.code = st.code""",
+)
+
 # The same texts with brands as product codes.
-BRANDED = ("promotion", "review_queue", "queue_diagnostic", "largest_episode", "recall_count", "forecast_gates", "second_path", "published_facts")
+BRANDED = ("promotion", "review_queue", "queue_diagnostic", "largest_episode", "recall_count", "recall_initiations", "recall_workload", "forecast_gates", "second_path", "published_facts")
 TEXTS |= {f"brand_{name}": TEXTS[name].replace("p_type", "upper(p_brand)") for name in BRANDED}

@@ -48,7 +48,7 @@ def remedial_by_month(spark, sf_dir):
     return measures.remedial_by_month(counts, p.codes, STAR)
 
 
-def _audit(p: StarPlan) -> DataFrame:
+def audit_rows(p: StarPlan) -> DataFrame:
     """B5 from device rows: distinct (report, code, field, token) hits."""
     hits = F.array(
         F.struct(F.lit("device.brand_name").alias("field"), F.col("brand_token").alias("token")),
@@ -64,18 +64,18 @@ def _audit(p: StarPlan) -> DataFrame:
 
 
 def exclusion_audit(spark, sf_dir):
-    return _audit(StarPlan(spark, sf_dir))
+    return audit_rows(StarPlan(spark, sf_dir))
 
 
 def exclusion_receipt(spark, sf_dir):
     p = StarPlan(spark, sf_dir)
-    return measures.exclusion_receipt(_audit(p), p.members)
+    return measures.exclusion_receipt(audit_rows(p), p.members)
 
 
 def receipt_gate(spark, sf_dir):
     """M6: the published receipt against the audit's own counts, and every audited token against the list."""
     p = StarPlan(spark, sf_dir)
-    audit = stage(_audit(p), "audit")
+    audit = stage(audit_rows(p), "audit")
     return gates.receipt_gate(measures.exclusion_receipt(audit, p.members), audit, (*star.STAR_TOKENS.firm, *star.STAR_TOKENS.brand))
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from countwatch.plans import facts, forecast_queries, live_oracle, live_queries, oracle, record_queries, second_path
+from countwatch.plans import corruption_runs, facts, forecast_queries, live_oracle, live_queries, oracle, record_queries, second_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **record_queries.QUERIES,
@@ -14,5 +14,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **live_queries.QUERIES,
     **second_path.QUERIES,
     **facts.QUERIES,
+    **corruption_runs.QUERIES,
 }
 ORACLES: dict[str, str] = {**oracle.TEXTS, **live_oracle.TEXTS}
