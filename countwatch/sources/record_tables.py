@@ -12,12 +12,13 @@ import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from countwatch.session import shared_folder
 from countwatch.sources.sinks import write_record_table
 
 KEY = "report_key"
-#: Source bytes a bucket should stand for, and the bounds of their number.
+#: Source bytes, as rows in memory, that a bucket should stand for, and the bounds of their number.
 BUCKET_BYTES = 256 << 20
 LEAST_BUCKETS, MOST_BUCKETS = 8, 16_384
 
@@ -29,14 +30,21 @@ def buckets_for(size: int) -> int:
 
 
 def size_of(df: DataFrame) -> int:
-    """Bytes of the files a plan reads, as the planner knows them."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Bytes of a table's rows as a task holds them: a word a field, and two more for a text.
+
+    Files are no measure of that: packed columns grow many times over in a sort or a hash map. The rows are counted
+    by the files' footers.
+    """
+    width = 8 + sum(8 + (16 if isinstance(f.dataType, (T.StringType, T.BinaryType)) else 0) for f in df.schema.fields)
+    return df.count() * width
 
 
 def record_tables(
-    spark: SparkSession, name: str, sources: list[DataFrame], build: Callable[[], tuple[DataFrame, DataFrame]]
+    spark: SparkSession, name: str, sources: list[DataFrame], reports: Callable[[], DataFrame], bridge: Callable[[DataFrame], DataFrame]
 ) -> tuple[DataFrame, DataFrame]:
-    """(reports, bridge) of ``build``, from this application's earlier run where the sources' files are the same.
+    """(reports, bridge), from this application's earlier run where the sources' files are the same.
+
+    The bridge is made from the reports as written, so that what is behind them runs once.
 
     ``name`` tells builds over the same files apart (the code column, the token lists, the window).
     """
@@ -45,14 +53,15 @@ def record_tables(
     held = _held(spark)
     if digest not in held:
         buckets = buckets_for(sum(size_of(s) for s in sources))
-        made = []
-        for kind, df in zip(("reports", "bridge"), build(), strict=True):
-            table = f"countwatch_{kind}_{digest}"
-            write_record_table(df, table, KEY, buckets, shared_folder(spark, table))
-            made.append(table)
-        held[digest] = tuple(made)
-    reports, bridge = held[digest]
-    return spark.table(reports), spark.table(bridge)
+        made = f"countwatch_reports_{digest}", f"countwatch_bridge_{digest}"
+        places = [shared_folder(spark, table) for table in made]
+        written = write_record_table(reports(), made[0], KEY, buckets, places[0])
+        # Read by its files: known as bucketed, its rows would not be dealt anew, and each bucket of the bridge would be many files.
+        pairs = bridge(spark.read.schema(written.schema).parquet(places[0]))
+        write_record_table(pairs, made[1], KEY, buckets, places[1])
+        held[digest] = made
+    kept = held[digest]
+    return spark.table(kept[0]), spark.table(kept[1])
 
 
 def refresh(spark: SparkSession) -> None:

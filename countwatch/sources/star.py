@@ -138,11 +138,8 @@ def stored_records(spark: SparkSession, sf_dir: str, harness: Harness, code: str
     """The report table and its bridge, bucketed by the report key and written once per folder."""
     sources = [table(spark, sf_dir, t) for t in ("orders", "lineitem", "part", "supplier")]
 
-    def build() -> tuple[DataFrame, DataFrame]:
-        made = stage(reports(spark, sf_dir, harness, lists, devices(spark, sf_dir, lists, code)), "report-rows")
-        return made, bridge(made)
-
-    return record_tables(spark, f"{code} {lists} {harness.window_start} {harness.as_of}", sources, build)
+    made = lambda: reports(spark, sf_dir, harness, lists, devices(spark, sf_dir, lists, code))
+    return record_tables(spark, f"{code} {lists} {harness.window_start} {harness.as_of}", sources, made, bridge)
 
 
 def memberships(report: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -70,3 +70,18 @@ def test_one_file_a_bucket(spark, tmp_path):
 @pytest.mark.parametrize(("size", "want"), [(0, 8), (8 << 28, 8), (9 << 28, 16), (100 << 40, 16_384), (100 << 30, 512)])
 def test_buckets_follow_the_source(size, want):
     assert rt.buckets_for(size) == want
+
+
+def test_buckets_follow_the_rows_not_the_packed_files(spark, tmp_path, monkeypatch):
+    """A file of few bytes may hold many rows, and rows are what a task has to hold."""
+    monkeypatch.setattr(rt, "BUCKET_BYTES", 1 << 18)
+    path = str(tmp_path / "packed")
+    spark.range(100_000).selectExpr("id % 10 as report_key", "'same' as text").repartition(1).write.parquet(path)
+    source = spark.read.parquet(path)
+    reports, bridge = rt.record_tables(spark, "packed", [source], lambda: source, lambda made: made.select("report_key"))
+    described = lambda df: spark.sql(f"DESCRIBE EXTENDED {df}").where("col_name = 'Num Buckets'").first().data_type
+    names = rt._held(spark).popitem()[1]
+    assert [int(described(n)) for n in names] == [16, 16] and reports.count() == bridge.count() == 100_000
+    assert len(bridge.inputFiles()) <= 16
+    for n in names:
+        spark.sql(f"DROP TABLE {n}")
