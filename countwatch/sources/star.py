@@ -10,8 +10,9 @@ with skew splitting.
 from __future__ import annotations
 
 from datetime import datetime, timedelta
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from countwatch.config import Harness
@@ -53,12 +54,33 @@ def in_window(ts: str, harness: Harness):
     return (F.col(ts) >= F.lit(first).cast("timestamp_ntz")) & (F.col(ts) < F.lit(after).cast("timestamp_ntz"))
 
 
-def devices(spark: SparkSession, sf_dir: str, lists: TokenLists = STAR_TOKENS, code: str = CODE) -> DataFrame:
-    """One row per order line: key, product code, event day and the tokens its device fields hit."""
+#: Codes told apart by the bits of one long, and how many longs a code list may take.
+WORD, WORDS = 63, 4
+
+
+def short_list(codes: DataFrame) -> tuple[str, ...] | None:
+    """The codes of a list that ``WORDS`` longs can hold, sorted; None for a longer one."""
+    held = [r[0] for r in codes.where("product_code is not null").limit(WORD * WORDS + 1).collect()]
+    return tuple(sorted(held)) if len(held) <= WORD * WORDS else None
+
+
+def _words(listed: tuple[str, ...]) -> list[tuple[str, tuple[str, ...]]]:
+    """Name and codes of each long."""
+    return [(f"codes_{at // WORD}", listed[at : at + WORD]) for at in range(0, len(listed), WORD)]
+
+
+def devices(spark: SparkSession, sf_dir: str, lists: TokenLists = STAR_TOKENS, code: str = CODE, listed: tuple[str, ...] | None = None) -> DataFrame:
+    """One row per order line: key, product code, event day and the tokens its device fields hit.
+
+    With ``listed`` codes a row has its code as a bit too, set per part, so that codes are gathered by ``bit_or``.
+    """
+    bits = lambda held: reduce(lambda w, c: w.when(F.col("product_code") == c[1], F.lit(1 << c[0]).cast("long")), enumerate(held), F.when(F.lit(False), F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long"))
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_shipdate")
     part = table(spark, sf_dir, "part").select(
         "p_partkey", F.expr(code).alias("product_code"), text.brand_token("p_name", lists).alias("brand_token")
     )
+    words = _words(listed or ())
+    part = part.select("*", *[bits(held).alias(name) for name, held in words])
     firm = firm_hits(spark, sf_dir, lists)
     return (
         line.join(part, line.l_partkey == part.p_partkey)
@@ -69,6 +91,7 @@ def devices(spark: SparkSession, sf_dir: str, lists: TokenLists = STAR_TOKENS, c
             F.col("l_shipdate").alias("event_ts"),
             "brand_token",
             "firm_token",
+            *[name for name, _ in words],
         )
     )
 
@@ -84,28 +107,41 @@ def firm_hits(spark: SparkSession, sf_dir: str, lists: TokenLists) -> DataFrame:
     return stage(supplier.filter("firm_token is not null"), "firm-hits")
 
 
-def report_rollup(device_rows: DataFrame) -> DataFrame:
+def report_rollup(device_rows: DataFrame, listed: tuple[str, ...] | None = None) -> DataFrame:
     """Per report: its distinct codes, earliest event day, line count and exclusion flag.
 
     One aggregation with map-side combine, so a report holding a large share of all lines is
-    reduced before the shuffle; the code set is bounded by the code list.
+    reduced before the shuffle; the code set is bounded by the code list. Rows that carry the bits of
+    ``listed`` codes are aggregated as numbers, without an object or a sort per report.
     """
-    return device_rows.groupBy("report_key").agg(
-        F.sort_array(F.collect_set("product_code")).alias("codes"),
+    words = _words(listed) if listed is not None else None
+    sets = [F.sort_array(F.collect_set("product_code")).alias("codes")] if words is None else [F.bit_or(name).alias(name) for name, _ in words]
+    rolled = device_rows.groupBy("report_key").agg(
+        *sets,
         F.min("event_ts").alias("event_ts"),
         F.count(F.lit(1)).alias("n_lines"),
         F.bool_or(F.col("brand_token").isNotNull() | F.col("firm_token").isNotNull()).alias("hit"),
     )
+    if words is None:
+        return rolled
+    named = [F.when(F.getbit(name, F.lit(i)) == 1, F.lit(c)) for name, held in words for i, c in enumerate(held)]
+    none = F.array().cast("array<string>")
+    # Joined and split again, which is compiled where a filter of the array would be interpreted per report and code.
+    mark = next(m for m in map(chr, range(0xE000, 0xF8FF)) if not any(m in c for c in listed))
+    some = reduce(Column.__or__, [F.col(name) != 0 for name, _ in words], F.lit(False))
+    codes = F.when(some, F.split(F.concat_ws(mark, *named), mark)).otherwise(none) if named else none
+    return rolled.select("report_key", codes.alias("codes"), "event_ts", "n_lines", "hit")
 
 
 def reports(
-    spark: SparkSession, sf_dir: str, harness: Harness, lists: TokenLists = STAR_TOKENS, device_rows=None
+    spark: SparkSession, sf_dir: str, harness: Harness, lists: TokenLists = STAR_TOKENS, device_rows=None, rolled=None
 ) -> DataFrame:
     """The report table: one row per order with derived months, exclusion and countable flags."""
     orders = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("report_key"), "o_orderdate", "o_orderstatus", "o_orderpriority"
     )
-    rolled = report_rollup(devices(spark, sf_dir, lists) if device_rows is None else device_rows)
+    if rolled is None:
+        rolled = report_rollup(devices(spark, sf_dir, lists) if device_rows is None else device_rows)
     return orders.join(rolled, "report_key", "left").select(
         "report_key",
         day_string("o_orderdate").alias("date_received"),
@@ -138,7 +174,11 @@ def stored_records(spark: SparkSession, sf_dir: str, harness: Harness, code: str
     """The report table and its bridge, bucketed by the report key and written once per folder."""
     sources = [table(spark, sf_dir, t) for t in ("orders", "lineitem", "part", "supplier")]
 
-    made = lambda: reports(spark, sf_dir, harness, lists, devices(spark, sf_dir, lists, code))
+    def made() -> DataFrame:
+        listed = short_list(code_list(spark, sf_dir, code))
+        rolled = report_rollup(devices(spark, sf_dir, lists, code, listed), listed)
+        return reports(spark, sf_dir, harness, lists, rolled=rolled)
+
     return record_tables(spark, f"{code} {lists} {harness.window_start} {harness.as_of}", sources, made, bridge)
 
 
@@ -219,16 +259,18 @@ def recall_records(spark: SparkSession, sf_dir: str, code: str = CODE) -> DataFr
     line = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(
         "l_orderkey", "l_partkey", "l_shipdate", "l_linestatus", "l_tax", "l_discount"
     )
-    part = table(spark, sf_dir, "part").select("p_partkey", F.expr(code).alias("p_code"), "p_name")
+    part = table(spark, sf_dir, "part").select(
+        "p_partkey", text.normal_code(F.expr(code)).alias("product_code"), F.col("p_name").rlike(r"(?i)\b(?:rings?|bolts?)\b").alias("cites_reports")
+    )
     return (
         line.join(part, line.l_partkey == part.p_partkey)
         .select(
             F.col("l_orderkey").alias("event_number"),
-            text.normal_code("p_code").alias("product_code"),
+            "product_code",
             F.lit(None).cast("string").alias("initiated"),
             iso_day("l_shipdate").alias("posted"),
             F.col("l_linestatus").alias("root_cause"),
-            F.col("p_name").rlike(r"(?i)\b(?:rings?|bolts?)\b").alias("cites_reports"),
+            "cites_reports",
             (F.col("l_tax") > 0.04).alias("has_k_numbers"),
             (F.col("l_discount") > 0.05).alias("has_pma_numbers"),
         )

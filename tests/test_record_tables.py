@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from countwatch.plans import record_queries
 from countwatch.plans.star_plan import StarPlan
 from countwatch.sources import record_tables as rt
+from countwatch.sources import star
 from countwatch.sources.sinks import write_record_table
 
 
@@ -85,3 +86,34 @@ def test_buckets_follow_the_rows_not_the_packed_files(spark, tmp_path, monkeypat
     assert len(bridge.inputFiles()) <= 16
     for n in names:
         spark.sql(f"DROP TABLE {n}")
+
+
+@pytest.mark.parametrize("n_codes", [3, 63, 64, 130])
+def test_codes_gathered_as_bits_equal_the_set(spark, tmp_path, n_codes):
+    """Same reports by numbers as by a set per report, which is no longer built: null codes, repeats, more codes than a long has bits."""
+    codes = [None if i % 7 == 3 else "" if i % 13 == 5 else f"C{i % n_codes:03d}" for i in range(400)]
+    part = spark.createDataFrame([(i, c, "red anvil" if i % 50 == 0 else "x") for i, c in enumerate(codes)], "p_partkey long, p_type string, p_name string")
+    line = spark.range(1200).selectExpr("id % 150 as l_orderkey", "if(id % 150 = 9, 3L, id % 410) as l_partkey", "id % 5 as l_suppkey", "if(id % 4 = 0, null, timestamp_ntz'1995-02-01' + make_dt_interval(cast(id as int))) as l_shipdate")
+    supplier = spark.createDataFrame([(1, "Supplier#000000001"), (2, "Supplier#000000002")], "s_suppkey long, s_name string")
+    for name, df in (("part", part), ("lineitem", line), ("supplier", supplier)):
+        df.write.parquet(str(tmp_path / f"{name}.parquet"))
+    listed = star.short_list(star.code_list(spark, str(tmp_path)))
+    by_set = star.report_rollup(star.devices(spark, str(tmp_path)))
+    by_bits = star.report_rollup(star.devices(spark, str(tmp_path), listed=listed), listed)
+    assert by_bits.dtypes == by_set.dtypes and by_set.count() == 150
+    assert by_bits.exceptAll(by_set).isEmpty() and by_set.exceptAll(by_bits).isEmpty()
+    assert "ObjectHashAggregate" in plan(by_set) and "ObjectHashAggregate" not in plan(by_bits) and "SortAggregate" not in plan(by_bits)
+    assert by_bits.where("report_key = 9").first().codes == []
+
+
+def test_a_long_code_list_is_left_to_the_set(spark):
+    codes = spark.range(star.WORD * star.WORDS + 1).selectExpr("cast(id as string) as product_code")
+    assert star.short_list(codes) is None and len(star.short_list(codes.limit(252).unionByName(codes.limit(0)))) == 252
+
+
+def test_no_pattern_runs_per_recalled_line(spark, sf_small, no_broadcast):
+    """Code and name are read once per part: above the join to lines stands no regular expression."""
+    text = plan(star.recall_records(spark, sf_small))
+    above = text[: text.index("Join")]
+    assert "regexp_replace" not in above and "RLIKE" not in above.upper(), above
+    assert "regexp_replace" in text
